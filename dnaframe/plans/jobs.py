@@ -1 +1,333 @@
-"""Whole-run jobs (W1-W3, W6-W8, J4); filled in below."""
+"""Whole-run jobs (W1-W3, W6-W8) and their registered queries.
+
+* ``ingest``            W1: scan a file or folder, reject empty, store, profile, digest, manifest.
+* ``benchmark_frames``  W2 without side effects: cap -> balance -> valid target -> features ->
+                        split -> fit -> predict -> thresholds -> all metrics.
+* ``run_benchmark``     W2 with the registry writes (K2, K3, K5, K6).
+* ``profile_export``    W3: rows, rows used under the cap, binary flag; no training.
+* ``checksum_gate``     W6; ``replay`` W7; ``dry_run_summary`` W8.
+
+Lazy until a metric or a write is asked for; the feature frame is persisted once and read by
+every model fit.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+import os
+import uuid
+from dataclasses import asdict, dataclass, field
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dnaframe.functions.sequence import to_numeric
+from dnaframe.operators import features as feat
+from dnaframe.operators import metrics as met
+from dnaframe.operators import models as mdl
+from dnaframe.operators import profile as prof
+from dnaframe.operators import sampling as smp
+from dnaframe.operators import thresholds as thr
+from dnaframe.plans import fixtures as fx
+from dnaframe.plans.catalog import query
+from dnaframe.sources import digest, fasta, sbol, store, tabular
+
+MIN_VALID_ROWS = 5
+TOOL_VERSION = "0.1.0"
+
+
+def _now() -> str:
+    return _dt.datetime.now(_dt.timezone.utc).isoformat()
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Suffix dispatch: csv/tsv/txt, fa/fasta, xml/rdf/sbol. Every result has a ``row_id``."""
+    low = path.lower().rstrip("/*")
+    if low.endswith((".csv", ".tsv", ".txt")):
+        return tabular.read_delimited(spark, path)
+    if low.endswith((".fa", ".fasta")):
+        return tabular.with_file_row_id(fasta.read_fasta(spark, path))
+    if low.endswith((".xml", ".rdf", ".sbol")):
+        return tabular.with_file_row_id(sbol.read_sbol(spark, path))
+    raise ValueError(f"Unsupported dataset format: {os.path.splitext(low)[1]}")
+
+
+# ---- W1 -------------------------------------------------------------------------------------
+
+def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = None) -> dict:
+    """Returns the manifest dict; writes rows (K1), manifest and class counts (K4)."""
+    df = read_any(spark, path)
+    rows = df.count()
+    if rows == 0:
+        raise ValueError("Dataset contains no rows")
+    dataset_id = dataset_id or str(uuid.uuid4())
+    store.write_dataset(df, root, dataset_id)
+    cols = [c for c in df.columns if c != "row_id"]
+    target = prof.infer_column(cols, prof.TARGET_CANDIDATES)
+    seqcol = prof.infer_column(cols, prof.SEQUENCE_CANDIDATES)
+    digests = digest.file_digests(spark, path).collect()
+    sha = digests[0]["sha256"] if len(digests) == 1 else None
+    size = sum(r["size_bytes"] for r in digests)
+    manifest = {
+        "dataset_id": dataset_id, "original_name": os.path.basename(path.rstrip("/")), "created_at": _now(),
+        "row_count": rows, "columns": cols, "suggested_sequence_col": seqcol, "suggested_target_col": target,
+        "large_dataset_warning": rows > prof.LOCAL_ROW_LIMIT, "local_small_run_limit": prof.LOCAL_ROW_LIMIT,
+        "sha256": sha, "source_format": os.path.splitext(path.rstrip("/"))[1].lower(), "upload_bytes": size,
+        "source_path": path,
+    }
+    if target:
+        summary = prof.target_summary(df, target).first().asDict()
+        manifest["target_summary"] = {k: v for k, v in summary.items()}
+        cc = prof.class_counts(df, target).withColumn("dataset_id", F.lit(dataset_id))
+        store.append_rows(cc, root, "datasets", "class_counts")
+    schema = ("dataset_id string, original_name string, created_at string, row_count bigint, columns array<string>, "
+              "suggested_sequence_col string, suggested_target_col string, large_dataset_warning boolean, "
+              "local_small_run_limit bigint, sha256 string, source_format string, upload_bytes bigint, source_path string")
+    row = {k: manifest[k] for k in [f.split()[0] for f in schema.split(", ")]}
+    store.append_rows(spark.createDataFrame([row], schema), root, "datasets", "manifest")
+    return manifest
+
+
+# ---- W2 -------------------------------------------------------------------------------------
+
+@dataclass
+class BenchmarkRequest:
+    dataset_id: str | None = None
+    sequence_col: str = "sequence"
+    target_col: str = "target"
+    models: list = field(default_factory=lambda: ["linear_regression"])
+    preprocessing: dict = field(default_factory=lambda: {"use_gc": True, "use_kmers": True, "kmer_size": 6})
+    test_size: float = 0.2
+    validation_size: float = 0.1
+    random_seed: int = 42
+    split_strategy: str = "fixed_train_validation_test"
+    threshold_strategy: str = "user_or_literature"
+    threshold_value: float | None = None
+    threshold_scope: str = "shared"
+    biological_goal: str = "limit_false_positives"
+    balance_strategy: str = "none"
+    max_rows: int = 0  # 0 = no cap: Spark runs the whole table
+    model_overrides: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if not (0.05 <= self.test_size <= 0.5):
+            raise ValueError("test_size must be between 0.05 and 0.5")
+        if not (0.0 <= self.validation_size <= 0.4):
+            raise ValueError("validation_size must be between 0 and 0.4")
+        unknown = [m for m in self.models if m not in mdl.MODEL_NAMES]
+        if unknown:
+            raise ValueError(f"Unsupported model(s): {', '.join(unknown)}")
+
+
+def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> dict:
+    """W2 core: returns DataFrames and counts; writes nothing."""
+    if req.sequence_col not in df.columns:
+        raise ValueError(f"Column not found: {req.sequence_col}")
+    target = prof.resolve_target_column(df.columns, req.target_col)
+    cfg = feat.FeatureConfig.from_dict(req.preprocessing)
+    source = df
+    row_cap_applied = False
+    if req.max_rows and req.max_rows > 0:
+        source, flag = prof.cap_rows(source, req.max_rows, row_id)
+        row_cap_applied = bool(flag.first()[0])
+    source, balanced = smp.undersample(source, target, req.random_seed, req.balance_strategy, row_id)
+    valid = source.select(row_id, req.sequence_col, to_numeric(target).alias("y")).filter(F.col("y").isNotNull())
+    frame = feat.build_features(valid, req.sequence_col, cfg, keep=(row_id, "y"))
+    use_validation = req.threshold_strategy in ("validation_mcc", "validation_f1", "high_sensitivity") and req.validation_size > 0
+    split = smp.holdout_split(frame, req.test_size, req.random_seed, row_id,
+                              validation_size=req.validation_size if use_validation else 0.0)
+    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    rows_used = sum(counts.values())
+    if rows_used < MIN_VALID_ROWS:
+        split.unpersist()
+        raise ValueError("Need at least 5 rows with numeric targets for a benchmark")
+    train = split.filter(F.col("split") == "train")
+    test = split.filter(F.col("split") == "test")
+    fitted, preds = mdl.fit_and_predict(train, test, list(req.models), req.random_seed, row_id,
+                                        overrides=req.model_overrides)
+    binary = bool(prof.is_binary(split, "y").first()[0])
+    thresholds = None
+    if binary:
+        validation = None
+        if use_validation:
+            vrows = split.filter(F.col("split") == "validation")
+            validation = met.union_predictions([
+                m.transform(vrows).select(F.lit(n).alias("model"), row_id, F.col("y").alias("actual"), "prediction")
+                for n, m in fitted.items()])
+        thresholds = thr.resolve_thresholds(preds, req.threshold_strategy, req.threshold_value, req.threshold_scope,
+                                            req.biological_goal, validation=validation)
+        preds = thr.apply_threshold(preds, thresholds)
+    metrics = met.all_metrics(preds, binary, train_rows=counts.get("train", 0))
+    return {
+        "target_col": target, "fitted": fitted, "predictions": preds, "metrics": metrics, "split": split,
+        "rows_used": rows_used, "train_rows": counts.get("train", 0), "test_rows": counts.get("test", 0),
+        "validation_rows": counts.get("validation", 0), "binary_target": binary, "row_cap_applied": row_cap_applied,
+        "class_balance_applied": balanced, "thresholds": thresholds,
+    }
+
+
+def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: DataFrame | None = None) -> dict:
+    """W2 with writes: predictions (K2), metrics (K3), registry row (K5), models (K6)."""
+    started = _now()
+    data = df if df is not None else store.load_dataset(spark, root, req.dataset_id)
+    out = benchmark_frames(data, req)
+    run_id = str(uuid.uuid4())
+    preds = out["predictions"].withColumn("run_id", F.lit(run_id))
+    store.append_rows(preds, root, "runs", "predictions", partition_by=("run_id", "model"))
+    store.append_rows(out["metrics"].withColumn("run_id", F.lit(run_id)), root, "runs", "metrics")
+    model_paths = {n: store.save_model(m, root, run_id, n) for n, m in out["fitted"].items()}
+    manifest = None
+    if req.dataset_id:
+        mf = store.read_table(spark, root, "datasets", "manifest")
+        if mf is not None:
+            rows = mf.filter(F.col("dataset_id") == req.dataset_id).collect()
+            manifest = rows[0].asDict() if rows else None
+    last_threshold = None
+    if out["thresholds"]:
+        last_threshold = out["thresholds"].get(list(req.models)[-1])
+    reg = {
+        "run_id": run_id, "created_at": started, "completed_at": _now(), "dataset_id": req.dataset_id,
+        "dataset_sha256": manifest["sha256"] if manifest else None, "tool_version": TOOL_VERSION,
+        "run_mode": "spark_benchmark", "rows_used": out["rows_used"], "row_cap_applied": out["row_cap_applied"],
+        "class_balance_applied": out["class_balance_applied"], "train_rows": out["train_rows"],
+        "test_rows": out["test_rows"],
+        "target_kind": "binary_numeric_label" if out["binary_target"] else "numeric_regression",
+        "source_dataset_removed_after_run": False, "has_config": True, "target_col": out["target_col"],
+        "request_json": _json(asdict(req)), "classification_threshold": last_threshold,
+        "model_paths_json": _json(model_paths),
+    }
+    schema = ("run_id string, created_at string, completed_at string, dataset_id string, dataset_sha256 string, "
+              "tool_version string, run_mode string, rows_used bigint, row_cap_applied boolean, "
+              "class_balance_applied boolean, train_rows bigint, test_rows bigint, target_kind string, "
+              "source_dataset_removed_after_run boolean, has_config boolean, target_col string, request_json string, "
+              "classification_threshold double, model_paths_json string")
+    store.append_rows(spark.createDataFrame([reg], schema), root, "runs", "registry")
+    out["split"].unpersist()
+    return {"run": reg, "metrics": out["metrics"], "predictions": out["predictions"]}
+
+
+def _json(x) -> str:
+    import json
+
+    return json.dumps(x, sort_keys=True, default=str)
+
+
+# ---- W3 -------------------------------------------------------------------------------------
+
+def profile_export(df: DataFrame, target_col: str, max_rows: int) -> DataFrame:
+    """One row: source rows, rows used under the cap, cap flag, binary flag (one pass)."""
+    agg = df.withColumn("_y", to_numeric(target_col)).agg(
+        F.count(F.lit(1)).alias("source_rows"), prof.is_binary_expr("_y").alias("binary_target"))
+    return agg.select(
+        "source_rows",
+        F.least(F.col("source_rows"), F.lit(max_rows).cast("bigint")).alias("rows_used"),
+        (F.col("source_rows") > F.lit(max_rows)).alias("row_cap_applied"),
+        "binary_target",
+    )
+
+
+# ---- W6-W8 ----------------------------------------------------------------------------------
+
+def checksum_gate(spark: SparkSession, cfg: dict) -> bool | None:
+    """W6 (M22): True / False, or None when no path or no file; only False stops a replay."""
+    ds = cfg.get("dataset") or {}
+    path = ds.get("path")
+    if not path or not os.path.exists(path):
+        return None
+    rows = digest.file_digests(spark, path).collect()
+    if len(rows) != 1:
+        return None
+    return rows[0]["sha256"] == ds.get("sha256")
+
+
+def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False, models: list | None = None) -> dict:
+    """Gate, then re-run the saved settings; the row cap and balancing are honoured.
+
+    Model names that are not runnable here are skipped and reported.
+    """
+    from dnaframe.plans.config import validate_config
+
+    missing = validate_config(cfg)
+    if missing:
+        raise ValueError(f"Invalid run config, missing: {', '.join(missing)}")
+    ok = checksum_gate(spark, cfg)
+    if ok is False:
+        raise ValueError("Dataset checksum mismatch.")
+    requested = models or [m["model_name"] for m in cfg.get("models", [])]
+    runnable = [m for m in requested if m in mdl.MODEL_NAMES]
+    skipped = [m for m in requested if m not in mdl.MODEL_NAMES]
+    summary = {"dry_run": dry_run, "output_dir": out_root, "schema_version": cfg.get("schema_version"),
+               "dataset_checksum_verified": ok, "models": requested, "runnable_models": runnable,
+               "skipped_models": skipped, "random_seed": cfg["split"]["random_seed"],
+               "preprocessing": cfg.get("preprocessing")}
+    if not dry_run:
+        if not runnable:
+            raise ValueError("No runnable models selected. Use linear_regression, random_forest, or gradient_boosting.")
+        ds, sp, tr = cfg["dataset"], cfg["split"], cfg["training"]
+        data = read_any(spark, ds["path"])
+        if ds["target_column"] not in data.columns:
+            raise ValueError(f"Target column not found: {ds['target_column']}")
+        bal = (cfg.get("balance") or {})
+        req = BenchmarkRequest(
+            sequence_col=ds["sequence_column"], target_col=ds["target_column"], models=runnable,
+            preprocessing={k: v for k, v in (cfg.get("preprocessing") or {}).items() if k != "additional_options"},
+            test_size=float(sp["test_size"]), validation_size=float(sp.get("validation_size") or 0.0),
+            random_seed=int(sp["random_seed"]), threshold_strategy=tr.get("threshold_strategy") or "user_or_literature",
+            threshold_value=tr.get("threshold_value"), threshold_scope=tr.get("threshold_scope") or "shared",
+            balance_strategy=bal.get("balance_strategy") or tr.get("balance_strategy") or "none",
+            max_rows=int(bal.get("local_row_limit") or 0) if bal.get("row_cap_applied") else 0,
+        )
+        res = benchmark_frames(data, req)
+        res["metrics"].write.mode("overwrite").json(os.path.join(out_root, "metrics"))
+        res["predictions"].write.mode("overwrite").option("header", True).csv(os.path.join(out_root, "predictions"))
+        res["split"].unpersist()
+        summary.update(metrics_path=os.path.join(out_root, "metrics"), predictions_path=os.path.join(out_root, "predictions"))
+    row = spark.createDataFrame([{"summary_json": _json(summary), "created_at": _now()}],
+                                "summary_json string, created_at string")
+    row.write.mode("append").parquet(os.path.join(out_root, "replay_summary"))
+    return summary
+
+
+def dry_run_summary(spark: SparkSession, configs_path: str) -> DataFrame:
+    """W8 over many configs: dataset present?, checksum verdict, models, seed; no training.
+
+    Configs are one table; each referenced file is digested once and left-joined back.
+    """
+    from dnaframe.plans.config import read_run_configs
+
+    cfgs = read_run_configs(spark, configs_path)
+    paths = [r[0] for r in cfgs.select("dataset.path").distinct().collect() if r[0] and os.path.exists(r[0])]
+    base = cfgs.select("config_path", F.col("dataset.path").alias("path"), F.col("dataset.sha256").alias("expected_sha256"),
+                       F.transform("models", lambda m: m["model_name"]).alias("models"),
+                       F.col("split.random_seed").alias("random_seed"), F.col("preprocessing").alias("preprocessing"))
+    if paths:
+        d = digest.file_digests(spark, ",".join(paths)).withColumn("path", F.regexp_replace("path", "^file:", ""))
+    else:
+        d = spark.createDataFrame([], "path string, size_bytes bigint, sha256 string")
+    j = base.join(d, "path", "left")
+    verdict = F.when(F.col("sha256").isNull() | F.col("expected_sha256").isNull(), F.lit(None).cast("boolean")) \
+               .otherwise(F.col("sha256") == F.col("expected_sha256"))
+    return j.select("config_path", "path", F.col("sha256").isNotNull().alias("dataset_available"),
+                    verdict.alias("dataset_checksum_verified"), "models", "random_seed", "preprocessing")
+
+
+# ---- registered job queries -----------------------------------------------------------------
+
+@query("run_profile", """
+SELECT count(*) AS source_rows, least(count(*), 1000) AS rows_used, count(*) > 1000 AS row_cap_applied,
+       count(o_totalprice) > 0 AND bool_and(o_totalprice IN (0, 1)) AS binary_target
+FROM orders""")
+def run_profile_q(spark, sf_dir):
+    return profile_export(fx.seqs_mid(spark, sf_dir), "target", 1000)
+
+
+@query("benchmark_run")
+def benchmark_run_q(spark, sf_dir):
+    """W2 end to end on the labelled sequences: GC + 3-mers, three baseline models, all metrics."""
+    req = BenchmarkRequest(models=["linear_regression", "random_forest", "gradient_boosting"], target_col="label",
+                           preprocessing={"use_gc": True, "use_kmers": True, "kmer_size": 3}, test_size=0.2,
+                           random_seed=42, threshold_strategy="median")
+    out = benchmark_frames(fx.seqs(spark, sf_dir), req)
+    return out["metrics"]
