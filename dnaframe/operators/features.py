@@ -118,16 +118,21 @@ def kmer_row_totals(df: DataFrame, k: int, seq_col: str = "sequence", id_cols=("
 
 
 def kmer_spectrum(df: DataFrame, k: int, seq_col: str = "sequence", by=(), normalized: bool = False) -> DataFrame:
-    """Corpus k-mer spectrum ``(by..., kmer, slot, n, rows)``.
+    """Corpus k-mer spectrum ``(by..., kmer, slot, n, rows)``: occurrences and rows holding it.
 
-    Each row is first reduced to its distinct k-mers in place (``kmer_runs``), then partially
-    aggregated on the map side: the exchange carries at most 4^k keys per partition and group,
-    whatever the number of sequences.
+    One generator emits every window tagged as an occurrence and every distinct window of the
+    row tagged as a row hit; a single ``groupBy(kmer)`` with map-side partial aggregation sums
+    both, so the exchange carries at most 4^k keys per partition and group, whatever the
+    number of sequences. No per-row sort.
     """
     s = F.col(seq_col) if normalized else normalize(seq_col)
-    w = df.select(*by, sorted_windows(s, k).alias("_w"))
-    x = w.select(*by, F.inline_outer(runs_of_sorted("_w"))).filter(F.col("kmer").isNotNull())
-    return x.groupBy(*by, "kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")) \
+    w = df.select(*by, kmer_windows(s, k).alias("_w"))
+    tagged = F.concat(
+        F.transform("_w", lambda x: F.struct(x.alias("kmer"), F.lit(1).alias("o"), F.lit(0).alias("r"))),
+        F.transform(F.array_distinct("_w"), lambda x: F.struct(x.alias("kmer"), F.lit(0).alias("o"), F.lit(1).alias("r"))),
+    )
+    x = w.select(*by, F.inline_outer(tagged)).filter(F.col("kmer").isNotNull())
+    return x.groupBy(*by, "kmer").agg(F.sum("o").cast("bigint").alias("n"), F.sum("r").cast("bigint").alias("rows")) \
             .select(*by, "kmer", kmer_slot("kmer").alias("slot"), "n", "rows")
 
 
