@@ -49,27 +49,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
     """One huge FASTA file read in parallel splits; ``(file, record, id, sequence)``.
 
-    Lines of the reader are records separated by ``\\n>``. The first line of the file holds any
-    preamble and the first header. Record numbers: per-partition counts (one small row per
-    partition) give each partition's offset, so no global sort or single task is needed.
+    Lines of the reader are records separated by ``\n>``. The file's first chunk holds any
+    preamble and, if the file starts with ``>``, the first record. Record numbers come from
+    per-partition chunk counts (one small row per partition) turned into offsets, so no global
+    sort or single task is needed. The chunk table is checkpointed first so its ids are stable
+    under retries. For one file per call; use ``read_fasta`` for folders of files.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select(
         F.col("_metadata.file_path").alias("file"), "value",
-        F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    # the file's first chunk: drop text before its header, and the leading '>'
-    first = F.col("_m") == F.lit(0)
-    value = F.when(first, F.regexp_extract("value", f"{_HEADER_SPLIT}([\\s\\S]*)$", 1)).otherwise(F.col("value"))
-    has_header = F.when(first, F.col("value").rlike(_HEADER_SPLIT)).otherwise(F.lit(True))
-    x = raw.select("file", "_p", "_m", value.alias("rec"), has_header.alias("_keep")).filter("_keep")
-    x = x.checkpoint(eager=True)
-    counts = {r["_p"]: r["n"] for r in x.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+        F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).checkpoint(eager=True)
+    counts = {r["_p"]: r["n"] for r in raw.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = {}, 0
     for p in sorted(counts):
         offsets[p] = acc
         acc += counts[p]
-    off = F.lit(0)
+    off = F.lit(0).cast("bigint")
     for p, o in offsets.items():
-        off = F.when(F.col("_p") == p, F.lit(o)).otherwise(off)
-    in_part = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)
-    number = (off + in_part + 1).cast("bigint")
-    return x.select("file", number.alias("record"), *_record_columns(F.col("rec"), number))
+        off = F.when(F.col("_p") == p, F.lit(o).cast("bigint")).otherwise(off)
+    index = off + (F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
+    first = index == 0
+    first_is_record = raw.filter(F.col("_m") == 0).filter(F.col("value").rlike(f"\\A{_INLINE_WS}*>")).count() > 0
+    # the first chunk keeps only what follows its leading '>' (or is dropped as preamble)
+    value = F.when(first, F.regexp_extract("value", f"\\A{_INLINE_WS}*>([\\s\\S]*)$", 1)).otherwise(F.col("value"))
+    keep = F.when(first, F.lit(first_is_record)).otherwise(F.lit(True))
+    number = (index + F.lit(1 if first_is_record else 0)).cast("bigint")
+    x = raw.select("file", value.alias("rec"), number.alias("record"), keep.alias("_keep")).filter("_keep")
+    return x.select("file", "record", *_record_columns(F.col("rec"), F.col("record")))

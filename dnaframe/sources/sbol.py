@@ -18,8 +18,10 @@ from dnaframe.functions.sequence import normalize, to_numeric
 # Fixed value: the SBOL 2 namespace.
 SBOL2_NS = "http://sbols.org/v2#"
 
-_ELEMENT = f"//*[local-name()='elements' and namespace-uri()='{SBOL2_NS}']/text()"
-_ATTRIBUTE = f"//@*[local-name()='elements' and namespace-uri()='{SBOL2_NS}']"
+# Spark's xpath reads XML without namespace resolution, so the property is matched by its local
+# name (any prefix, or the default namespace).
+_ELEMENT = "//*[local-name()='elements']/text()"
+_ATTRIBUTE = "//@*[local-name()='elements']"
 _LITERALS = "//*[not(*)]/text() | //@*"
 
 
