@@ -77,8 +77,9 @@ def sweep(predictions: DataFrame, scope: str = "per_model", model_col: str = "mo
         e = _bucket_expr(F.col("s"), bounds)
         bexpr = F.when(F.col("grp") == F.lit(r["grp"]), e) if bexpr is None else bexpr.when(F.col("grp") == F.lit(r["grp"]), e)
     bexpr = bexpr.otherwise(F.lit(0)) if bexpr is not None else F.lit(0)
-    # one shuffle on (grp, bucket): distinct scores and their class counts, then running sums
-    per_score = (base.withColumn("b", bexpr).repartition("grp", "b")
+    # distinct scores with their class counts, combined map-side first (a score shared by a
+    # third of all rows collapses to one row before any exchange), then running sums per bucket
+    per_score = (base.withColumn("b", bexpr)
                  .groupBy("grp", "b", "s")
                  .agg(F.count_if(F.col("a") == 1).alias("pos"), F.count_if(F.col("a") == 0).alias("neg")))
     w = Window.partitionBy("grp", "b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

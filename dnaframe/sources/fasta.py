@@ -55,6 +55,9 @@ def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
     sort or single task is needed. The chunk table is checkpointed first so its ids are stable
     under retries. For one file per call; use ``read_fasta`` for folders of files.
     """
+    from dnaframe.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
     raw = spark.read.option("lineSep", "\n>").text(path).select(
         F.col("_metadata.file_path").alias("file"), "value",
         F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).checkpoint(eager=True)

@@ -1,0 +1,3 @@
+from dnaframe.streaming.ingest import class_totals, start_ingest, stream_delimited
+
+__all__ = ["class_totals", "start_ingest", "stream_delimited"]

@@ -74,3 +74,23 @@ def test_repeated_holdout_per_seed(spark):
     x = smp.repeated_holdout(fx.seqs(spark, SF).select("row_id"), 0.25, [1, 2])
     c = {(r.seed, r.split): r["count"] for r in x.groupBy("seed", "split").count().collect()}
     assert c[(1, "test")] == c[(2, "test")] == math.ceil(0.25 * 399)
+
+
+def test_seeded_order_is_deterministic(spark):
+    base = fx.seqs(spark, SF).select("row_id")
+    a = [r.row_id for r in smp.seeded_order(base.repartition(3), 9).collect()]
+    b = [r.row_id for r in smp.seeded_order(base.repartition(11), 9).collect()]
+    assert a == b and sorted(a) == sorted(r.row_id for r in base.collect())
+
+
+def test_provided_split(spark):
+    t = spark.createDataFrame([(1,), (2,)], "row_id int")
+    v = spark.createDataFrame([(3,)], "row_id int")
+    s = spark.createDataFrame([(4,)], "row_id int")
+    got = {r.row_id: r.split for r in smp.provided_split(t, v, s).collect()}
+    assert got == {1: "train", 2: "train", 3: "validation", 4: "test"}
+
+
+def test_split_manifest_columns(spark):
+    m = smp.split_manifest(fx.seqs(spark, SF), 7, 0.2, 0.1, 5)
+    assert m.columns == ["row_id", "seed", "split", "fold"] and m.count() == 399
