@@ -41,9 +41,13 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
                 c = c & (v <= F.lit(t["hi"]))
             return c
 
-        sizes = df.agg(*[F.count_if(member(t)).alias(f"n{i}") for i, t in enumerate(tasks)]).first()
-        small = [t for i, t in enumerate(tasks) if sizes[f"n{i}"] <= max_candidates]
-        large = [(t, sizes[f"n{i}"]) for i, t in enumerate(tasks) if sizes[f"n{i}"] > max_candidates]
+        unknown = [i for i, t in enumerate(tasks) if t.get("n") is None]
+        if unknown:  # first round only; later rounds know the bracket size from the count pass
+            sizes = df.agg(*[F.count_if(member(tasks[i])).alias(f"n{i}") for i in unknown]).first()
+            for i in unknown:
+                tasks[i]["n"] = sizes[f"n{i}"]
+        small = [t for t in tasks if t["n"] <= max_candidates]
+        large = [(t, t["n"]) for t in tasks if t["n"] > max_candidates]
         for t in small:
             vals = sorted(r[0] for r in df.filter(member(t)).select(v).collect())
             result[(t["g"], t["k"])] = vals[t["k"] - t["below"] - 1]
@@ -73,7 +77,7 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
                 if lo == hi:
                     result[(t["g"], t["k"])] = lo
                     continue
-                nxt.append({**t, "lo": lo, "hi": hi, "below": below_lo})
+                nxt.append({**t, "lo": lo, "hi": hi, "below": below_lo, "n": cs[f"u{i}"] - cs[f"b{i}"]})
             else:
                 # the sketch missed (rare): keep the bracket, ask for a finer sketch
                 accuracy = accuracy * 4
@@ -90,9 +94,28 @@ def quantile_ranks(n: int, q: float) -> tuple[int, int, float]:
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col: str | None = None,
-                    **kw) -> dict:
+                    persist: bool = True, **kw) -> dict:
     """``{(group, q): value}`` with linear interpolation; q = 0.5 uses the mean of the two
-    middle values like ``median``."""
+    middle values like ``median``.
+
+    The (group, value) projection is persisted (memory, spilling to disk) across the few passes,
+    since its input is usually a model's predictions; ``persist=False`` recomputes instead.
+    """
+    from pyspark import StorageLevel
+
+    cols = [value_col] + ([group_col] if group_col else [])
+    df = df.select(*cols)
+    if persist:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(df, value_col, probs, group_col, **kw)
+    finally:
+        if persist:
+            df.unpersist()
+
+
+def _exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col: str | None = None,
+                     **kw) -> dict:
     if group_col is None:
         counts = {None: df.agg(F.count(value_col)).first()[0]}
     else:

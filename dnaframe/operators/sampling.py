@@ -21,6 +21,7 @@ from dnaframe.functions.hashing import rank_hash
 from dnaframe.functions.sequence import to_numeric
 
 _LEVELS = (4, 8)  # hex digits per histogram level
+RANK_DIRECTLY = 1_000_000  # a boundary bucket up to this size is ranked without another level
 ALL = "all"
 NONE = "none"
 
@@ -61,10 +62,15 @@ def find_thresholds(keyed: DataFrame, cuts: dict) -> tuple[dict, dict]:
                 result[(g, c)] = ALL
             else:
                 tasks.append([g, c, "", c])
+    final_plen = _LEVELS[0]
     for level, plen in enumerate(_LEVELS):
         if not tasks:
             break
         if level > 0:
+            sizes = {(t[0], t[2]): dict(buckets[(t[0], "")]).get(t[2], 0) for t in tasks}
+            if max(sizes.values()) <= RANK_DIRECTLY:
+                break  # boundary buckets are small enough to rank as they are
+            final_plen = plen
             wanted = {(t[0], t[2]) for t in tasks}
             cond = _or_all([(F.col("_g") == F.lit(g)) & F.col("_h").startswith(p) for g, p in wanted])
             rows = keyed.filter(cond).groupBy("_g", F.substring("_h", 1, plen).alias("_b")).count().collect()
@@ -82,7 +88,7 @@ def find_thresholds(keyed: DataFrame, cuts: dict) -> tuple[dict, dict]:
                     break
                 cum += cnt
     if tasks:
-        plen = _LEVELS[-1]
+        plen = final_plen
         wanted = {(t[0], t[2]) for t in tasks}
         cond = _or_all([(F.col("_g") == F.lit(g)) & (F.substring("_h", 1, plen) == p) for g, p in wanted])
         w = Window.partitionBy("_g", F.substring("_h", 1, plen)).orderBy("_h", "_rid")
