@@ -96,7 +96,7 @@ GROUP BY label""", "seqs"))(gc_by_label)
 # ---- F1-F8 sequence functions ----------------------------------------------------------------
 
 @query("normalize_text", with_fixtures(f"""
-SELECT row_id, s AS sequence, length(s) AS length
+SELECT row_id, s AS sequence, CAST(length(s) AS INTEGER) AS length
 FROM (SELECT row_id, {norm_sql('sequence')} AS s FROM seqs_dirty) a""", "seqs_dirty"))
 def normalize_text(spark, sf_dir):
     d = fx.seqs_dirty(spark, sf_dir).select("row_id", normalize("sequence").alias("sequence"))
@@ -121,7 +121,7 @@ def gc_content_q(spark, sf_dir):
 
 def _kmer_long_sql(src: str, k: int) -> str:
     return f"""
-SELECT row_id, kmer, {slot_sql('kmer', k)} AS slot, count(*) AS n,
+SELECT row_id, kmer, CAST({slot_sql('kmer', k)} AS INTEGER) AS slot, count(*) AS n,
        round(count(*) / max(greatest(length(s) - {k} + 1, 1)), 6) AS freq
 FROM {kmer_windows_sql(src, k)} w
 GROUP BY row_id, kmer"""
@@ -140,7 +140,7 @@ def kmer_counts_text(spark, sf_dir):
 
 
 @query("kmer_spectrum", with_fixtures(f"""
-SELECT kmer, {slot_sql('kmer', 6)} AS slot, count(*) AS n, count(DISTINCT row_id) AS rows
+SELECT kmer, CAST({slot_sql('kmer', 6)} AS INTEGER) AS slot, count(*) AS n, count(DISTINCT row_id) AS rows
 FROM {kmer_windows_sql('seqs_long', 6)} w
 GROUP BY kmer""", "seqs_long"))
 def kmer_spectrum(spark, sf_dir):
@@ -148,7 +148,7 @@ def kmer_spectrum(spark, sf_dir):
 
 
 @query("kmer_row_totals", with_fixtures(f"""
-SELECT a.row_id, length(a.s) AS length, greatest(length(a.s) - 5, 1) AS windows,
+SELECT a.row_id, CAST(length(a.s) AS INTEGER) AS length, CAST(greatest(length(a.s) - 5, 1) AS INTEGER) AS windows,
        coalesce(w.acgt_windows, 0) AS acgt_windows, coalesce(w.distinct_kmers, 0) AS distinct_kmers
 FROM (SELECT row_id, {norm_sql('sequence')} AS s FROM seqs_dirty) a
 LEFT JOIN (SELECT row_id, count(*) AS acgt_windows, count(DISTINCT kmer) AS distinct_kmers
@@ -159,8 +159,8 @@ def kmer_row_totals(spark, sf_dir):
 
 
 @query("one_hot_positions", with_fixtures(f"""
-SELECT row_id, i - 1 AS pos, substring(p, i, 1) AS base,
-       5 * (i - 1) + instr('ACGTN', substring(p, i, 1)) - 1 AS idx
+SELECT row_id, CAST(i - 1 AS INTEGER) AS pos, substring(p, i, 1) AS base,
+       CAST(5 * (i - 1) + instr('ACGTN', substring(p, i, 1)) - 1 AS INTEGER) AS idx
 FROM (SELECT row_id, p, unnest(generate_series(1, 80)) AS i
       FROM (SELECT row_id, {pad_sql(norm_sql('sequence'), 80)} AS p FROM seqs) a) b""", "seqs"))
 def one_hot_positions(spark, sf_dir):
@@ -258,7 +258,7 @@ def class_counts_q(spark, sf_dir):
 
 def _summary_sql(src: str, col: str, name: str) -> str:
     return f"""
-SELECT '{name}' AS target_col, sum(c) AS row_count_with_target, count(*) AS class_count,
+SELECT '{name}' AS target_col, CAST(sum(c) AS BIGINT) AS row_count_with_target, count(*) AS class_count,
        count(y) > 0 AND bool_and(y IS NULL OR y IN (0, 1)) AS binary_numeric,
        CASE WHEN count(*) >= 2 THEN round(min(c) / sum(c), 4) END AS minority_fraction,
        coalesce(count(*) >= 2 AND min(c) / sum(c) < 0.35, false) AS imbalance_detected,
@@ -457,7 +457,7 @@ def classification_metrics_q(spark, sf_dir):
 
 
 @query("median_threshold", with_fixtures(f"""
-SELECT model, classification_threshold, {_CONF_COLS}
+SELECT model, round(classification_threshold, 6) AS classification_threshold, {_CONF_COLS}
 FROM (SELECT s.model, s.actual, m.med AS classification_threshold,
              CAST(s.prediction >= m.med AS INTEGER) AS predicted_label
       FROM scores s JOIN (SELECT model, median(prediction) AS med FROM scores GROUP BY model) m
@@ -467,7 +467,7 @@ def median_threshold_q(spark, sf_dir):
     s = fx.scores(spark, sf_dir)
     th = thr.median_thresholds(s)
     labelled = thr.apply_threshold(s, th)
-    return labelled.groupBy("model").agg(F.first("classification_threshold").alias("classification_threshold"),
+    return labelled.groupBy("model").agg(F.round(F.first("classification_threshold"), 6).alias("classification_threshold"),
                                          *met.confusion_aggs())
 
 
