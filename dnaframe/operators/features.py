@@ -21,7 +21,6 @@ from dnaframe.functions.sequence import (
     ONE_HOT_CATEGORIES,
     gc_content,
     kmer_denominator,
-    kmer_runs,
     kmer_slot,
     runs_of_sorted,
     sorted_windows,

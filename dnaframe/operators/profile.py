@@ -149,13 +149,16 @@ def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     from dnaframe.operators.quantiles import exact_quantiles
 
     spark = df.sparkSession
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"count{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"),
+                 F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
+    m = df.agg(*aggs).first()  # moments of every column in one pass
     rows = []
-    for c in cols:
-        m = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                   F.min(c).alias("min"), F.max(c).alias("max")).first()
+    for i, c in enumerate(cols):
         q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        rows.append((c, m["count"], m["mean"], m["std"], m["min"], q[(None, 0.25)], q[(None, 0.5)],
-                     q[(None, 0.75)], m["max"]))
+        rows.append((c, m[f"count{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], q[(None, 0.25)], q[(None, 0.5)],
+                     q[(None, 0.75)], m[f"max{i}"]))
     schema = ("column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
               "q75 double, max double")
     out = spark.createDataFrame(rows, schema)

@@ -18,7 +18,6 @@ from dnaframe.operators import metrics as met
 from dnaframe.operators import profile as prof
 from dnaframe.operators import sampling as smp
 from dnaframe.operators import thresholds as thr
-from dnaframe.operators.quantiles import exact_quantiles, order_statistics
 from dnaframe.plans import fixtures as fx
 from dnaframe.plans.fixtures import with_fixtures
 

@@ -40,7 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        # hash on a per-row scan id: balanced and deterministic on retry without the local sort
+        # that a round-robin repartition adds
+        from pyspark.sql import functions as F
+
+        return df.repartition(target, F.monotonically_increasing_id())
     return df
 
 
