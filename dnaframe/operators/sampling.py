@@ -11,7 +11,6 @@ literals: no exchange, no global sort, and the same rows under any partitioning.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,58 +34,66 @@ def _or_all(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 
 
-def find_thresholds(keyed: DataFrame, cuts: dict) -> tuple[dict, dict]:
+def _locate(hist: DataFrame, tasks: list) -> None:
+    """For every task ``[g, cut, prefix, residual]`` find the bucket of ``hist`` (``_g, _b,
+    count``; only buckets under ``prefix``) that holds its residual-th row, by a cumulative
+    window over the small histogram. Only one row per task reaches the driver."""
+    w = Window.partitionBy("_g", "_parent").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plen = len(tasks[0][2])
+    cum = hist.withColumn("_parent", F.substring("_b", 1, plen) if plen else F.lit("")) \
+              .withColumn("_cum", F.sum("count").over(w))
+    hit = _or_all([(F.col("_g") == F.lit(g)) & (F.col("_parent") == F.lit(p)) & (F.col("_cum") >= F.lit(res))
+                   & (F.col("_cum") - F.col("count") < F.lit(res)) for g, _, p, res in tasks])
+    found = {}
+    for r in cum.filter(hit).collect():
+        found.setdefault((r["_g"], r["_parent"]), []).append((r["_cum"] - r["count"], r["_cum"], r["_b"]))
+    for t in tasks:
+        for before, upto, b in found[(t[0], t[2])]:
+            if before < t[3] <= upto:
+                t[2], t[3] = b, t[3] - before
+                break
+
+
+def find_thresholds(keyed: DataFrame, cuts) -> tuple[dict, dict]:
     """Key of the c-th smallest row for every group and cut.
 
     ``keyed`` has ``_g, _h, _rid``; ``cuts`` maps group -> list of counts, or is a callable
     that builds that map from the group sizes (so one histogram pass gives sizes and cuts).
-    Returns ``({(g, c): (h, rid) | ALL | NONE}, {g: rows})``.
+    Returns ``({(g, c): (h, rid) | ALL | NONE}, {g: rows})``. The driver receives the group
+    sizes and one row per cut and level, never a whole histogram.
     """
+    from pyspark import StorageLevel
+
     result: dict = {}
-    # level 1 over all rows also yields the group sizes
-    hist = keyed.groupBy("_g", F.substring("_h", 1, _LEVELS[0]).alias("_b")).count().collect()
-    buckets = defaultdict(list)
-    for r in hist:
-        buckets[(r["_g"], "")].append((r["_b"], r["count"]))
-    totals = defaultdict(int)
-    for (g, _), lst in buckets.items():
-        totals[g] = sum(c for _, c in lst)
-    if callable(cuts):
-        cuts = cuts(dict(totals))
-    tasks = []  # [g, cut, prefix, residual]
-    for g, cs in cuts.items():
-        for c in cs:
-            if c <= 0:
-                result[(g, c)] = NONE
-            elif c >= totals.get(g, 0):
-                result[(g, c)] = ALL
-            else:
-                tasks.append([g, c, "", c])
+    hist = keyed.groupBy("_g", F.substring("_h", 1, _LEVELS[0]).alias("_b")).count() \
+                .persist(StorageLevel.MEMORY_AND_DISK)  # at most 65536 rows per group
+    try:
+        totals = {r["_g"]: r["n"] for r in hist.groupBy("_g").agg(F.sum("count").alias("n")).collect()}
+        if callable(cuts):
+            cuts = cuts(dict(totals))
+        tasks = []  # [g, cut, prefix, residual]
+        for g, cs in cuts.items():
+            for c in cs:
+                if c <= 0:
+                    result[(g, c)] = NONE
+                elif c >= totals.get(g, 0):
+                    result[(g, c)] = ALL
+                else:
+                    tasks.append([g, c, "", c])
+        if tasks:
+            _locate(hist, tasks)
+            sizes = hist.filter(_or_all([(F.col("_g") == F.lit(t[0])) & (F.col("_b") == F.lit(t[2])) for t in tasks])) \
+                        .agg(F.max("count")).first()[0]
+    finally:
+        hist.unpersist()
     final_plen = _LEVELS[0]
-    for level, plen in enumerate(_LEVELS):
-        if not tasks:
-            break
-        if level > 0:
-            sizes = {(t[0], t[2]): dict(buckets[(t[0], "")]).get(t[2], 0) for t in tasks}
-            if max(sizes.values()) <= RANK_DIRECTLY:
-                break  # boundary buckets are small enough to rank as they are
-            final_plen = plen
-            wanted = {(t[0], t[2]) for t in tasks}
-            cond = _or_all([(F.col("_g") == F.lit(g)) & F.col("_h").startswith(p) for g, p in wanted])
-            rows = keyed.filter(cond).groupBy("_g", F.substring("_h", 1, plen).alias("_b")).count().collect()
-            buckets = defaultdict(list)
-            for r in rows:
-                for g, p in wanted:
-                    if r["_g"] == g and r["_b"].startswith(p):
-                        buckets[(g, p)].append((r["_b"], r["count"]))
-        for t in tasks:
-            g, _, p, residual = t
-            cum = 0
-            for b, cnt in sorted(buckets[(g, p)]):
-                if cum + cnt >= residual:
-                    t[2], t[3] = b, residual - cum
-                    break
-                cum += cnt
+    if tasks and sizes > RANK_DIRECTLY:
+        # second level inside the boundary buckets only
+        final_plen = _LEVELS[1]
+        wanted = {(t[0], t[2]) for t in tasks}
+        cond = _or_all([(F.col("_g") == F.lit(g)) & F.col("_h").startswith(p) for g, p in wanted])
+        hist2 = keyed.filter(cond).groupBy("_g", F.substring("_h", 1, final_plen).alias("_b")).count()
+        _locate(hist2, tasks)
     if tasks:
         plen = final_plen
         wanted = {(t[0], t[2]) for t in tasks}

@@ -94,3 +94,11 @@ def test_provided_split(spark):
 def test_split_manifest_columns(spark):
     m = smp.split_manifest(fx.seqs(spark, SF), 7, 0.2, 0.1, 5)
     assert m.columns == ["row_id", "seed", "split", "fold"] and m.count() == 399
+
+
+def test_second_histogram_level_gives_same_rows(spark, monkeypatch):
+    base = fx.seqs_mid(spark, SF).select("row_id")
+    ref = {r.row_id: (r.split, r.fold) for r in smp.kfold(smp.holdout_split(base, 0.2, 42, validation_size=0.1), 5, 42).collect()}
+    monkeypatch.setattr(smp, "RANK_DIRECTLY", 0)  # force the level-2 histogram path
+    got = {r.row_id: (r.split, r.fold) for r in smp.kfold(smp.holdout_split(base, 0.2, 42, validation_size=0.1), 5, 42).collect()}
+    assert got == ref
