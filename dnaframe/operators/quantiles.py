@@ -19,6 +19,13 @@ MAX_CANDIDATES = 200_000
 ACCURACY = 10_000
 
 
+def _or_any(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
 def _in_group(group_col: str | None, g) -> Column:
     return F.lit(True) if group_col is None else (F.col(group_col) == F.lit(g))
 
@@ -48,9 +55,13 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
                 tasks[i]["n"] = sizes[f"n{i}"]
         small = [t for t in tasks if t["n"] <= max_candidates]
         large = [(t, t["n"]) for t in tasks if t["n"] > max_candidates]
-        for t in small:
-            vals = sorted(r[0] for r in df.filter(member(t)).select(v).collect())
-            result[(t["g"], t["k"])] = vals[t["k"] - t["below"] - 1]
+        if small:  # one job brings the (bounded) candidates of every small bracket
+            gcol = F.col(group_col) if group_col else F.lit(None)
+            rows = df.filter(_or_any([member(t) for t in small])).select(gcol.alias("g"), v.alias("v")).collect()
+            for t in small:
+                vals = sorted(r["v"] for r in rows if (group_col is None or r["g"] == t["g"])
+                              and (t["lo"] is None or r["v"] >= t["lo"]) and (t["hi"] is None or r["v"] <= t["hi"]))
+                result[(t["g"], t["k"])] = vals[t["k"] - t["below"] - 1]
         if not large:
             break
         # bracket the local rank with approximate quantiles inside the current bracket
