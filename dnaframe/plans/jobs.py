@@ -57,12 +57,15 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = None) -> dict:
     """Returns the manifest dict; writes rows (K1), manifest and class counts (K4)."""
-    df = read_any(spark, path)
+    dataset_id = dataset_id or str(uuid.uuid4())
+    # parse the source once: write it, then count and profile the stored columnar copy
+    store.write_dataset(read_any(spark, path), root, dataset_id)
+    if store.read_table(spark, root, "datasets", "data") is None:
+        raise ValueError("Dataset contains no rows")
+    df = store.load_dataset(spark, root, dataset_id)
     rows = df.count()
     if rows == 0:
         raise ValueError("Dataset contains no rows")
-    dataset_id = dataset_id or str(uuid.uuid4())
-    store.write_dataset(df, root, dataset_id)
     cols = [c for c in df.columns if c != "row_id"]
     target = prof.infer_column(cols, prof.TARGET_CANDIDATES)
     seqcol = prof.infer_column(cols, prof.SEQUENCE_CANDIDATES)
@@ -147,6 +150,8 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
     test = split.filter(F.col("split") == "test")
     fitted, preds = mdl.fit_and_predict(train, test, list(req.models), req.random_seed, row_id,
                                         overrides=req.model_overrides)
+    # test rows x models: read by the threshold passes, the metrics and the sinks
+    preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
     binary = bool(prof.is_binary(split, "y").first()[0])
     thresholds = None
     if binary:

@@ -122,3 +122,9 @@ def test_profile_export_and_replay(spark, tmpdir_path):
     d = jobs.dry_run_summary(spark, cdir).first()
     assert d.dataset_available and d.dataset_checksum_verified and d.models == ["linear_regression", "cnn"]
     assert read_run_configs(spark, cdir).first().split.random_seed == 7
+
+
+def test_ingest_rejects_empty(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "empty.fasta"), "no header here\n")
+    with pytest.raises(ValueError):
+        jobs.ingest(spark, p, os.path.join(tmpdir_path, "store_empty"))
