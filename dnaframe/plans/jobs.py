@@ -59,13 +59,12 @@ def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = N
     """Returns the manifest dict; writes rows (K1), manifest and class counts (K4)."""
     dataset_id = dataset_id or str(uuid.uuid4())
     # parse the source once: write it, then count and profile the stored columnar copy
-    store.write_dataset(read_any(spark, path), root, dataset_id)
-    if store.read_table(spark, root, "datasets", "data") is None:
+    src = read_any(spark, path)
+    if src.isEmpty():  # stops at the first row found
         raise ValueError("Dataset contains no rows")
+    store.write_dataset(src, root, dataset_id)
     df = store.load_dataset(spark, root, dataset_id)
     rows = df.count()
-    if rows == 0:
-        raise ValueError("Dataset contains no rows")
     cols = [c for c in df.columns if c != "row_id"]
     target = prof.infer_column(cols, prof.TARGET_CANDIDATES)
     seqcol = prof.infer_column(cols, prof.SEQUENCE_CANDIDATES)
