@@ -230,24 +230,28 @@ def undersample(df: DataFrame, target: str, seed: int, strategy: str = "undersam
     if strategy not in {"undersample", "auto_undersample"} or target not in df.columns:
         return df, False
     y = to_numeric(target)
-    stats = df.agg(
-        F.count(y).alias("n"),
-        F.coalesce(F.bool_and(y.isNull() | y.isin(0.0, 1.0)), F.lit(True)).alias("binary"),
-        F.count_if(y == 0.0).alias("n0"),
-        F.count_if(y == 1.0).alias("n1"),
-    ).first()
-    if not stats["n"] or not stats["binary"] or stats["n0"] == 0 or stats["n1"] == 0:
-        return df, False
-    n0, n1 = stats["n0"], stats["n1"]
-    if strategy == "auto_undersample" and min(n0, n1) / (n0 + n1) >= imbalance_below:
+    # one histogram pass over (class, hash prefix) gives the class sizes, the binary check
+    # (any other numeric value lands in group -1) and the buckets of the majority class
+    klass = F.when(y.isin(0.0, 1.0), y.cast("int")).otherwise(F.lit(-1))
+    keyed = df.filter(y.isNotNull()).select(klass.alias("_g"), rank_hash(seed, row_id).alias("_h"),
+                                            F.col(row_id).alias("_rid"))
+    plan: dict = {}
+
+    def cuts(totals):
+        n0, n1 = totals.get(0, 0), totals.get(1, 0)
+        if totals.get(-1, 0) or n0 == 0 or n1 == 0:
+            return {}
+        if strategy == "auto_undersample" and min(n0, n1) / (n0 + n1) >= imbalance_below:
+            return {}
+        plan.update(keep=min(n0, n1), major=0 if n0 > n1 else 1)
+        return {plan["major"]: [plan["keep"]]}
+
+    th, _ = find_thresholds(keyed, cuts)
+    if not plan:
         return df, False
-    keep = min(n0, n1)
-    major = 0.0 if n0 > n1 else 1.0
-    keyed = df.filter(y == F.lit(major)).select(F.lit(0).alias("_g"), rank_hash(seed, row_id).alias("_h"),
-                                                F.col(row_id).alias("_rid"))
-    th, _ = find_thresholds(keyed, {0: [keep]})
-    kept_major = _at_or_below(th[(0, keep)], rank_hash(seed, row_id), F.col(row_id))
-    out = df.filter(y.isNotNull() & ((y != F.lit(major)) | kept_major))
+    major, keep = plan["major"], plan["keep"]
+    kept_major = _at_or_below(th[(major, keep)], rank_hash(seed, row_id), F.col(row_id))
+    out = df.filter(y.isNotNull() & ((y != F.lit(float(major))) | kept_major))
     return out, True
 
 
