@@ -84,7 +84,7 @@ def kmer_denominator(seq, k: int, normalized: bool = True) -> Column:
 
 def sorted_windows(seq, k: int, normalized: bool = True) -> Column:
     """N-free k-mer windows of a row, sorted (the input of ``runs_of_sorted``)."""
-    return F.array_sort(kmer_windows(seq, k, normalized))
+    return F.sort_array(kmer_windows(seq, k, normalized))
 
 
 def runs_of_sorted(w) -> Column:
