@@ -68,9 +68,10 @@ def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = N
     cols = [c for c in df.columns if c != "row_id"]
     target = prof.infer_column(cols, prof.TARGET_CANDIDATES)
     seqcol = prof.infer_column(cols, prof.SEQUENCE_CANDIDATES)
-    digests = digest.file_digests(spark, path).collect()
-    sha = digests[0]["sha256"] if len(digests) == 1 else None
-    size = sum(r["size_bytes"] for r in digests)
+    dg = digest.file_digests(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"),
+                                             F.first("sha256").alias("sha256")).first()
+    sha = dg["sha256"] if dg["files"] == 1 else None  # a folder is fingerprinted per file, not as one digest
+    size = dg["bytes"] or 0
     manifest = {
         "dataset_id": dataset_id, "original_name": os.path.basename(path.rstrip("/")), "created_at": _now(),
         "row_count": rows, "columns": cols, "suggested_sequence_col": seqcol, "suggested_target_col": target,

@@ -107,3 +107,21 @@ def test_build_features_width(spark):
 ])
 def test_to_numeric(spark, raw, expected):
     assert one(spark, to_numeric("s"), raw) == expected
+
+
+def test_normalize_property_against_rule(spark):
+    """M1 on random text (letters, blanks, unicode): upper, strip ends, non-ACGTN -> N."""
+    from hypothesis import given, settings, strategies as st
+
+    samples = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.sampled_from(list("acgtnuxACGTN \t\n 　ßé")), max_size=30))
+    def collect(s):
+        samples.append(s)
+
+    collect()
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    got = [r[0] for r in df.select(normalize("s")).collect()]
+    want = ["".join(b if b in "ACGTN" else "N" for b in s.upper().strip()) for s in samples]
+    assert got == want
