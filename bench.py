@@ -93,6 +93,9 @@ def main() -> None:
     def q_kmer6_spectrum():
         run(feat.kmer_spectrum(fxs.seqs_long(spark, sf), 6))
 
+    def q_kmer6_counts():
+        run(feat.kmer_spectrum(fxs.seqs_long(spark, sf), 6, with_rows=False))
+
     def q_kmer6_long():
         run(feat.kmer_long(fxs.seqs_long(spark, sf), 6))
 
@@ -130,6 +133,7 @@ def main() -> None:
         "normalize_gc": q_normalize_gc,
         "dirty_normalize_gc": q_dirty_normalize_gc,
         "kmer6_spectrum": q_kmer6_spectrum,
+        "kmer6_counts": q_kmer6_counts,
         "kmer6_long": q_kmer6_long,
         "kmer6_vectors": q_kmer6_vectors,
         "undersample": q_undersample,

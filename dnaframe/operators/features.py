@@ -116,16 +116,22 @@ def kmer_row_totals(df: DataFrame, k: int, seq_col: str = "sequence", id_cols=("
     )
 
 
-def kmer_spectrum(df: DataFrame, k: int, seq_col: str = "sequence", by=(), normalized: bool = False) -> DataFrame:
-    """Corpus k-mer spectrum ``(by..., kmer, slot, n, rows)``: occurrences and rows holding it.
-
-    One generator emits every window tagged as an occurrence and every distinct window of the
-    row tagged as a row hit; a single ``groupBy(kmer)`` with map-side partial aggregation sums
-    both, so the exchange carries at most 4^k keys per partition and group, whatever the
-    number of sequences. No per-row sort.
+def kmer_spectrum(df: DataFrame, k: int, seq_col: str = "sequence", by=(), normalized: bool = False,
+                  with_rows: bool = True) -> DataFrame:
+    """Corpus k-mer spectrum ``(by..., kmer, slot, n[, rows])``: occurrences, and rows holding it.
+
+    One generator emits every window (tagged as an occurrence) and, with ``with_rows``, every
+    distinct window of the row (tagged as a row hit); a single ``groupBy(kmer)`` with map-side
+    partial aggregation sums both, so the exchange carries at most 4^k keys per partition and
+    group, whatever the number of sequences. No per-row sort. Without ``with_rows`` the per-row
+    distinct step is skipped (about 3x less work).
     """
     s = F.col(seq_col) if normalized else normalize(seq_col)
     w = df.select(*by, kmer_windows(s, k).alias("_w"))
+    if not with_rows:
+        x = w.select(*by, F.explode_outer("_w").alias("kmer")).filter(F.col("kmer").isNotNull())
+        return x.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n")) \
+                .select(*by, "kmer", kmer_slot("kmer").alias("slot"), "n")
     tagged = F.concat(
         F.transform("_w", lambda x: F.struct(x.alias("kmer"), F.lit(1).alias("o"), F.lit(0).alias("r"))),
         F.transform(F.array_distinct("_w"), lambda x: F.struct(x.alias("kmer"), F.lit(0).alias("o"), F.lit(1).alias("r"))),

@@ -125,3 +125,11 @@ def test_normalize_property_against_rule(spark):
     got = [r[0] for r in df.select(normalize("s")).collect()]
     want = ["".join(b if b in "ACGTN" else "N" for b in s.upper().strip()) for s in samples]
     assert got == want
+
+
+def test_spectrum_without_rows_matches(spark):
+    df = spark.createDataFrame([(1, "ACGTACG"), (2, "ACNGTA"), (3, "ACGACG")], "row_id int, sequence string")
+    full = {r.kmer: (r.n, r.rows) for r in feat.kmer_spectrum(df, 3).collect()}
+    fast = {r.kmer: r.n for r in feat.kmer_spectrum(df, 3, with_rows=False).collect()}
+    assert {k: v[0] for k, v in full.items()} == fast
+    assert full["ACG"] == (4, 2) and full["GTA"] == (2, 2)
