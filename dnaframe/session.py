@@ -38,8 +38,12 @@ def spread(df: DataFrame) -> DataFrame:
     CPU-heavy sequence work on one core. A large input already has thousands of splits and is
     returned untouched, so this never adds a shuffle at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: no RDD view, leave the scan as it is
+        return df
+    if current < target:
         # hash on a per-row scan id: balanced and deterministic on retry without the local sort
         # that a round-robin repartition adds
         from pyspark.sql import functions as F
