@@ -391,6 +391,25 @@ def auto_undersample_q(spark, sf_dir):
     return rows
 
 
+@query("provided_split", """
+SELECT o_orderkey AS row_id,
+       CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'P' THEN 'validation' ELSE 'test' END AS split
+FROM orders WHERE o_orderstatus IN ('F', 'P', 'O')""")
+def provided_split_q(spark, sf_dir):
+    """Three given tables (orders by status) as one split table."""
+    o = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
+    part = {k: o.filter(F.col("o_orderstatus") == k).select("row_id") for k in ("F", "P", "O")}
+    return smp.provided_split(part["F"], part["P"], part["O"])
+
+
+@query("table_fingerprint")
+def table_fingerprint_q(spark, sf_dir):
+    """F11 at table scale: order-free (rows, sum of row hashes) of the whole lineitem table."""
+    from dnaframe.functions.hashing import table_fingerprint
+
+    return table_fingerprint(fx.table(spark, sf_dir, "lineitem"))
+
+
 # ---- evaluation: A5-A13, T1-T7, J3, U1, W10 ------------------------------------------------
 
 # Errors here are on the order-price scale (mse ~ 1e9): a double sum is exact to ~1e-6 relative

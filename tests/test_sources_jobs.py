@@ -128,3 +128,14 @@ def test_ingest_rejects_empty(spark, tmpdir_path):
     p = write(os.path.join(tmpdir_path, "empty.fasta"), "no header here\n")
     with pytest.raises(ValueError):
         jobs.ingest(spark, p, os.path.join(tmpdir_path, "store_empty"))
+
+
+def test_table_fingerprint_is_order_free(spark):
+    from dnaframe.functions.hashing import table_fingerprint
+
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    a = table_fingerprint(li).first()
+    b = table_fingerprint(li.repartition(7).orderBy(F.rand(3))).first()
+    assert a == b and a.rows == 60000 or a.rows == li.count()
+    c = table_fingerprint(li.limit(100)).first()
+    assert c != a
