@@ -136,6 +136,7 @@ def test_table_fingerprint_is_order_free(spark):
     li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
     a = table_fingerprint(li).first()
     b = table_fingerprint(li.repartition(7).orderBy(F.rand(3))).first()
-    assert a == b and a.rows == 60000 or a.rows == li.count()
+    assert a == b
+    assert a.rows == li.count()
     c = table_fingerprint(li.limit(100)).first()
     assert c != a
