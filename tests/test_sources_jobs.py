@@ -140,3 +140,29 @@ def test_table_fingerprint_is_order_free(spark):
     assert a.rows == li.count()
     c = table_fingerprint(li.limit(100)).first()
     assert c != a
+
+
+def test_benchmark_validation_threshold(spark, tmpdir_path):
+    df = tabular.read_delimited(spark, _dataset_csv(tmpdir_path, n=60))
+    req = jobs.BenchmarkRequest(target_col="label", models=["linear_regression"], validation_size=0.2,
+                                preprocessing={"use_gc": True, "use_kmers": True, "kmer_size": 2},
+                                threshold_strategy="validation_mcc", threshold_scope="per_model")
+    out = jobs.benchmark_frames(df, req)
+    assert out["validation_rows"] == 12 and out["test_rows"] == 12 and out["train_rows"] == 36
+    th = out["thresholds"]["linear_regression"]
+    val_scores = {r.prediction for r in out["fitted"]["linear_regression"].transform(
+        out["split"].filter("split = 'validation'")).collect()}
+    assert th in val_scores  # a validation score, not a test score
+    m = out["metrics"].first()
+    assert m.test_rows == 12 and m.classification_threshold == th
+    out["split"].unpersist()
+
+
+def test_reproducibility_status_cases(spark):
+    runs = spark.createDataFrame(
+        [("r1", "d1", "abc", True, False), ("r2", "d1", "abc", False, False), ("r3", "d1", "abc", True, True),
+         ("r4", "d2", "xyz", True, False)],
+        "run_id string, dataset_id string, dataset_sha256 string, has_config boolean, source_dataset_removed_after_run boolean")
+    ds = spark.createDataFrame([("d1", "abc")], "dataset_id string, sha256 string")
+    got = {r.run_id: r.reproducibility_status for r in store.reproducibility_status(runs, ds).collect()}
+    assert got == {"r1": "complete", "r2": "missing_config", "r3": "partial", "r4": "partial"}
