@@ -1,3 +1,3 @@
-from dnaframe.streaming.ingest import class_totals, start_ingest, stream_delimited
+from dnaframe.streaming.ingest import class_totals, load_streamed, start_ingest, stream_delimited
 
-__all__ = ["class_totals", "start_ingest", "stream_delimited"]
+__all__ = ["class_totals", "load_streamed", "start_ingest", "stream_delimited"]
