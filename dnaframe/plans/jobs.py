@@ -83,12 +83,12 @@ def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = N
         summary = prof.target_summary(df, target).first().asDict()
         manifest["target_summary"] = {k: v for k, v in summary.items()}
         cc = prof.class_counts(df, target).withColumn("dataset_id", F.lit(dataset_id))
-        store.append_rows(cc, root, "datasets", "class_counts")
+        store.write_partitions(cc, root, "datasets", "class_counts")
     schema = ("dataset_id string, original_name string, created_at string, row_count bigint, columns array<string>, "
               "suggested_sequence_col string, suggested_target_col string, large_dataset_warning boolean, "
               "local_small_run_limit bigint, sha256 string, source_format string, upload_bytes bigint, source_path string")
     row = {k: manifest[k] for k in [f.split()[0] for f in schema.split(", ")]}
-    store.append_rows(spark.createDataFrame([row], schema), root, "datasets", "manifest")
+    store.write_partitions(spark.createDataFrame([row], schema), root, "datasets", "manifest")
     return manifest
 
 
@@ -180,8 +180,8 @@ def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: Dat
     out = benchmark_frames(data, req)
     run_id = str(uuid.uuid4())
     preds = out["predictions"].withColumn("run_id", F.lit(run_id))
-    store.append_rows(preds, root, "runs", "predictions", partition_by=("run_id", "model"))
-    store.append_rows(out["metrics"].withColumn("run_id", F.lit(run_id)), root, "runs", "metrics")
+    store.write_partitions(preds, root, "runs", "predictions", keys=("run_id", "model"))
+    store.write_partitions(out["metrics"].withColumn("run_id", F.lit(run_id)), root, "runs", "metrics", keys=("run_id",))
     model_paths = {n: store.save_model(m, root, run_id, n) for n, m in out["fitted"].items()}
     manifest = None
     if req.dataset_id:
@@ -208,7 +208,7 @@ def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: Dat
               "class_balance_applied boolean, train_rows bigint, test_rows bigint, target_kind string, "
               "source_dataset_removed_after_run boolean, has_config boolean, target_col string, request_json string, "
               "classification_threshold double, model_paths_json string")
-    store.append_rows(spark.createDataFrame([reg], schema), root, "runs", "registry")
+    store.write_partitions(spark.createDataFrame([reg], schema), root, "runs", "registry", keys=("run_id",))
     out["split"].unpersist()
     return {"run": reg, "metrics": out["metrics"], "predictions": out["predictions"]}
 

@@ -11,7 +11,9 @@ Layout under a root folder (a shared file system or object store on a cluster):
     runs/models/<run>/<model>  saved Spark ML models                                (K6)
     runs/replays           one row per replay                                       (K7)
 
-Lookups by id filter on the partition column, so Spark prunes to one folder.
+Every table is partitioned by its id and written with dynamic partition overwrite: a write that
+is retried after a failure replaces exactly the partitions it owns (no duplicate rows), and
+lookups by id prune to one folder.
 """
 
 from __future__ import annotations
@@ -33,10 +35,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def write_partitions(df: DataFrame, root: str, *parts: str, keys=("dataset_id",)) -> None:
+    """Idempotent sink: replace only the ``keys`` partitions present in ``df``."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*keys).parquet(_p(root, *parts)))
+
+
 def write_dataset(df: DataFrame, root: str, dataset_id: str) -> None:
     """K1: store the table once, in its own partition."""
-    (df.withColumn("dataset_id", F.lit(dataset_id)).write.mode("append")
-       .partitionBy("dataset_id").parquet(_p(root, "datasets", "data")))
+    write_partitions(df.withColumn("dataset_id", F.lit(dataset_id)), root, "datasets", "data")
 
 
 def load_dataset(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
