@@ -1,11 +1,13 @@
 """Exact-size seeded sampling and splitting without a one-partition sort.
 
 Every row gets the key ``md5(seed:row_id)``. "The first c rows in seeded order" is the set of
-rows whose key is at most the c-th smallest key. That key is found with two histogram passes
-over hex prefixes of the hash (65536 buckets each, map-side combined, so the driver sees at
-most 65536 small rows per cut) and a rank inside the one remaining prefix, which holds about
-rows / 2^32 rows. Tagging is then a narrow projection that compares each key with a few
-literals: no exchange, no global sort, and the same rows under any partitioning.
+rows whose key is at most the c-th smallest key. That key is found with a histogram over the
+first 4 hex digits of the hash (65536 buckets per group, map-side combined, kept in Spark; a
+cumulative window finds the bucket holding the c-th row and only that row reaches the driver),
+then a rank inside that one bucket (about rows / 65536 rows). Beyond ~65 billion rows a second
+histogram level over 8 hex digits narrows the bucket first. Tagging is then a narrow projection
+that compares each key with a few literals: no exchange, no global sort, and the same rows
+under any partitioning.
 """
 
 from __future__ import annotations
