@@ -212,6 +212,18 @@ def split_manifest(df: DataFrame, seed: int, test_size: float, validation_size:
     return tagged.select(row_id, F.lit(int(seed)).alias("seed"), "split", "fold")
 
 
+def save_split_manifest(manifest: DataFrame, path: str) -> None:
+    """Persist a manifest ``(row_id, seed, split, fold)``, one partition per seed (rewriting
+    a seed replaces only that seed's rows)."""
+    (manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("seed").parquet(path))
+
+
+def load_split_manifest(spark, path: str, seed: int) -> DataFrame:
+    """The saved manifest of one seed (partition pruning on seed)."""
+    return spark.read.parquet(path).filter(F.col("seed") == int(seed))
+
+
 def provided_split(train: DataFrame, validation: DataFrame | None, test: DataFrame) -> DataFrame:
     """Three given tables as one with a ``split`` literal."""
     parts = [train.withColumn("split", F.lit("train")), test.withColumn("split", F.lit("test"))]

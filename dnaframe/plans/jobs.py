@@ -112,6 +112,7 @@ class BenchmarkRequest:
     balance_strategy: str = "none"
     max_rows: int = 0  # 0 = no cap: Spark runs the whole table
     model_overrides: dict = field(default_factory=dict)
+    split_manifest_path: str | None = None  # X6: take the split from a saved manifest (joined on row_id)
 
     def __post_init__(self):
         if not (0.05 <= self.test_size <= 0.5):
@@ -138,8 +139,12 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
     valid = source.select(row_id, req.sequence_col, to_numeric(target).alias("y")).filter(F.col("y").isNotNull())
     frame = feat.build_features(valid, req.sequence_col, cfg, keep=(row_id, "y"))
     use_validation = req.threshold_strategy in ("validation_mcc", "validation_f1", "high_sensitivity") and req.validation_size > 0
-    split = smp.holdout_split(frame, req.test_size, req.random_seed, row_id,
-                              validation_size=req.validation_size if use_validation else 0.0)
+    if req.split_manifest_path:
+        manifest = smp.load_split_manifest(frame.sparkSession, req.split_manifest_path, req.random_seed)
+        split = frame.join(manifest.select(row_id, "split"), row_id, "inner")
+    else:
+        split = smp.holdout_split(frame, req.test_size, req.random_seed, row_id,
+                                  validation_size=req.validation_size if use_validation else 0.0)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     counts = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     rows_used = sum(counts.values())

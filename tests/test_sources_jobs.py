@@ -166,3 +166,21 @@ def test_reproducibility_status_cases(spark):
     ds = spark.createDataFrame([("d1", "abc")], "dataset_id string, sha256 string")
     got = {r.run_id: r.reproducibility_status for r in store.reproducibility_status(runs, ds).collect()}
     assert got == {"r1": "complete", "r2": "missing_config", "r3": "partial", "r4": "partial"}
+
+
+def test_benchmark_from_saved_manifest(spark, tmpdir_path):
+    from dnaframe.operators import sampling as smp
+
+    df = tabular.read_delimited(spark, _dataset_csv(tmpdir_path, n=50))
+    path = os.path.join(tmpdir_path, "manifest")
+    smp.save_split_manifest(smp.split_manifest(df, 5, 0.3, 0.0, 5), path)
+    smp.save_split_manifest(smp.split_manifest(df, 5, 0.3, 0.0, 5), path)  # rewrite: no duplicates
+    m = smp.load_split_manifest(spark, path, 5)
+    assert m.count() == 50 and m.filter("split = 'test'").count() == 15
+    req = jobs.BenchmarkRequest(target_col="label", models=["linear_regression"], random_seed=5,
+                                preprocessing={"use_gc": True, "use_kmers": False}, split_manifest_path=path)
+    out = jobs.benchmark_frames(df, req)
+    assert (out["train_rows"], out["test_rows"]) == (35, 15)
+    test_ids = {r.row_id for r in m.filter("split = 'test'").collect()}
+    assert {r.row_id for r in out["predictions"].collect()} == test_ids
+    out["split"].unpersist()
