@@ -178,6 +178,61 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
     }
 
 
+def _feature_frame(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> DataFrame:
+    """Cap, balance, valid target, features: the frame every fold or seed reuses."""
+    target = prof.resolve_target_column(df.columns, req.target_col)
+    source = df
+    if req.max_rows and req.max_rows > 0:
+        source, _ = prof.cap_rows(source, req.max_rows, row_id)
+    source, _ = smp.undersample(source, target, req.random_seed, req.balance_strategy, row_id)
+    valid = source.select(row_id, req.sequence_col, to_numeric(target).alias("y")).filter(F.col("y").isNotNull())
+    return feat.build_features(valid, req.sequence_col, feat.FeatureConfig.from_dict(req.preprocessing), keep=(row_id, "y"))
+
+
+def _fold_metrics(train: DataFrame, test: DataFrame, req: BenchmarkRequest, seed: int, binary: bool,
+                  row_id: str = "row_id") -> DataFrame:
+    _, preds = mdl.fit_and_predict(train, test, list(req.models), seed, row_id, overrides=req.model_overrides)
+    preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
+    if binary:
+        th = thr.resolve_thresholds(preds, req.threshold_strategy, req.threshold_value, req.threshold_scope,
+                                    req.biological_goal)
+        preds = thr.apply_threshold(preds, th)
+    return met.all_metrics(preds, binary, train_rows=None)
+
+
+def cross_validate(df: DataFrame, req: BenchmarkRequest, folds: int = 5, row_id: str = "row_id") -> dict:
+    """X4 executed: exact seeded k folds; each fold is the test set once. Returns per-fold
+    metrics and their mean / std / min / max per model (W10 form)."""
+    frame = smp.kfold(_feature_frame(df, req, row_id), folds, req.random_seed, row_id)
+    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    binary = bool(prof.is_binary(frame, "y").first()[0])
+    per_fold = None
+    for f in range(folds):  # k Spark jobs over the persisted frame; k is a small parameter
+        m = _fold_metrics(frame.filter(F.col("fold") != f), frame.filter(F.col("fold") == f), req,
+                          req.random_seed, binary, row_id).withColumn("fold", F.lit(f))
+        per_fold = m if per_fold is None else per_fold.unionByName(m)
+    per_fold = per_fold.persist(StorageLevel.MEMORY_AND_DISK)
+    summary = met.multi_seed_summary(per_fold).withColumnRenamed("seeds", "folds")
+    return {"per_fold": per_fold, "summary": summary, "frame": frame, "binary_target": binary}
+
+
+def repeated_benchmark(df: DataFrame, req: BenchmarkRequest, seeds: list[int], row_id: str = "row_id") -> dict:
+    """X5 + W10 executed: one exact holdout and fit per seed, then mean / std / min / max of every
+    metric per model across seeds."""
+    frame = _feature_frame(df, req, row_id)
+    tagged = smp.repeated_holdout(frame, req.test_size, seeds, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+    binary = bool(prof.is_binary(frame, "y").first()[0])
+    per_seed = None
+    for sd in seeds:
+        one = tagged.filter(F.col("seed") == int(sd))
+        m = _fold_metrics(one.filter(F.col("split") == "train"), one.filter(F.col("split") == "test"), req,
+                          int(sd), binary, row_id).withColumn("seed", F.lit(int(sd)))
+        per_seed = m if per_seed is None else per_seed.unionByName(m)
+    per_seed = per_seed.persist(StorageLevel.MEMORY_AND_DISK)
+    return {"per_seed": per_seed, "summary": met.multi_seed_summary(per_seed), "frame": tagged,
+            "binary_target": binary}
+
+
 def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: DataFrame | None = None) -> dict:
     """W2 with writes: predictions (K2), metrics (K3), registry row (K5), models (K6)."""
     started = _now()

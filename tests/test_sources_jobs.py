@@ -184,3 +184,18 @@ def test_benchmark_from_saved_manifest(spark, tmpdir_path):
     test_ids = {r.row_id for r in m.filter("split = 'test'").collect()}
     assert {r.row_id for r in out["predictions"].collect()} == test_ids
     out["split"].unpersist()
+
+
+def test_cross_validate_and_repeated(spark, tmpdir_path):
+    df = tabular.read_delimited(spark, _dataset_csv(tmpdir_path, n=50))
+    req = jobs.BenchmarkRequest(target_col="label", models=["linear_regression"], random_seed=3,
+                                preprocessing={"use_gc": True, "use_kmers": True, "kmer_size": 2})
+    cv = jobs.cross_validate(df, req, folds=5)
+    rows = cv["per_fold"].collect()
+    assert sorted(r.fold for r in rows) == [0, 1, 2, 3, 4] and all(r.test_rows == 10 for r in rows)
+    s = cv["summary"].first()
+    assert s.folds == 5 and s.mcc_min <= s.mcc_mean <= s.mcc_max
+    rep = jobs.repeated_benchmark(df, req, [1, 2, 3])
+    ps = rep["per_seed"].collect()
+    assert sorted(r.seed for r in ps) == [1, 2, 3] and all(r.test_rows == 10 for r in ps)
+    assert rep["summary"].first().seeds == 3
