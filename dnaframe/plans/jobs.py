@@ -396,3 +396,11 @@ def benchmark_run_q(spark, sf_dir):
                            random_seed=42, threshold_strategy="median")
     out = benchmark_frames(fx.seqs(spark, sf_dir), req)
     return out["metrics"]
+
+
+@query("cross_validate_run")
+def cross_validate_run_q(spark, sf_dir):
+    """X4 executed: 5 exact seeded folds over the labelled sequences, one fit per fold, summary per model."""
+    req = BenchmarkRequest(models=["linear_regression"], target_col="label",
+                           preprocessing={"use_gc": True, "use_kmers": True, "kmer_size": 3}, random_seed=42)
+    return cross_validate(fx.seqs(spark, sf_dir), req, folds=5)["summary"]
