@@ -199,3 +199,22 @@ def test_cross_validate_and_repeated(spark, tmpdir_path):
     ps = rep["per_seed"].collect()
     assert sorted(r.seed for r in ps) == [1, 2, 3] and all(r.test_rows == 10 for r in ps)
     assert rep["summary"].first().seeds == 3
+
+
+def test_m15_needs_five_valid_rows(spark, tmpdir_path):
+    p = write(os.path.join(tmpdir_path, "few.csv"), "sequence,target\nACGT,1\nGGCC,x\nAAAA,2\nCCCC,\nGGGG,3\nTTTT,4\n")
+    req = jobs.BenchmarkRequest(target_col="target", preprocessing={"use_gc": True, "use_kmers": False})
+    with pytest.raises(ValueError, match="at least 5"):
+        jobs.benchmark_frames(tabular.read_delimited(spark, p), req)
+
+
+def test_m13_cap_then_balance(spark, tmpdir_path):
+    df = tabular.read_delimited(spark, _dataset_csv(tmpdir_path, n=40))
+    first20 = df.orderBy("row_id").limit(20).collect()
+    ones = sum(1 for r in first20 if r.label == 1)
+    req = jobs.BenchmarkRequest(target_col="label", max_rows=20, balance_strategy="undersample", test_size=0.2,
+                                preprocessing={"use_gc": True, "use_kmers": False})
+    out = jobs.benchmark_frames(df, req)
+    assert out["row_cap_applied"] and out["class_balance_applied"]
+    assert out["rows_used"] == 2 * min(ones, 20 - ones)
+    out["split"].unpersist()
