@@ -219,17 +219,17 @@ def cross_validate(df: DataFrame, req: BenchmarkRequest, folds: int = 5, row_id:
 def repeated_benchmark(df: DataFrame, req: BenchmarkRequest, seeds: list[int], row_id: str = "row_id") -> dict:
     """X5 + W10 executed: one exact holdout and fit per seed, then mean / std / min / max of every
     metric per model across seeds."""
-    frame = _feature_frame(df, req, row_id)
-    tagged = smp.repeated_holdout(frame, req.test_size, seeds, row_id).persist(StorageLevel.MEMORY_AND_DISK)
+    # one persisted feature frame; each seed tags it with a narrow projection (no copy per seed)
+    frame = _feature_frame(df, req, row_id).persist(StorageLevel.MEMORY_AND_DISK)
     binary = bool(prof.is_binary(frame, "y").first()[0])
     per_seed = None
     for sd in seeds:
-        one = tagged.filter(F.col("seed") == int(sd))
+        one = smp.holdout_split(frame, req.test_size, int(sd), row_id)
         m = _fold_metrics(one.filter(F.col("split") == "train"), one.filter(F.col("split") == "test"), req,
                           int(sd), binary, row_id).withColumn("seed", F.lit(int(sd)))
         per_seed = m if per_seed is None else per_seed.unionByName(m)
     per_seed = per_seed.persist(StorageLevel.MEMORY_AND_DISK)
-    return {"per_seed": per_seed, "summary": met.multi_seed_summary(per_seed), "frame": tagged,
+    return {"per_seed": per_seed, "summary": met.multi_seed_summary(per_seed), "frame": frame,
             "binary_target": binary}
 
 
