@@ -4,9 +4,9 @@
 * ``median`` (T2): the exact median of each model's predictions (scale-safe order statistics).
 * ``validation_mcc`` / ``validation_f1`` / ``high_sensitivity`` (T3-T5): a sweep over every
   distinct score. Cumulative true/false positive counts at each score come from a distributed
-  prefix sum: scores are cut into quantile buckets (boundaries from one sketch pass), a running
-  sum runs inside each bucket, and bucket offsets come from a table of one row per bucket.
-  No single task ever sorts all scores.
+  prefix sum: scores are cut into quantile buckets whose number grows with the data (bounds from
+  one sketch pass, ~2M scores per bucket), a running sum runs inside each bucket, and bucket
+  offsets come from a table of one row per bucket. No single task ever sorts all scores.
 * Scope (T6) ``per_model`` sweeps each model apart, ``shared`` pools all models.
 * Goal (T7) breaks ties among equally good thresholds: ``limit_false_positives`` takes the
   highest threshold, ``high_sensitivity`` the lowest, ``balanced_screening`` the best F1.
@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ STRATEGIES = ("user_or_literature", "median", "validation_mcc", "validation_f1",
 SCOPES = ("shared", "per_model")
 GOALS = ("limit_false_positives", "high_sensitivity", "balanced_screening")
 DEFAULT_TARGET_RECALL = 0.9
-SWEEP_BUCKETS = 64
+SWEEP_BUCKETS = 64  # minimum buckets per group
+ROWS_PER_BUCKET = 2_000_000  # target distinct-score rows per window task
+MAX_BUCKETS = 100_000  # bound of the broadcast offsets table per group
 
 
 def _by_model(model_col: str, values: dict) -> Column:
@@ -48,17 +52,39 @@ def median_thresholds(predictions: DataFrame, model_col: str = "model", score_co
     return {g: v for (g, _), v in q.items()}
 
 
-def _bucket_expr(score: Column, bounds: list[float]) -> Column:
-    """Index of ``score`` among descending ``bounds`` (#bounds strictly above it), as a
-    balanced CASE tree: log2(buckets) comparisons per row, inside generated code."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        # bounds[mid] > score  ->  index > mid
-        return F.when(score < F.lit(bounds[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-
-    return build(0, len(bounds)) if bounds else F.lit(0)
+def _bucketed(base: DataFrame, min_buckets: int) -> DataFrame:
+    """Add ``b``: the score's quantile bucket in its group, 0 = highest scores.
+
+    Buckets grow with the data (about ``ROWS_PER_BUCKET`` scores each, at least ``min_buckets``,
+    at most ``MAX_BUCKETS`` per group), so no window task holds an unbounded share. Bounds come
+    from one sketch pass; lookup is ``Bucketizer``'s binary search in the JVM. Equal scores always
+    share a bucket.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    sizes = {r["grp"]: r["n"] for r in base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = sorted(sizes)
+    nb = {g: int(min(MAX_BUCKETS, max(min_buckets, math.ceil(sizes[g] / ROWS_PER_BUCKET)))) for g in groups}
+    sk = base.agg(*[
+        F.percentile_approx(F.when(F.col("grp") == F.lit(g), F.col("s")), [i / nb[g] for i in range(1, nb[g])],
+                            max(10_000, 10 * nb[g])).alias(f"q{i}")
+        for i, g in enumerate(groups)]).first() if groups else None
+    splits, cols_in, cols_out = [], [], []
+    x = base
+    for i, g in enumerate(groups):
+        bounds = sorted(set(v for v in (sk[f"q{i}"] or []) if v is not None and not math.isnan(v)))
+        splits.append([float("-inf")] + bounds + [float("inf")])
+        x = x.withColumn(f"_sv{i}", F.when(F.col("grp") == F.lit(g), F.col("s")).otherwise(F.lit(float("nan"))))
+        cols_in.append(f"_sv{i}")
+        cols_out.append(f"_b{i}")
+    if not groups:
+        return x.withColumn("b", F.lit(0))
+    x = Bucketizer(splitsArray=splits, inputCols=cols_in, outputCols=cols_out, handleInvalid="keep").transform(x)
+    b = None
+    for i, g in enumerate(groups):
+        desc = F.lit(len(splits[i]) - 2) - F.col(f"_b{i}").cast("int")  # ascending bucket -> descending
+        b = F.when(F.col("grp") == F.lit(g), desc) if b is None else b.when(F.col("grp") == F.lit(g), desc)
+    return x.withColumn("b", b.otherwise(F.lit(0))).drop(*cols_in, *cols_out)
 
 
 def sweep(predictions: DataFrame, scope: str = "per_model", model_col: str = "model",
@@ -68,23 +94,14 @@ def sweep(predictions: DataFrame, scope: str = "per_model", model_col: str = "mo
     grp = F.col(model_col).cast("string") if scope == "per_model" else F.lit("shared")
     base = predictions.select(grp.alias("grp"), F.col(score_col).cast("double").alias("s"),
                               F.col(actual_col).cast("int").alias("a")).filter(F.col("s").isNotNull())
-    # bucket boundaries per group from one sketch pass (size: groups x buckets)
-    probs = [i / buckets for i in range(1, buckets)]
-    sk = base.groupBy("grp").agg(F.percentile_approx("s", probs, 10000).alias("q")).collect()
-    bexpr = None
-    for r in sk:
-        bounds = sorted(set(r["q"]), reverse=True)
-        e = _bucket_expr(F.col("s"), bounds)
-        bexpr = F.when(F.col("grp") == F.lit(r["grp"]), e) if bexpr is None else bexpr.when(F.col("grp") == F.lit(r["grp"]), e)
-    bexpr = bexpr.otherwise(F.lit(0)) if bexpr is not None else F.lit(0)
     # distinct scores with their class counts, combined map-side first (a score shared by a
     # third of all rows collapses to one row before any exchange), then running sums per bucket
-    per_score = (base.withColumn("b", bexpr)
+    per_score = (_bucketed(base, buckets)
                  .groupBy("grp", "b", "s")
                  .agg(F.count_if(F.col("a") == 1).alias("pos"), F.count_if(F.col("a") == 0).alias("neg")))
     w = Window.partitionBy("grp", "b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = per_score.select("grp", "b", "s", F.sum("pos").over(w).alias("rp"), F.sum("neg").over(w).alias("rn"))
-    # offsets: positives / negatives in all higher buckets (table of groups x buckets rows)
+    # offsets: positives / negatives in all higher buckets (groups x buckets rows, <= MAX_BUCKETS per group)
     tot = per_score.groupBy("grp", "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wo = Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy("grp")

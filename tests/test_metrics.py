@@ -67,3 +67,18 @@ def test_multi_seed_summary(spark):
     df = spark.createDataFrame([(1, "m", 0.5), (2, "m", 0.7)], "seed int, model string, mae double")
     r = met.multi_seed_summary(df, metrics=("mae",)).first()
     assert r.seeds == 2 and r.mae_mean == 0.6 and r.mae_min == 0.5 and r.mae_max == 0.7
+
+
+def test_sweep_many_small_buckets(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(11)
+    rows = [("m", i, float(rnd.random() < 0.3), round(rnd.random(), 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, row_id int, actual double, prediction double")
+    ref = {(r.threshold, r.tp, r.fp) for r in thr.sweep(df, "per_model").collect()}
+    monkeypatch.setattr(thr, "ROWS_PER_BUCKET", 5)  # about 60 buckets of ~5 scores
+    got = {(r.threshold, r.tp, r.fp) for r in thr.sweep(df, "per_model", buckets=2).collect()}
+    assert got == ref
+    for t, tp, fp in got:
+        assert tp == sum(1 for _, _, a, p in rows if a == 1 and p >= t)
+        assert fp == sum(1 for _, _, a, p in rows if a == 0 and p >= t)
