@@ -52,13 +52,6 @@ def load_dataset(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
     return d.filter(F.col("dataset_id") == dataset_id).drop("dataset_id")
 
 
-def append_rows(df: DataFrame, root: str, *parts: str, partition_by=()) -> None:
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(_p(root, *parts))
-
-
 def read_table(spark: SparkSession, root: str, *parts: str) -> DataFrame | None:
     path = _p(root, *parts)
     return spark.read.parquet(path) if _exists(spark, path) else None
