@@ -102,3 +102,18 @@ def test_second_histogram_level_gives_same_rows(spark, monkeypatch):
     monkeypatch.setattr(smp, "RANK_DIRECTLY", 0)  # force the level-2 histogram path
     got = {r.row_id: (r.split, r.fold) for r in smp.kfold(smp.holdout_split(base, 0.2, 42, validation_size=0.1), 5, 42).collect()}
     assert got == ref
+
+
+def test_split_sizes_property(spark):
+    """Exact sizes for random n and fractions, including 0- and 1-row tables."""
+    import random
+
+    rnd = random.Random(17)
+    cases = [(0, 0.2, 0.1), (1, 0.05, 0.0), (2, 0.5, 0.4)] + [
+        (rnd.randint(3, 400), round(rnd.uniform(0.05, 0.5), 3), round(rnd.uniform(0.0, 0.4), 3)) for _ in range(6)]
+    for n, t, v in cases:
+        df = spark.range(n).withColumnRenamed("id", "row_id")
+        got = {r.split: r["count"] for r in smp.holdout_split(df, t, n, validation_size=v).groupBy("split").count().collect()}
+        train, val, test = smp.holdout_sizes(n, t, v)
+        assert (got.get("train", 0), got.get("validation", 0), got.get("test", 0)) == (train, val, test), (n, t, v)
+        assert test == (math.ceil(t * n) if n else 0)
