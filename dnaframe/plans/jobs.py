@@ -146,7 +146,11 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
         split = smp.holdout_split(frame, req.test_size, req.random_seed, row_id,
                                   validation_size=req.validation_size if use_validation else 0.0)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    # split sizes and the binary-target check (M10) in one pass over the persisted frame
+    stats = split.groupBy("split").agg(F.count(F.lit(1)).alias("count"), F.count("y").alias("ny"),
+                                       F.bool_and(F.col("y").isin(0.0, 1.0)).alias("b01")).collect()
+    counts = {r["split"]: r["count"] for r in stats}
+    binary = sum(r["ny"] for r in stats) > 0 and all(r["b01"] for r in stats)
     rows_used = sum(counts.values())
     if rows_used < MIN_VALID_ROWS:
         split.unpersist()
@@ -157,7 +161,6 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
                                         overrides=req.model_overrides)
     # test rows x models: read by the threshold passes, the metrics and the sinks
     preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
-    binary = bool(prof.is_binary(split, "y").first()[0])
     thresholds = None
     if binary:
         validation = None

@@ -53,7 +53,9 @@ def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
     preamble and, if the file starts with ``>``, the first record. Record numbers come from
     per-partition chunk counts (one small row per partition) turned into offsets, so no global
     sort or single task is needed. The chunk table is checkpointed first so its ids are stable
-    under retries. For one file per call; use ``read_fasta`` for folders of files.
+    under retries. For one file per call; use ``read_fasta`` for folders of files. Headers must
+    start their line here (``\n>``); an indented header (blanks before ``>``) is only recognised
+    by ``read_fasta``.
     """
     from dnaframe.session import ensure_checkpoint_dir
 
