@@ -117,3 +117,30 @@ def test_split_sizes_property(spark):
         train, val, test = smp.holdout_sizes(n, t, v)
         assert (got.get("train", 0), got.get("validation", 0), got.get("test", 0)) == (train, val, test), (n, t, v)
         assert test == (math.ceil(t * n) if n else 0)
+
+
+def test_preview_fill_and_round(spark):
+    df = spark.createDataFrame([(2, None, 0.1234567), (1, "x", 1.0)], "row_id int, s string, v double")
+    rows = prof.preview(df, 1, round_cols=["v"], fill_blank=True).collect()
+    assert len(rows) == 1 and rows[0].row_id == 1
+    rows = prof.preview(df, 5, round_cols=["v"], fill_blank=True).collect()
+    assert rows[1].s == "" and rows[1].v == "0.123457"
+
+
+def test_describe_with_nulls(spark):
+    df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4]] + [(None,)], "x double")
+    r = prof.describe(df, ["x"]).first()
+    assert (r["count"], r.mean, r["min"], r.q25, r.q50, r.q75, r["max"]) == (4, 2.5, 1.0, 1.75, 2.5, 3.25, 4.0)
+    assert r.std == round(statistics_stdev([1, 2, 3, 4]), 6)
+
+
+def statistics_stdev(v):
+    import statistics
+
+    return statistics.stdev(v)
+
+
+def test_cap_rows_string_ids(spark):
+    df = spark.createDataFrame([(f"id{i:03d}",) for i in range(30)], "row_id string")
+    rows, flag = prof.cap_rows(df, 10)
+    assert sorted(r.row_id for r in rows.collect()) == [f"id{i:03d}" for i in range(10)] and flag.first()[0]
