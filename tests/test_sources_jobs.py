@@ -40,7 +40,7 @@ def test_sbol(spark, tmpdir_path):
     xml = """<?xml version="1.0"?>
 <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:sbol="http://sbols.org/v2#"
          xmlns:ex="http://example.org/#">
-  <sbol:Sequence rdf:about="http://example.org/s1">
+  <sbol:Sequence rdf:about="7">
     <sbol:elements>acgtnn</sbol:elements>
     <ex:value>2.5</ex:value>
     <ex:name>promoter</ex:name>
