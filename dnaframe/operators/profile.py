@@ -154,11 +154,14 @@ def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
         aggs += [F.count(c).alias(f"count{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"),
                  F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
     m = df.agg(*aggs).first()  # moments of every column in one pass
+    # quartiles of all columns in the same passes: stack them as (column, value) groups
+    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v"))
+                                            for c in cols])))
+    q = exact_quantiles(stacked, "_v", [0.25, 0.5, 0.75], group_col="_c")
     rows = []
     for i, c in enumerate(cols):
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        rows.append((c, m[f"count{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], q[(None, 0.25)], q[(None, 0.5)],
-                     q[(None, 0.75)], m[f"max{i}"]))
+        rows.append((c, m[f"count{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], q.get((c, 0.25)), q.get((c, 0.5)),
+                     q.get((c, 0.75)), m[f"max{i}"]))
     schema = ("column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
               "q75 double, max double")
     out = spark.createDataFrame(rows, schema)
