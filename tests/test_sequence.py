@@ -133,3 +133,22 @@ def test_spectrum_without_rows_matches(spark):
     fast = {r.kmer: r.n for r in feat.kmer_spectrum(df, 3, with_rows=False).collect()}
     assert {k: v[0] for k, v in full.items()} == fast
     assert full["ACG"] == (4, 2) and full["GTA"] == (2, 2)
+
+
+def test_kmer_vector_raw_counts(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.createDataFrame([(1, "ACGTACG")], "row_id int, sequence string")
+    v = feat.kmer_vector(df, 3, normalize_counts=False, normalized=False).select(vector_to_array("kmer_vec").alias("a")).first().a
+    assert v[6] == 2.0 and sum(v) == 5.0  # ACG twice; 5 windows, none with N
+
+
+def test_feature_config_parsing():
+    cfg = feat.FeatureConfig.from_dict({"use_gc": "yes", "use_kmers": "0", "use_one_hot": "true", "kmer_size": "3",
+                                        "sequence_length": 40})
+    assert (cfg.use_gc, cfg.use_kmers, cfg.use_one_hot, cfg.kmer_size, cfg.sequence_length) == (True, False, True, 3, 40)
+    assert feat.FeatureConfig.from_dict(None).to_dict()["kmer_size"] == 6
+    with pytest.raises(ValueError):
+        feat.FeatureConfig.from_dict({"kmer_size": 7})
+    with pytest.raises(ValueError):
+        feat.FeatureConfig.from_dict({"sequence_length": 10})
