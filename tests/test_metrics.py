@@ -82,3 +82,11 @@ def test_sweep_many_small_buckets(spark, monkeypatch):
     for t, tp, fp in got:
         assert tp == sum(1 for _, _, a, p in rows if a == 1 and p >= t)
         assert fp == sum(1 for _, _, a, p in rows if a == 0 and p >= t)
+
+
+def test_missing_predictions_anti_join(spark):
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(6)], "row_id int, actual double")
+    preds = spark.createDataFrame([("m", i, 0.4) for i in (0, 2, 3)], "model string, row_id int, prediction double")
+    assert sorted(r.row_id for r in met.missing_predictions(labels, preds).collect()) == [1, 4, 5]
+    joined = met.with_actuals(preds, labels)
+    assert joined.count() == 3 and set(joined.columns) == {"row_id", "model", "prediction", "actual"}
