@@ -53,9 +53,9 @@ def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
     preamble and, if the file starts with ``>``, the first record. Record numbers come from
     per-partition chunk counts (one small row per partition) turned into offsets, so no global
     sort or single task is needed. The chunk table is checkpointed first so its ids are stable
-    under retries. For one file per call; use ``read_fasta`` for folders of files. Headers must
-    start their line here (``\n>``); an indented header (blanks before ``>``) is only recognised
-    by ``read_fasta``.
+    under retries. For one file per call; use ``read_fasta`` for folders of files. A file with an
+    indented header (blanks before ``>``, not a ``\n>`` boundary) is detected by one filter pass
+    and read whole with ``read_fasta`` instead, so numbering stays exact.
     """
     from dnaframe.session import ensure_checkpoint_dir
 
@@ -63,6 +63,9 @@ def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n>").text(path).select(
         F.col("_metadata.file_path").alias("file"), "value",
         F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).checkpoint(eager=True)
+    # a header indented by blanks is not a chunk boundary here; such a file is read whole instead
+    if raw.filter(F.col("value").rlike(f"{_LB}{_INLINE_WS}+>")).limit(1).count() > 0:
+        return read_fasta(spark, path)
     counts = {r["_p"]: r["n"] for r in raw.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = {}, 0
     for p in sorted(counts):

@@ -32,6 +32,10 @@ def test_fasta_rules(spark, tmpdir_path):
     assert rows == [(1, "seq1 desc > more", "ACNGTGG"), (2, "sequence_2", "TTTT"), (3, "sequence_3", ""), (4, "last", "A")]
     split_rows = [(r.record, r.id, r.sequence) for r in fasta.read_fasta_split(spark, p).orderBy("record").collect()]
     assert split_rows == rows
+    indented = write(os.path.join(tmpdir_path, "ind.fasta"), ">a\nAC\n  >b\nGT\n>c\nTT\n")
+    whole = [(r.record, r.id, r.sequence) for r in fasta.read_fasta(spark, indented).orderBy("record").collect()]
+    assert whole == [(1, "a", "AC"), (2, "b", "GT"), (3, "c", "TT")]
+    assert [(r.record, r.id, r.sequence) for r in fasta.read_fasta_split(spark, indented).orderBy("record").collect()] == whole
     none = write(os.path.join(tmpdir_path, "none.fa"), "ACGT\n")
     assert fasta.read_fasta(spark, none).count() == 0
 
