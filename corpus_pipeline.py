@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import mixing, secrets
+from dnaframe.llm import langid, mixing, secrets
 from dnaframe.llm.common import kept
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no learned language go."""
+    return langid.identified_documents(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's characters give way to a mark; no document goes."""
     return secrets.redacted(docs)
@@ -23,6 +28,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("language_id", language_id),
     ("secret_scan", secret_scan),
     ("source_mixing", source_mixing),
 ]
