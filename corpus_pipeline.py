@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import langid, mixing, secrets
+from dnaframe.llm import langid, mixing, secrets, simhash
 from dnaframe.llm.common import kept
 
 
@@ -17,6 +17,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identified_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: shingles of 4 words, at most 4 differing bits."""
+    return simhash.deduplicated(docs, shingle=4, radius=4)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's characters give way to a mark; no document goes."""
     return secrets.redacted(docs)
@@ -29,6 +34,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("language_id", language_id),
+    ("near_dedup", near_dedup),
     ("secret_scan", secret_scan),
     ("source_mixing", source_mixing),
 ]
