@@ -80,6 +80,30 @@ def offsets(df: DataFrame, keys: list[str], piece: str, order: list[str], value:
             .drop("_in", "_base", "_p", *[f"_k{i}" for i in range(len(keys))]))
 
 
+RUN = 4096
+
+
+def unrolled(df: DataFrame, count: str, out: str) -> DataFrame:
+    """One row per number below ``count``, in runs of ``RUN`` so that no array grows with the data."""
+    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col(count) - 1) / RUN).cast("long"))))
+    at = F.col("_run") * RUN
+    return runs.withColumn(out, F.explode(F.sequence(at, F.least(at + RUN, F.col(count)) - 1))).drop("_run")
+
+
+def by_content(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, h, doc: the rows of ``docs`` as a struct, named by id and a hash of all their columns.
+
+    The name depends on the row alone, never on how the table is split; equal rows share it.
+    """
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"),
+                       F.struct("*").alias("doc"))
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """The rows of ``by_content`` without repeats (combined before the exchange)."""
+    return rows.groupBy("id", "h").agg(F.first("doc").alias("doc"))
+
+
 # ---- bytes in tasks (numpy) -------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64

@@ -11,8 +11,8 @@ Targets: sources by code point, null last, weigh ``weights`` in turn and share `
 words; none gets more than ``most`` times its own words, and the excess is shared again by weight,
 which ends at target = min(most * words, level * weight) with one level for all.
 
-Null and empty texts have size 0, are kept and take no part. Rows are told apart by position in
-the stored size table, so repeated rows, or several rows of one doc_id, are mixed each on its own.
+Null and empty texts have size 0, are kept and take no part. Repeated rows,
+and several rows of one doc_id, are documents of their own; equal ones are numbered.
 Of ``docs`` only the id, source and text columns are read. The per-source tables have one row per
 source and are made after aggregation; a hot source is spread over pieces of ``PIECE`` documents.
 """
@@ -24,16 +24,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnaframe.llm.common import WORD, kept, let, n_words, offsets
+from dnaframe.llm.common import RUN, WORD, by_content, kept, let, n_words, offsets, one_of_each, unrolled
 
-#: Documents in a piece of a source's stream, slots in an output shard, shards summed at once.
-PIECE, SHARD, RUN = 20_000, 1024, 4096
+#: Documents in a piece of a source's stream, slots in an output shard.
+PIECE, SHARD = 20_000, 1024
 ROUNDS = 24
 
 
 @dataclass
 class Mix:
-    sizes: DataFrame    # row, doc_id, source, size: one row per document
+    sizes: DataFrame    # row, doc_id, h, copy, source, size: one row per document
     targets: DataFrame  # source, sid, source_size, target, blocks, quota
     parts: DataFrame    # row, sid, block, first, words: a document's words in a block
     slots: DataFrame    # shard, sid, rank, block, use
@@ -71,13 +71,6 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float, blo
     return t.select("source", "sid", "source_size", "target", "blocks", "quota")
 
 
-def _unrolled(df: DataFrame, count: str, out: str) -> DataFrame:
-    """One row per number below ``count``, in runs of ``RUN`` so that no array grows with the data."""
-    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col(count) - 1) / RUN).cast("long"))))
-    at = F.col("_run") * RUN
-    return runs.withColumn(out, F.explode(F.sequence(at, F.least(at + RUN, F.col(count)) - 1))).drop("_run")
-
-
 def _permuted(index: Column, n: Column, key: Column, seed: int) -> Column:
     """A permutation of 0 .. n-1 fixed by ``key``: rounds that swap an index with its mirror or not.
 
@@ -98,7 +91,7 @@ def _slots(t: DataFrame, seed: int) -> DataFrame:
     t = t.filter("quota > 0").withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)).cast("long"))
     t = t.withColumn("total", F.sum("quota").over(Window.partitionBy()))
     # a uniform draw below the total falls on one quota slot, whose source it takes: multinomial counts
-    slots = _unrolled(t, "quota", "n").select((F.col("first") + F.col("n")).alias("slot"), "sid", "total")
+    slots = unrolled(t, "quota", "n").select((F.col("first") + F.col("n")).alias("slot"), "sid", "total")
     drawn = slots.select((F.col("slot") / F.lit(SHARD)).cast("long").alias("shard"),
                          (_draw(F.lit(seed), F.col("slot")) % F.col("total")).alias("at"))
     counts = (drawn.join(slots.select(F.col("slot").alias("at"), "sid"), "at").groupBy("shard", "sid")
@@ -113,7 +106,7 @@ def _slots(t: DataFrame, seed: int) -> DataFrame:
     gap = gap.withColumn("under", F.greatest(F.col("quota") - F.col("drawn"), F.lit(0)))
     gap = gap.withColumn("over_at", F.coalesce(F.sum("over").over(before), F.lit(0)))
     gap = gap.withColumn("under_at", F.coalesce(F.sum("under").over(before), F.lit(0)))
-    lacking = _unrolled(gap.filter("under > 0"), "under", "n").select(
+    lacking = unrolled(gap.filter("under > 0"), "under", "n").select(
         (F.col("under_at") + F.col("n")).alias("spare"), F.col("sid").alias("to"), (F.col("drawn") + F.col("n")).alias("to_rank"))
     ranked = ranked.join(gap.select("sid", "quota", "over_at"), "sid")
     fits = ranked.filter("rank < quota").select("shard", "sid", "rank")
@@ -124,18 +117,23 @@ def _slots(t: DataFrame, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
         weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, block: int = 128,
-        seed: int = 42) -> Mix:
+        seed: int = 42, name: str | None = None) -> Mix:
     """The mix of ``docs``: its sizes, targets, blocks and slots as tables.
 
+    Rows are known by their id and ``name``, a hash of the row (default: of all columns of ``docs``).
+
     ``weights`` repeat over the sources (default 3, 1, 2). Reruns with one seed agree.
     """
-    sizes = kept(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
-                 .withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    each = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"),
+                       (F.xxhash64(*docs.columns) if name is None else F.col(name)).alias("h"))
+    each = each.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("copies"))
+    sizes = kept(unrolled(each, "copies", "copy").drop("copies").withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     t = kept(targets(sizes, weights or [3, 1, 2], share, most, block), "mix-targets")
     pieces = max(1, -(-sizes.count() // PIECE))
     placed = (sizes.filter("size > 0").join(t.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s")))
-              .select("row", "doc_id", "sid", "size", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(pieces)).alias("piece")))
-    placed = offsets(placed, ["sid"], "piece", ["doc_id", "size", "row"], "size", "at")
+              .select("row", "doc_id", "h", "copy", "sid", "size",
+                      F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h", "copy"), F.lit(pieces)).alias("piece")))
+    placed = offsets(placed, ["sid"], "piece", ["doc_id", "h", "copy"], "size", "at")
     cut = placed.withColumn("block", F.explode(F.sequence((F.col("at") / F.lit(block)).cast("long"),
                                                           ((F.col("at") + F.col("size") - 1) / F.lit(block)).cast("long"))))
     start = F.greatest(F.col("at"), F.col("block") * block)
@@ -156,7 +154,7 @@ def taken_words(m: Mix) -> DataFrame:
 
 def mixing_query(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
-    m = mix(docs)
+    m = mix(docs.select("doc_id", "source", "text"))
     rows = m.sizes.join(taken_words(m), "row", "left")
     return (rows.join(m.targets.select(F.col("source").alias("s"), "source_size", "target"),
                       F.col("source").eqNullSafe(F.col("s")))
@@ -170,18 +168,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     the taken words, in order, joined by spaces. Documents the mix takes nothing from, and those
     without a word, give no row. ``n_chars``, if there, is counted anew.
     """
-    # the rows are numbered once and stored, so that sizes and texts speak of the same row
-    base = kept(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("doc")), "mix-docs")
-    m = mix(base.select("key", "doc.source", "doc.text"), id_col="key", **options)
+    rows = by_content(docs)
+    m = mix(rows.select("id", "h", "doc.source", "doc.text"), id_col="id", name="h", **options)
     uses = m.parts.join(m.slots.select("sid", "block", "use"), ["sid", "block"])
     uses = uses.groupBy("row", "use").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"),
                                           F.sum("words").alias("taken"))
-    uses = uses.join(m.sizes.select("row", F.col("doc_id").alias("key"), "size"), "row").drop("row")
+    uses = uses.join(m.sizes.select("row", F.col("doc_id").alias("use_id"), F.col("h").alias("use_h"), "size"), "row").drop("row")
     part = F.col("taken") < F.col("size")
     words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))
     some = let(words, lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(
         w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " "))
-    out = base.join(uses, "key").withColumn("cut", F.when(part, some).otherwise(F.col("doc.text")))
+    out = one_of_each(rows).join(uses, F.col("id").eqNullSafe(F.col("use_id")) & (F.col("h") == F.col("use_h"))).withColumn(
+        "cut", F.when(part, some).otherwise(F.col("doc.text")))
     doc = F.col("doc").withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))

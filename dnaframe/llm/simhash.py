@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnaframe.llm.common import kept
+from dnaframe.llm.common import by_content, kept, one_of_each
 
 BITS = 64
 SEED = 42
@@ -188,13 +188,11 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each component of ``docs``: that of the smallest doc_id, of its repeats one.
-
-    Rows are numbered first, so that one row stays even where ids repeat or are null.
-    """
-    base = kept(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "simhash-docs")
-    # (id, row) in one orderable key: nulls last, then the smallest id, then the first row
-    key = F.struct(F.col("doc.doc_id").isNull().alias("a"), F.col("doc.doc_id").alias("b"), F.col("row").alias("c"))
-    found = near_duplicates(base.select(key.alias("key"), "doc.text"), "key", "text", shingle, radius)
-    best = found.filter(F.col("key") == F.col("component_id")).select(F.col("key.c").alias("row"))
-    return base.join(best, "row", "left_semi").select("doc.*")
+    """One row of each component of ``docs``: that of the smallest doc_id, of several such the one of
+    the smallest row hash, of equal rows one. Null ids count last."""
+    rows = by_content(docs)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "h").alias("key")
+    found = near_duplicates(rows.select(key, "doc.text"), "key", "text", shingle, radius)
+    best = found.select("component_id.id", "component_id.h").distinct().withColumnsRenamed({"id": "best_id", "h": "best_h"})
+    stay = rows.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("h") == F.col("best_h")), "left_semi")
+    return one_of_each(stay).select("doc.*")
