@@ -76,7 +76,8 @@ def offsets(df: DataFrame, keys: list[str], piece: str, order: list[str], value:
     on = F.col(piece) == F.col("_p")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return (rows.join(base, on).withColumn(out, F.col("_in") + F.col("_base"))
+    # sizes of generated rows are guessed far too low, so a broadcast is never left to that guess
+    return (rows.join(base.hint("merge"), on).withColumn(out, F.col("_in") + F.col("_base"))
             .drop("_in", "_base", "_p", *[f"_k{i}" for i in range(len(keys))]))
 
 

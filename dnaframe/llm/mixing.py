@@ -94,9 +94,10 @@ def _slots(t: DataFrame, seed: int) -> DataFrame:
     slots = unrolled(t, "quota", "n").select((F.col("first") + F.col("n")).alias("slot"), "sid", "total")
     drawn = slots.select((F.col("slot") / F.lit(SHARD)).cast("long").alias("shard"),
                          (_draw(F.lit(seed), F.col("slot")) % F.col("total")).alias("at"))
-    counts = (drawn.join(slots.select(F.col("slot").alias("at"), "sid"), "at").groupBy("shard", "sid")
+    # rows made from the small table of targets look small to the planner: sort-merge, then stored
+    counts = (drawn.join(slots.select(F.col("slot").alias("at"), "sid").hint("merge"), "at").groupBy("shard", "sid")
               .agg(F.count("*").alias("n")))
-    counts = counts.withColumn("run", (F.col("shard") / F.lit(RUN)).cast("long"))
+    counts = kept(counts, "mix-counts").withColumn("run", (F.col("shard") / F.lit(RUN)).cast("long"))
     counts = offsets(counts, ["sid"], "run", ["shard"], "n", "base")
     ranked = counts.select("shard", "sid", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)).alias("rank"))
     # draws beyond a quota, counted through all sources, fill the places that other sources lack
@@ -111,7 +112,7 @@ def _slots(t: DataFrame, seed: int) -> DataFrame:
     ranked = ranked.join(gap.select("sid", "quota", "over_at"), "sid")
     fits = ranked.filter("rank < quota").select("shard", "sid", "rank")
     moved = (ranked.filter("rank >= quota").withColumn("spare", F.col("over_at") + F.col("rank") - F.col("quota"))
-             .join(lacking, "spare").select("shard", F.col("to").alias("sid"), F.col("to_rank").alias("rank")))
+             .join(lacking.hint("merge"), "spare").select("shard", F.col("to").alias("sid"), F.col("to_rank").alias("rank")))
     return fits.unionByName(moved)
 
 
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     slots = _slots(t, seed).join(t.select("sid", "blocks"), "sid")
     slots = slots.select("shard", "sid", "rank", _permuted(F.col("rank") % F.col("blocks"), F.col("blocks"), F.col("sid"), seed)
                          .alias("block"), (F.col("rank") / F.col("blocks")).cast("long").alias("use"))
-    return Mix(sizes, t, parts, slots)
+    return Mix(sizes, t, parts, kept(slots, "mix-slots"))
 
 
 def taken_words(m: Mix) -> DataFrame:
