@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import langid, mixing, secrets, simhash
+from dnaframe.llm import langid, mixing, packing, secrets, simhash
 from dnaframe.llm.common import kept
 
 
@@ -32,11 +32,17 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed_documents(docs)
 
 
+def bin_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words without two pieces of one source or of equal texts; a row per piece, with its text."""
+    return packing.packed_documents(docs)
+
+
 STAGES = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
     ("secret_scan", secret_scan),
     ("source_mixing", source_mixing),
+    ("bin_packing", bin_packing),
 ]
 
 #: Fingerprints, models and pseudorandom draws have no SQL; tests hold the stages against brute force.

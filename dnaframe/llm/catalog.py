@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import langid, mixing, quality, secrets, simhash
+from dnaframe.llm import langid, mixing, packing, quality, secrets, simhash
 
 
 def _on(table: str, query) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": _on("documents", quality.quality_query),
         "op2_simhash_dedup": _on("documents", simhash.simhash_query),
+        "op3_best_fit_packing": _on("documents", packing.packing_query),
         "op4_secret_scan": _on("documents", secrets.secrets_query),
         "op5_language_id": _on("documents", langid.langid_query),
         "op6_source_mixing": _on("documents", mixing.mixing_query),
