@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import langid, mixing, packing, quality, secrets, simhash
+from dnaframe.llm import langid, mixing, packing, quality, secrets, simhash, topk
 
 
 def _on(table: str, query) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,10 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": _on("documents", secrets.secrets_query),
         "op5_language_id": _on("documents", langid.langid_query),
         "op6_source_mixing": _on("documents", mixing.mixing_query),
+        "op7_top_inner_products": _on("embeddings", topk.topk_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_secret_scan": secrets.ORACLE_SQL,
+        "op7_top_inner_products": topk.ORACLE_SQL,
     }
