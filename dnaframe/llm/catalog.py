@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import langid, mixing, packing, quality, secrets, sharding, simhash, topk
+from dnaframe.llm import langid, mixing, packing, quality, secrets, sharding, simhash, suffix, topk
 
 
 def _on(table: str, query) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": _on("documents", langid.langid_query),
         "op6_source_mixing": _on("documents", mixing.mixing_query),
         "op7_top_inner_products": _on("embeddings", topk.topk_query),
+        "op9_suffix_dedup": _on("documents", suffix.suffix_query),
         "op10_balanced_sharding": _on("documents", sharding.sharding_query),
     }
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dnaframe.llm.common import RUN, WORD, by_content, kept, let, n_words, offsets, one_of_each, unrolled
 
 #: Documents in a piece of a source's stream, slots in an output shard.
-PIECE, SHARD = 20_000, 1024
+PIECE, SHARD = 2048, 1024
 ROUNDS = 24
 
 
