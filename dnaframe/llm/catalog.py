@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import langid, mixing, packing, quality, secrets, sharding, simhash, suffix, topk
+from dnaframe.llm import langid, lm, mixing, packing, quality, secrets, sharding, simhash, suffix, topk
 
 
 def _on(table: str, query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": _on("documents", quality.quality_query),
@@ -22,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": _on("documents", langid.langid_query),
         "op6_source_mixing": _on("documents", mixing.mixing_query),
         "op7_top_inner_products": _on("embeddings", topk.topk_query),
+        "op8_lm_difference": _lm,
         "op9_suffix_dedup": _on("documents", suffix.suffix_query),
         "op10_balanced_sharding": _on("documents", sharding.sharding_query),
     }
