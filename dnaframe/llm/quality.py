@@ -104,7 +104,7 @@ def _tally(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 classes[CLASSES.index("space")] -= b - a - 1
                 for kind, ks, ns in (("class", np.arange(len(CLASSES)), classes), ("word", key.view(np.int64), n)):
                     yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([lang] * len(ks)), "kind": pa.array([kind] * len(ks)),
+                        "lang": pa.array([lang] * len(ks), pa.string()), "kind": pa.array([kind] * len(ks), pa.string()),
                         "key": pa.array(ks.astype(np.int64)), "n": pa.array(ns.astype(np.int64))})
 
 
