@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 2048
+#: Documents of a language that its sample may take; their text ends it far earlier.
+CANDIDATES = 256
 #: ASCII letters stay, other ASCII becomes a space, later bytes are judged by character.
 _ASCII = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -158,19 +160,25 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", lang: str = "lang", text:
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.octet_length(F.col(text)).alias("n"),
-        F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text)).alias("h"))
-    # 256 documents a language are enough candidates; the limit is applied before the exchange as well
+        F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text)), 1).alias("h"))
+    rows = rows.filter((F.col("n") > 0) & (F.col("n") <= sample))
+    # about four times the candidates that are used pass a hash limit per language, so that what meets
+    # in the sort below does not grow with the table
+    docs = rows.groupBy("lang").agg(F.count("*").alias("docs")).limit(most_langs + 1).collect()
+    if len(docs) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
+    if not docs:
+        return {}
+    limit = F.map_from_arrays(F.array(*[F.lit(r.lang) for r in docs]),
+                              F.array(*[F.lit(min(2**63 - 1, 2**63 * 4 * CANDIDATES // r.docs)) for r in docs]))
     first = Window.partitionBy("lang").orderBy("h", "n")
-    picked = (rows.filter((F.col("n") > 0) & (F.col("n") <= sample)).select("lang", "h", "n", "text")
-              .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= 256))
+    picked = (rows.filter(F.col("h") <= F.element_at(limit, F.col("lang"))).select("lang", "h", "n", "text")
+              .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= CANDIDATES))
     before = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     picked = picked.withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("had") < sample)
     out: dict[str, list[bytes]] = {}
-    found = picked.select("lang", "place", "text").limit(257 * (most_langs + 1)).collect()
-    for r in sorted(found, key=lambda r: (r.lang, r.place)):
+    for r in sorted(picked.select("lang", "place", "text").collect(), key=lambda r: (r.lang, r.place)):
         out.setdefault(r.lang, []).append(plain(r.text))
-    if len(out) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
     return {k: v for k, v in ((k, b" ".join(x for x in v if x)) for k, v in out.items()) if v}
 
 
