@@ -41,7 +41,7 @@ def _pieces(n: int, groups: int) -> int:
     return max(1, -(-n // (PIECE * groups)))
 
 
-def propagate(linked: DataFrame, shards: int, share: int, rounds: int = 12) -> DataFrame:
+def propagate(linked: DataFrame, shards: int, share: int, rounds: int = 64) -> DataFrame:
     """row, size, shard of the linked documents (row, size, link), shard null for those without a place."""
     state = kept(linked.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int")), "label-start")
     n = state.count()
@@ -54,9 +54,9 @@ def propagate(linked: DataFrame, shards: int, share: int, rounds: int = 12) -> D
     for i in range(rounds):
         load = {r[0]: r[1] for r in state.filter("shard is not null").groupBy("shard").agg(F.sum("size")).collect()}
         room = {s: share - load.get(s, 0) for s in range(shards)}
-        votes = state.groupBy("link", "shard").agg(F.sum("size").alias("n")).filter("shard is not null")
+        votes = state.groupBy("link", "shard").agg(F.sum("size").alias("n"), F.min("size").alias("one")).filter("shard is not null")
         votes = votes.groupBy("link").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes"),
-                                          F.max(F.when(_table(room, F.col("shard")) > 0, F.struct("n", (-F.col("shard")).alias("s"))))
+                                          F.max(F.when(_table(room, F.col("shard")) >= F.col("one"), F.struct("n", (-F.col("shard")).alias("s"))))
                                           .alias("best"))
         near = state.join(votes, "link", "left")
         own = F.when(F.col("shard").isNotNull(), F.element_at("votes", F.col("shard"))).otherwise(F.lit(0))
@@ -105,7 +105,7 @@ def fill(free: DataFrame, load: dict[int, int], shards: int, share: float, fine:
     return big.unionByName(small.select("row", "size", where.cast("int").alias("shard")))
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = 40, rounds: int = 12,
+def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = 40, rounds: int = 64,
           fine: int = 1024) -> DataFrame:
     """id, size, text_crc32, shard, slot of every row."""
     body = F.col(text)
