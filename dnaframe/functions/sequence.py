@@ -23,12 +23,12 @@ STRIP_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# Feature defaults and bounds of the preprocessing options.
+# Feature defaults of the preprocessing options, and the shortest one-hot length.
 DEFAULT_KMER_SIZE = 6
-MAX_KMER_SIZE = 6
 DEFAULT_SEQUENCE_LENGTH = 150
 MIN_SEQUENCE_LENGTH = 20
-MAX_SEQUENCE_LENGTH = 1000
+# A slot is a base-4 number that must fit a long.
+MAX_KMER_SIZE = 31
 
 
 def normalize(seq) -> Column:
@@ -111,11 +111,11 @@ def kmer_runs(seq, k: int, normalized: bool = True) -> Column:
 
 def kmer_slot(kmer) -> Column:
     """slot of a k-mer in the lexical vocabulary = its base-4 value (A=0, C=1, G=2, T=3)."""
-    return F.conv(F.translate(as_col(kmer), DNA_BASES, "0123"), 4, 10).cast("int")
+    return F.conv(F.translate(as_col(kmer), DNA_BASES, "0123"), 4, 10).cast("bigint")
 
 
 def kmer_vocabulary(k: int) -> list[str]:
-    """all 4^k words in lexical order (k <= 6, so at most 4096 words)."""
+    """all 4^k words in lexical order, on the driver (the width of a dense k-mer vector)."""
     _check_k(k)
     words = [""]
     for _ in range(k):
@@ -137,10 +137,12 @@ NUMERIC_TEXT = r"^[ \t\r\n]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[
 def to_numeric(value) -> Column:
     """Coerce to DOUBLE; unparsable text, NaN and null become null.
 
-    Spark's own cast also takes ``1d`` / ``1f``; the pattern guard rejects them like pandas.
+    Spark's own cast also takes ``1d`` / ``1f``; the pattern guard rejects them like pandas. A column
+    of type BOOLEAN counts as 1 and 0; the words ``true`` and ``false`` in a text column are no numbers.
     """
     s = as_col(value).cast("string")
     num = F.when(s.rlike(NUMERIC_TEXT), F.trim(s).try_cast("double"))
+    num = F.when(F.typeof(as_col(value)) == "boolean", (s == "true").cast("double")).otherwise(num)
     return F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num)
 
 

@@ -16,7 +16,6 @@ from dnaframe.functions.sequence import (
     DEFAULT_KMER_SIZE,
     DEFAULT_SEQUENCE_LENGTH,
     MAX_KMER_SIZE,
-    MAX_SEQUENCE_LENGTH,
     MIN_SEQUENCE_LENGTH,
     ONE_HOT_CATEGORIES,
     gc_content,
@@ -31,9 +30,22 @@ from dnaframe.functions.sequence import (
 )
 
 
+#: Text that switches a yes/no option on; any other text switches it off.
+TRUE_WORDS = ("1", "true", "yes", "on")
+#: option: (kind, default, least, most)
+OPTIONS = {
+    "use_gc": (bool, True, None, None),
+    "use_kmers": (bool, True, None, None),
+    "normalize_kmers": (bool, True, None, None),
+    "use_one_hot": (bool, False, None, None),
+    "kmer_size": (int, DEFAULT_KMER_SIZE, 1, MAX_KMER_SIZE),
+    "sequence_length": (int, DEFAULT_SEQUENCE_LENGTH, MIN_SEQUENCE_LENGTH, None),
+}
+
+
 @dataclass(frozen=True)
 class FeatureConfig:
-    """Preprocessing options (bounded like the reference's option check)."""
+    """Preprocessing options, checked against ``OPTIONS``; lengths have no ceiling."""
 
     use_gc: bool = True
     use_kmers: bool = True
@@ -44,33 +56,19 @@ class FeatureConfig:
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        if not (1 <= self.kmer_size <= MAX_KMER_SIZE):
-            raise ValueError(f"kmer_size must be between 1 and {MAX_KMER_SIZE}.")
-        if not (MIN_SEQUENCE_LENGTH <= self.sequence_length <= MAX_SEQUENCE_LENGTH):
-            raise ValueError(f"sequence_length must be between {MIN_SEQUENCE_LENGTH} and {MAX_SEQUENCE_LENGTH}.")
-        if not (self.use_gc or self.use_kmers or self.use_one_hot):
-            raise ValueError("Select at least one preprocessing feature family.")
+        for name, (_, _, least, most) in OPTIONS.items():
+            value = getattr(self, name)
+            if (least is not None and value < least) or (most is not None and value > most):
+                raise ValueError(f"option {name}={value} is out of range [{least}, {'any' if most is None else most}]")
+        if not any(getattr(self, name) for name in OPTIONS if name.startswith("use_")):
+            raise ValueError("all feature families are switched off")
 
     @classmethod
     def from_dict(cls, d: dict | None) -> "FeatureConfig":
-        d = dict(d or {})
-
-        def flag(name, default):
-            v = d.get(name)
-            if v is None:
-                return default
-            if isinstance(v, str):
-                return v.strip().lower() in {"1", "true", "yes", "on"}
-            return bool(v)
-
-        return cls(
-            use_gc=flag("use_gc", True),
-            use_kmers=flag("use_kmers", True),
-            normalize_kmers=flag("normalize_kmers", True),
-            use_one_hot=flag("use_one_hot", False),
-            kmer_size=int(d.get("kmer_size") if d.get("kmer_size") is not None else DEFAULT_KMER_SIZE),
-            sequence_length=int(d.get("sequence_length") if d.get("sequence_length") is not None else DEFAULT_SEQUENCE_LENGTH),
-        )
+        given = {name: v for name, v in (d or {}).items() if name in OPTIONS and v is not None}
+        words = {name: v.strip().lower() in TRUE_WORDS for name, v in given.items()
+                 if OPTIONS[name][0] is bool and isinstance(v, str)}
+        return cls(**{name: OPTIONS[name][0](v) for name, v in (given | words).items()})
 
     def to_dict(self) -> dict:
         return {

@@ -21,25 +21,23 @@ SEQUENCE_CANDIDATES = ["sequence", "seq", "variant", "dna"]
 LOCAL_ROW_LIMIT = 1000
 
 
-def infer_column(columns: list[str], candidates: list[str]) -> str | None:
-    """Role by name: candidate priority, case-insensitive, the last of case twins wins (M8)."""
-    lowered = {}
-    for c in columns:
-        lowered[c.lower()] = c
-    for cand in candidates:
-        if cand.lower() in lowered:
-            return lowered[cand.lower()]
-    return None
-
-
-def resolve_target_column(columns: list[str], requested: str) -> str:
-    """M9: the requested target if present, else the inferred one, else an error."""
-    if requested in columns:
-        return requested
-    inferred = infer_column(columns, TARGET_CANDIDATES)
-    if inferred:
-        return inferred
-    raise ValueError(f"Target column not found: {requested}. Available columns: {', '.join(columns)}")
+def column_for_role(columns: list[str], role_names: list[str], wanted: str | None = None) -> str | None:
+    """The column that plays a role: the wanted one if it is there, else the best by name (M8, M9).
+
+    Names are ranked by their place in ``role_names`` whatever their case; of names that differ in
+    case only, the last column counts.
+    """
+    if wanted in columns:
+        return wanted
+    ranked = [(role_names.index(c.lower()), -at, c) for at, c in enumerate(columns) if c.lower() in role_names]
+    return min(ranked)[2] if ranked else None
+
+
+def target_column(columns: list[str], wanted: str) -> str:
+    found = column_for_role(columns, TARGET_CANDIDATES, wanted)
+    if found is None:
+        raise ValueError(f"no column {wanted!r} and none that looks like a target among {columns}")
+    return found
 
 
 def with_numeric_target(df: DataFrame, target: str, out: str = "y") -> DataFrame:

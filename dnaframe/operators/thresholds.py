@@ -153,7 +153,7 @@ def resolve_thresholds(predictions: DataFrame, strategy: str = "user_or_literatu
         models = [r[0] for r in predictions.select(model_col).distinct().collect()]
         return {m: t for m in models}
     if strategy == "median":
-        return median_thresholds(predictions, model_col, scope=scope)
+        return median_thresholds(predictions, model_col)  # each model's own median, whatever the scope
     source = validation if validation is not None else predictions
     best = best_thresholds(sweep(source, scope, model_col), strategy, goal).collect()
     chosen = {r["grp"]: r["threshold"] for r in best}

@@ -17,10 +17,8 @@ SCORE_MODELS = (("linear_regression", 1), ("random_forest", 2))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cluster's cores when the scan yields fewer splits."""
-    from dnaframe.session import spread
-
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table as its scan gives it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _dna(a: Column, b: Column) -> Column:

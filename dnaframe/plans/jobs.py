@@ -42,15 +42,18 @@ def _now() -> str:
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Suffix dispatch: csv/tsv/txt, fa/fasta, xml/rdf/sbol. Every result has a ``row_id``."""
-    low = path.lower().rstrip("/*")
-    if low.endswith((".csv", ".tsv", ".txt")):
-        return tabular.read_delimited(spark, path)
-    if low.endswith((".fa", ".fasta")):
+    """Suffix dispatch of a file or folder: csv/tsv/txt, fa/fasta, xml/rdf/sbol. Every result has a ``row_id``."""
+    kinds = store.suffixes(spark, path)
+    if len(kinds) != 1:
+        raise ValueError(f"{path} holds files of {len(kinds)} formats {sorted(kinds)}, not of one")
+    low = kinds.pop()
+    if low in (".csv", ".tsv", ".txt"):
+        return tabular.read_delimited(spark, path, sep=tabular.separator_for(low))
+    if low in (".fa", ".fasta"):
         return tabular.with_file_row_id(fasta.read_fasta(spark, path))
-    if low.endswith((".xml", ".rdf", ".sbol")):
+    if low in (".xml", ".rdf", ".sbol"):
         return tabular.with_file_row_id(sbol.read_sbol(spark, path))
-    raise ValueError(f"Unsupported dataset format: {os.path.splitext(low)[1]}")
+    raise ValueError(f"no reader for {low or 'files without a suffix'}: {path}")
 
 
 # ---- W1 -------------------------------------------------------------------------------------
@@ -61,13 +64,13 @@ def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = N
     # parse the source once: write it, then count and profile the stored columnar copy
     src = read_any(spark, path)
     if src.isEmpty():  # stops at the first row found
-        raise ValueError("Dataset contains no rows")
+        raise ValueError(f"nothing to ingest: {path} has no row")
     store.write_dataset(src, root, dataset_id)
     df = store.load_dataset(spark, root, dataset_id)
     rows = df.count()
     cols = [c for c in df.columns if c != "row_id"]
-    target = prof.infer_column(cols, prof.TARGET_CANDIDATES)
-    seqcol = prof.infer_column(cols, prof.SEQUENCE_CANDIDATES)
+    target = prof.column_for_role(cols, prof.TARGET_CANDIDATES)
+    seqcol = prof.column_for_role(cols, prof.SEQUENCE_CANDIDATES)
     dg = digest.file_digests(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"),
                                              F.first("sha256").alias("sha256")).first()
     sha = dg["sha256"] if dg["files"] == 1 else None  # a folder is fingerprinted per file, not as one digest
@@ -76,7 +79,7 @@ def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = N
         "dataset_id": dataset_id, "original_name": os.path.basename(path.rstrip("/")), "created_at": _now(),
         "row_count": rows, "columns": cols, "suggested_sequence_col": seqcol, "suggested_target_col": target,
         "large_dataset_warning": rows > prof.LOCAL_ROW_LIMIT, "local_small_run_limit": prof.LOCAL_ROW_LIMIT,
-        "sha256": sha, "source_format": os.path.splitext(path.rstrip("/"))[1].lower(), "upload_bytes": size,
+        "sha256": sha, "source_format": min(store.suffixes(spark, path)), "upload_bytes": size,
         "source_path": path,
     }
     if target:
@@ -121,14 +124,14 @@ class BenchmarkRequest:
             raise ValueError("validation_size must be between 0 and 0.4")
         unknown = [m for m in self.models if m not in mdl.MODEL_NAMES]
         if unknown:
-            raise ValueError(f"Unsupported model(s): {', '.join(unknown)}")
+            raise ValueError(f"unknown models {unknown}; known are {list(mdl.MODEL_NAMES)}")
 
 
 def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> dict:
     """W2 core: returns DataFrames and counts; writes nothing."""
     if req.sequence_col not in df.columns:
         raise ValueError(f"Column not found: {req.sequence_col}")
-    target = prof.resolve_target_column(df.columns, req.target_col)
+    target = prof.target_column(df.columns, req.target_col)
     cfg = feat.FeatureConfig.from_dict(req.preprocessing)
     source = df
     row_cap_applied = False
@@ -154,7 +157,7 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
     rows_used = sum(counts.values())
     if rows_used < MIN_VALID_ROWS:
         split.unpersist()
-        raise ValueError("Need at least 5 rows with numeric targets for a benchmark")
+        raise ValueError(f"{rows_used} rows have a numeric target; {MIN_VALID_ROWS} are needed")
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     fitted, preds = mdl.fit_and_predict(train, test, list(req.models), req.random_seed, row_id,
@@ -183,7 +186,7 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
 
 def _feature_frame(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> DataFrame:
     """Cap, balance, valid target, features: the frame every fold or seed reuses."""
-    target = prof.resolve_target_column(df.columns, req.target_col)
+    target = prof.target_column(df.columns, req.target_col)
     source = df
     if req.max_rows and req.max_rows > 0:
         source, _ = prof.cap_rows(source, req.max_rows, row_id)
@@ -302,7 +305,7 @@ def checksum_gate(spark: SparkSession, cfg: dict) -> bool | None:
     """W6 (M22): True / False, or None when no path or no file; only False stops a replay."""
     ds = cfg.get("dataset") or {}
     path = ds.get("path")
-    if not path or not os.path.exists(path):
+    if not path or not store._exists(spark, path):
         return None
     rows = digest.file_digests(spark, path).collect()
     if len(rows) != 1:
@@ -332,7 +335,7 @@ def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False,
                "preprocessing": cfg.get("preprocessing")}
     if not dry_run:
         if not runnable:
-            raise ValueError("No runnable models selected. Use linear_regression, random_forest, or gradient_boosting.")
+            raise ValueError(f"none of the models {requested} can run here; known are {list(mdl.MODEL_NAMES)}")
         ds, sp, tr = cfg["dataset"], cfg["split"], cfg["training"]
         data = read_any(spark, ds["path"])
         if ds["target_column"] not in data.columns:
@@ -366,12 +369,12 @@ def dry_run_summary(spark: SparkSession, configs_path: str) -> DataFrame:
     from dnaframe.plans.config import read_run_configs
 
     cfgs = read_run_configs(spark, configs_path)
-    paths = [r[0] for r in cfgs.select("dataset.path").distinct().collect() if r[0] and os.path.exists(r[0])]
+    paths = [r[0] for r in cfgs.select("dataset.path").distinct().collect() if r[0] and store._exists(spark, r[0])]
     base = cfgs.select("config_path", F.col("dataset.path").alias("path"), F.col("dataset.sha256").alias("expected_sha256"),
                        F.transform("models", lambda m: m["model_name"]).alias("models"),
                        F.col("split.random_seed").alias("random_seed"), F.col("preprocessing").alias("preprocessing"))
     if paths:
-        d = digest.file_digests(spark, ",".join(paths)).withColumn("path", F.regexp_replace("path", "^file:", ""))
+        d = digest.file_digests(spark, paths).withColumn("path", F.regexp_replace("path", "^file:", ""))
     else:
         d = spark.createDataFrame([], "path string, size_bytes bigint, sha256 string")
     j = base.join(d, "path", "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "dnaframe") -> SparkSession:
@@ -31,32 +31,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
-
-    Small single-file inputs (one parquet row group = one task) would otherwise run the
-    CPU-heavy sequence work on one core. A large input already has thousands of splits and is
-    returned untouched, so this never adds a shuffle at scale.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: no RDD view, leave the scan as it is
-        return df
-    if current < target:
-        # hash on a per-row scan id: balanced and deterministic on retry without the local sort
-        # that a round-robin repartition adds
-        from pyspark.sql import functions as F
-
-        return df.repartition(target, F.monotonically_increasing_id())
-    return df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as it is. Only when
-    it is unset (local tests) a fresh scratch folder is taken.
+    it is unset, a local session (tests) takes a fresh scratch folder; a cluster session is refused,
+    as no machine's own folder survives a lost executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="dnaframe-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SHA-256 of each file's bytes ``(path, size_bytes, sha256)``; one task per file (< 2 GB each).
 
     For a whole table use ``functions.hashing.table_fingerprint`` (order-free, any size).

@@ -22,10 +22,10 @@ SBOL2_NS = "http://sbols.org/v2#"
 # name (any prefix, or the default namespace).
 _ELEMENT = "//*[local-name()='elements']/text()"
 _ATTRIBUTE = "//@*[local-name()='elements']"
-# Leaf texts and property attributes are triple objects; node ids (about / ID / nodeID), literal
-# annotations (datatype / lang / parseType) and namespace declarations are not.
+# Leaf texts and property attributes are triple objects; node ids (about / ID / nodeID), references to
+# nodes (resource), literal annotations (datatype / lang / parseType) and namespace declarations are not.
 _LITERALS = ("//*[not(*)]/text() | //@*[not(local-name()='about' or local-name()='ID' or "
-             "local-name()='nodeID' or local-name()='datatype' or local-name()='lang' or "
+             "local-name()='nodeID' or local-name()='resource' or local-name()='datatype' or local-name()='lang' or "
              "local-name()='parseType' or starts-with(name(), 'xmlns'))]")
 
 

@@ -35,6 +35,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def suffixes(spark: SparkSession, path: str) -> set[str]:
+    """Lower-case suffixes of the files of a path: a file, a glob, or a folder (hidden files aside)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    for found in fs.globStatus(hpath) or []:
+        listed = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+        names += [f.getPath().getName() for f in listed]
+    return {os.path.splitext(n)[1].lower() for n in names if not n.startswith((".", "_"))}
+
+
 def write_partitions(df: DataFrame, root: str, *parts: str, keys=("dataset_id",)) -> None:
     """Idempotent sink: replace only the ``keys`` partitions present in ``df``."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -47,14 +59,20 @@ def write_dataset(df: DataFrame, root: str, dataset_id: str) -> None:
 
 
 def load_dataset(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    """Rows of one dataset (partition pruning on dataset_id)."""
-    d = spark.read.parquet(_p(root, "datasets", "data"))
-    return d.filter(F.col("dataset_id") == dataset_id).drop("dataset_id")
+    """Rows of one dataset in its own columns and types: only its folder is read."""
+    return spark.read.parquet(_p(root, "datasets", "data", f"dataset_id={dataset_id}"))
 
 
 def read_table(spark: SparkSession, root: str, *parts: str) -> DataFrame | None:
+    """A whole table; runs of different kinds have different columns, so all files' columns are merged."""
     path = _p(root, *parts)
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    return spark.read.option("mergeSchema", True).parquet(path) if _exists(spark, path) else None
+
+
+def read_partition(spark: SparkSession, root: str, *parts: str, key: str, value: str) -> DataFrame | None:
+    """The rows of one partition with the columns they were written with, and the key beside them."""
+    path = _p(root, *parts, f"{key}={value}")
+    return spark.read.parquet(path).withColumn(key, F.lit(value)) if _exists(spark, path) else None
 
 
 def list_datasets(spark: SparkSession, root: str) -> DataFrame | None:
@@ -71,18 +89,11 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame | None:
 
 def get_run(spark: SparkSession, root: str, run_id: str, preview_rows: int = 100) -> dict:
     """One run: its registry row, its metrics and its first predictions (pruned to the run)."""
-    reg = read_table(spark, root, "runs", "registry")
-    met = read_table(spark, root, "runs", "metrics")
-    pred = read_table(spark, root, "runs", "predictions")
-    out = {
-        "run": reg.filter(F.col("run_id") == run_id) if reg is not None else None,
-        "metrics": met.filter(F.col("run_id") == run_id) if met is not None else None,
-        "predictions": None,
-    }
-    if pred is not None:
-        p = pred.filter(F.col("run_id") == run_id)
-        out["predictions"] = p.orderBy("model", "row_id").limit(preview_rows)
-    return out
+    found = {name: read_partition(spark, root, "runs", table, key="run_id", value=run_id)
+             for name, table in (("run", "registry"), ("metrics", "metrics"), ("predictions", "predictions"))}
+    if found["predictions"] is not None:
+        found["predictions"] = found["predictions"].orderBy("model", "row_id").limit(preview_rows)
+    return found
 
 
 def save_model(model, root: str, run_id: str, name: str) -> str:

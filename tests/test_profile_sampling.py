@@ -13,11 +13,11 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_infer_column_priority_and_case():
-    assert prof.infer_column(["Label", "TARGET"], prof.TARGET_CANDIDATES) == "TARGET"
-    assert prof.infer_column(["seq", "Sequence"], prof.SEQUENCE_CANDIDATES) == "Sequence"
-    assert prof.resolve_target_column(["a", "label"], "missing") == "label"
+    assert prof.column_for_role(["Label", "TARGET"], prof.TARGET_CANDIDATES) == "TARGET"
+    assert prof.column_for_role(["seq", "Sequence"], prof.SEQUENCE_CANDIDATES) == "Sequence"
+    assert prof.target_column(["a", "label"], "missing") == "label"
     with pytest.raises(ValueError):
-        prof.resolve_target_column(["a"], "missing")
+        prof.target_column(["a"], "missing")
 
 
 def test_summary_edges(spark):

@@ -149,6 +149,7 @@ def test_feature_config_parsing():
     assert (cfg.use_gc, cfg.use_kmers, cfg.use_one_hot, cfg.kmer_size, cfg.sequence_length) == (True, False, True, 3, 40)
     assert feat.FeatureConfig.from_dict(None).to_dict()["kmer_size"] == 6
     with pytest.raises(ValueError):
-        feat.FeatureConfig.from_dict({"kmer_size": 7})
+        feat.FeatureConfig.from_dict({"kmer_size": 32})
+    assert feat.FeatureConfig.from_dict({"sequence_length": 5000, "kmer_size": 8}).sequence_length == 5000
     with pytest.raises(ValueError):
         feat.FeatureConfig.from_dict({"sequence_length": 10})

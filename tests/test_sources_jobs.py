@@ -208,7 +208,7 @@ def test_cross_validate_and_repeated(spark, tmpdir_path):
 def test_m15_needs_five_valid_rows(spark, tmpdir_path):
     p = write(os.path.join(tmpdir_path, "few.csv"), "sequence,target\nACGT,1\nGGCC,x\nAAAA,2\nCCCC,\nGGGG,3\nTTTT,4\n")
     req = jobs.BenchmarkRequest(target_col="target", preprocessing={"use_gc": True, "use_kmers": False})
-    with pytest.raises(ValueError, match="at least 5"):
+    with pytest.raises(ValueError, match="5 are needed"):
         jobs.benchmark_frames(tabular.read_delimited(spark, p), req)
 
 
