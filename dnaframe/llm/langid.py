@@ -135,19 +135,20 @@ class Parser:
         np.add.at(out, owner, cuts.T)
         return out
 
-    def predict(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
-        """Language, score and cost (bits per byte) of each text."""
-        found = self.phrases(texts) * self.bits
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float, float, float]]:
+        """Language, score, cost (bits per byte) and phrases per byte of each text."""
+        phrases = self.phrases(texts)
+        found = phrases * self.bits
         out = []
-        for text, row in zip(texts, found):
+        for text, row, n in zip(texts, found, phrases):
             if not text or not self.langs:
-                out.append(("und", 0.0, None))
+                out.append(("und", 0.0, None, None))
                 continue
             cost = row / len(text)
             best = int(np.argmin(cost))
             rest = np.delete(cost, best)
             score = 1.0 if not len(rest) else float((rest.min() - cost[best]) / rest.min()) if rest.min() else 0.0
-            out.append((self.langs[best], min(1.0, max(0.0, score)), float(cost[best])))
+            out.append((self.langs[best], min(1.0, max(0.0, score)), float(cost[best]), float(n[best]) / len(text)))
         return out
 
 
@@ -196,22 +197,22 @@ def _predict(shared):
                     upto += 1
                 found += parser.predict(texts[at:upto])
                 at = upto
-            lang, score, cost = zip(*found) if found else ((), (), ())
+            lang, score, cost, rate = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(batch.num_columns - 1)]
-                + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())],
-                names=batch.schema.names[:-1] + ["lang_pred", "score", "cost"])
+                + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64()),
+                   pa.array(rate, pa.float64())], names=batch.schema.names[:-1] + ["lang_pred", "score", "cost", "phrases_per_byte"])
 
     return run
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], key: str | Column = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score, cost of every row; ``key`` may be a struct column that carries the row."""
+    """key, lang_pred, score, cost, phrases_per_byte of every row; ``key`` may be a struct column that carries the row."""
     key = F.col(key) if isinstance(key, str) else key
     rows = docs.select(key, F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(Parser(samples))
     kind = rows.schema[0]
-    return rows.mapInArrow(_predict(shared), f"`{kind.name}` {kind.dataType.simpleString()}, lang_pred string, score double, cost double")
+    return rows.mapInArrow(_predict(shared), f"`{kind.name}` {kind.dataType.simpleString()}, lang_pred string, score double, cost double, phrases_per_byte double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -225,8 +226,9 @@ def langid_query(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "cost")
 
 
-def identified_documents(docs: DataFrame, most_cost: float = 10.0) -> DataFrame:
-    """``docs`` without those that have no language: no letter, or a cost above ``most_cost`` bits per byte."""
+def identified_documents(docs: DataFrame, most_phrases: float = 0.6) -> DataFrame:
+    """``docs`` without those in no learned language: no letter, or more than ``most_phrases`` phrases per
+    byte, so that even the best language's text shares next to nothing with them."""
     samples = learn(docs.filter(~held_out()))
     found = identify(docs, samples, F.struct("*").alias("doc"))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("cost") <= most_cost)).select("doc.*")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("phrases_per_byte") <= most_phrases)).select("doc.*")
