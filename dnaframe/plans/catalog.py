@@ -402,12 +402,20 @@ def provided_split_q(spark, sf_dir):
     return smp.provided_split(part["F"], part["P"], part["O"])
 
 
-@query("table_fingerprint")
+_FINGERPRINT_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+_ROW_TEXT_SQL = " || ',' || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    for c in [*_FINGERPRINT_COLUMNS[:4], "nullif(l_returnflag, 'A')", "l_linestatus"])
+
+
+@query("table_fingerprint", f"""
+SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5({_ROW_TEXT_SQL}), 1, 15))::BIGINT) AS VARCHAR) AS content_hash FROM lineitem""")
 def table_fingerprint_q(spark, sf_dir):
-    """F11 at table scale: order-free (rows, sum of row hashes) of the whole lineitem table."""
+    """F11 at table scale: order-free (rows, sum of row hashes) of every lineitem row, nulls included."""
     from dnaframe.functions.hashing import table_fingerprint
 
-    return table_fingerprint(fx.table(spark, sf_dir, "lineitem"))
+    li = fx.table(spark, sf_dir, "lineitem").select(*_FINGERPRINT_COLUMNS)
+    return table_fingerprint(li.withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("A"))))
 
 
 # ---- evaluation: A5-A13, T1-T7, J3, U1, W10 ------------------------------------------------
@@ -605,7 +613,7 @@ def multi_seed_summary_q(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from dnaframe.plans import jobs  # noqa: F401  (registers the job queries)
+    from dnaframe.plans import jobs, source_queries  # noqa: F401  (register their queries)
 
     return dict(QUERIES)
 

@@ -34,6 +34,8 @@ from dnaframe.plans.catalog import query
 from dnaframe.sources import digest, fasta, sbol, store, tabular
 
 MIN_VALID_ROWS = 5
+# The names of the split strategies.
+SPLIT_STRATEGIES = ("fixed_train_validation_test", "provided_train_validation_test", "kfold_small_dataset", "repeated_seed_holdout")
 TOOL_VERSION = "0.1.0"
 
 
@@ -50,9 +52,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     if low in (".csv", ".tsv", ".txt"):
         return tabular.read_delimited(spark, path, sep=tabular.separator_for(low))
     if low in (".fa", ".fasta"):
-        return tabular.with_file_row_id(fasta.read_fasta(spark, path))
+        return tabular.numbered(fasta.read_fasta(spark, path), "file", "record")
     if low in (".xml", ".rdf", ".sbol"):
-        return tabular.with_file_row_id(sbol.read_sbol(spark, path))
+        return tabular.numbered(sbol.read_sbol(spark, path), "id")
     raise ValueError(f"no reader for {low or 'files without a suffix'}: {path}")
 
 
@@ -115,6 +117,8 @@ class BenchmarkRequest:
     balance_strategy: str = "none"
     max_rows: int = 0  # 0 = no cap: Spark runs the whole table
     model_overrides: dict = field(default_factory=dict)
+    cv_folds: int = 5  # kfold_small_dataset
+    reruns: int = 5  # repeated_seed_holdout: seeds random_seed, random_seed + 1, ...
     split_manifest_path: str | None = None  # X6: take the split from a saved manifest (joined on row_id)
 
     def __post_init__(self):
@@ -122,6 +126,10 @@ class BenchmarkRequest:
             raise ValueError("test_size must be between 0.05 and 0.5")
         if not (0.0 <= self.validation_size <= 0.4):
             raise ValueError("validation_size must be between 0 and 0.4")
+        if self.split_strategy not in SPLIT_STRATEGIES:
+            raise ValueError(f"unknown split strategy {self.split_strategy!r}; known are {list(SPLIT_STRATEGIES)}")
+        if self.cv_folds < 2 or self.reruns < 1:
+            raise ValueError("cv_folds is 2 at least, reruns 1")
         unknown = [m for m in self.models if m not in mdl.MODEL_NAMES]
         if unknown:
             raise ValueError(f"unknown models {unknown}; known are {list(mdl.MODEL_NAMES)}")
@@ -239,6 +247,24 @@ def repeated_benchmark(df: DataFrame, req: BenchmarkRequest, seeds: list[int], r
             "binary_target": binary}
 
 
+def evaluate(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> DataFrame:
+    """W2 by the request's split strategy: metrics per model, and per fold or seed where there are several.
+
+    * fixed_train_validation_test: one exact holdout (X1, X2); ``part`` is null.
+    * provided_train_validation_test: the split saved at ``split_manifest_path`` (X3, X6).
+    * kfold_small_dataset: ``cv_folds`` folds (X4); ``part`` is the fold.
+    * repeated_seed_holdout: ``reruns`` holdouts (X5); ``part`` is the seed.
+    """
+    if req.split_strategy == "kfold_small_dataset":
+        return cross_validate(df, req, req.cv_folds, row_id)["per_fold"].withColumnRenamed("fold", "part")
+    if req.split_strategy == "repeated_seed_holdout":
+        seeds = [req.random_seed + i for i in range(req.reruns)]
+        return repeated_benchmark(df, req, seeds, row_id)["per_seed"].withColumnRenamed("seed", "part")
+    if req.split_strategy == "provided_train_validation_test" and not req.split_manifest_path:
+        raise ValueError("a provided split needs split_manifest_path")
+    return benchmark_frames(df, req, row_id)["metrics"].withColumn("part", F.lit(None).cast("int"))
+
+
 def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: DataFrame | None = None) -> dict:
     """W2 with writes: predictions (K2), metrics (K3), registry row (K5), models (K6)."""
     started = _now()
@@ -345,6 +371,8 @@ def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False,
             sequence_col=ds["sequence_column"], target_col=ds["target_column"], models=runnable,
             preprocessing={k: v for k, v in (cfg.get("preprocessing") or {}).items() if k != "additional_options"},
             test_size=float(sp["test_size"]), validation_size=float(sp.get("validation_size") or 0.0),
+            split_strategy=sp["split_strategy"], cv_folds=int(sp.get("cv_folds") or 5), reruns=int(sp.get("reruns") or 5),
+            biological_goal=tr.get("biological_goal") or (cfg.get("threshold") or {}).get("biological_goal") or "limit_false_positives",
             random_seed=int(sp["random_seed"]), threshold_strategy=tr.get("threshold_strategy") or "user_or_literature",
             threshold_value=tr.get("threshold_value"), threshold_scope=tr.get("threshold_scope") or "shared",
             balance_strategy=bal.get("balance_strategy") or tr.get("balance_strategy") or "none",

@@ -11,8 +11,13 @@ def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     For a whole table use ``functions.hashing.table_fingerprint`` (order-free, any size).
     """
-    b = spark.read.format("binaryFile").load(path)
-    return b.select(F.col("path"), F.col("length").alias("size_bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
+    return content_digests(spark.read.format("binaryFile").load(path))
+
+
+def content_digests(files: DataFrame) -> DataFrame:
+    """SHA-256 and size of byte contents ``(path, content)``."""
+    return files.select("path", F.octet_length("content").cast("bigint").alias("size_bytes"),
+                        F.sha2(F.col("content"), 256).alias("sha256"))
 
 
 def checksum_status(digests: DataFrame, expected: DataFrame, on: str = "path") -> DataFrame:

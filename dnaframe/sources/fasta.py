@@ -40,7 +40,11 @@ def _record_columns(rec: Column, number: Column) -> list[Column]:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Whole-file reader: one row per record ``(file, record, id, sequence)``."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parse_fasta(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def parse_fasta(raw: DataFrame) -> DataFrame:
+    """The records of whole FASTA texts ``(file, value)``."""
     parts = raw.select("file", F.posexplode_outer(F.split("value", _HEADER_SPLIT)).alias("record", "rec"))
     recs = parts.filter(F.col("record") > 0)
     return recs.select("file", "record", *_record_columns(F.col("rec"), F.col("record")))

@@ -30,7 +30,11 @@ _LITERALS = ("//*[not(*)]/text() | //@*[not(local-name()='about' or local-name()
 
 
 def read_sbol(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    return parse_sbol(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value"))
+
+
+def parse_sbol(raw: DataFrame) -> DataFrame:
+    """One row per XML text ``(name, value)``."""
     elem = F.xpath(F.col("value"), F.lit(_ELEMENT))
     attr = F.xpath(F.col("value"), F.lit(_ATTRIBUTE))
     first = F.coalesce(F.get(elem, 0), F.get(attr, 0))
