@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from dnaframe.llm.common import batches, kept
 
-CHUNK, SLICE = 8 << 20, 4 << 20
+CHUNK, SLICE = 8 << 20, 2 << 20
 
 
 def grams(texts: list[bytes], order: int) -> np.ndarray:
