@@ -31,12 +31,18 @@ from dnaframe.operators import sampling as smp
 from dnaframe.operators import thresholds as thr
 from dnaframe.plans import fixtures as fx
 from dnaframe.plans.catalog import query
+from dnaframe.plans.config import SCHEMA_VERSION
 from dnaframe.sources import digest, fasta, sbol, store, tabular
 
 MIN_VALID_ROWS = 5
 # The names of the split strategies.
 SPLIT_STRATEGIES = ("fixed_train_validation_test", "provided_train_validation_test", "kfold_small_dataset", "repeated_seed_holdout")
 TOOL_VERSION = "0.1.0"
+RUN_ROW = ("run_id string, created_at string, completed_at string, dataset_id string, dataset_sha256 string, "
+           "tool_version string, run_mode string, rows_used bigint, row_cap_applied boolean, class_balance_applied boolean, "
+           "train_rows bigint, test_rows bigint, target_kind string, source_dataset_removed_after_run boolean, "
+           "has_config boolean, target_col string, request_json string, classification_threshold double, "
+           "model_paths_json string")
 
 
 def _now() -> str:
@@ -73,10 +79,7 @@ def ingest(spark: SparkSession, path: str, root: str, dataset_id: str | None = N
     cols = [c for c in df.columns if c != "row_id"]
     target = prof.column_for_role(cols, prof.TARGET_CANDIDATES)
     seqcol = prof.column_for_role(cols, prof.SEQUENCE_CANDIDATES)
-    dg = digest.file_digests(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"),
-                                             F.first("sha256").alias("sha256")).first()
-    sha = dg["sha256"] if dg["files"] == 1 else None  # a folder is fingerprinted per file, not as one digest
-    size = dg["bytes"] or 0
+    sha, size = digest.path_digest(spark, path)
     manifest = {
         "dataset_id": dataset_id, "original_name": os.path.basename(path.rstrip("/")), "created_at": _now(),
         "row_count": rows, "columns": cols, "suggested_sequence_col": seqcol, "suggested_target_col": target,
@@ -277,10 +280,8 @@ def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: Dat
     model_paths = {n: store.save_model(m, root, run_id, n) for n, m in out["fitted"].items()}
     manifest = None
     if req.dataset_id:
-        mf = store.read_table(spark, root, "datasets", "manifest")
-        if mf is not None:
-            rows = mf.filter(F.col("dataset_id") == req.dataset_id).collect()
-            manifest = rows[0].asDict() if rows else None
+        found = store.read_partition(spark, root, "datasets", "manifest", key="dataset_id", value=req.dataset_id)
+        manifest = found.first().asDict() if found is not None else None
     last_threshold = None
     if out["thresholds"]:
         last_threshold = out["thresholds"].get(list(req.models)[-1])
@@ -295,16 +296,72 @@ def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: Dat
         "request_json": _json(asdict(req)), "classification_threshold": last_threshold,
         "model_paths_json": _json(model_paths),
     }
-    schema = ("run_id string, created_at string, completed_at string, dataset_id string, dataset_sha256 string, "
-              "tool_version string, run_mode string, rows_used bigint, row_cap_applied boolean, "
-              "class_balance_applied boolean, train_rows bigint, test_rows bigint, target_kind string, "
-              "source_dataset_removed_after_run boolean, has_config boolean, target_col string, request_json string, "
-              "classification_threshold double, model_paths_json string")
-    store.write_partitions(spark.createDataFrame([reg], schema), root, "runs", "registry", keys=("run_id",))
+    store.write_partitions(spark.createDataFrame([reg], RUN_ROW), root, "runs", "registry", keys=("run_id",))
+    store.write_json(spark, run_config(reg, req, manifest), root, "runs", "configs", f"run_id={run_id}")
     out["split"].unpersist()
     return {"run": reg, "metrics": out["metrics"], "predictions": out["predictions"]}
 
 
+def run_config(run: dict, req: BenchmarkRequest, manifest: dict | None) -> dict:
+    """K5: the nested run configuration of a run, complete enough to replay it."""
+    import platform
+
+    ds = manifest or {}
+    threshold = {"threshold_strategy": req.threshold_strategy, "threshold_value": req.threshold_value,
+                 "threshold_scope": req.threshold_scope, "biological_goal": req.biological_goal}
+    rounds = {"cv_folds": req.cv_folds, "reruns": req.reruns}
+    limits = {"row_cap_applied": run["row_cap_applied"], "local_row_limit": req.max_rows}
+    return {
+        "schema_version": SCHEMA_VERSION,
+        "dataset": {"path": ds.get("source_path"), "sha256": ds.get("sha256"), "size_bytes": ds.get("upload_bytes"),
+                    "sequence_column": req.sequence_col, "target_column": run["target_col"], "dataset_id": req.dataset_id,
+                    "original_name": ds.get("original_name"), "row_count": ds.get("row_count"), "source_format": ds.get("source_format"),
+                    "columns": ds.get("columns"), "source_dataset_removed_after_run": run["source_dataset_removed_after_run"],
+                    "run_mode": run["run_mode"], "plan_only": run["run_mode"] == "plan_only"},
+        "split": {"split_strategy": req.split_strategy, "test_size": req.test_size, "validation_size": req.validation_size,
+                  "random_seed": req.random_seed, "train_rows": run["train_rows"], "test_rows": run["test_rows"], **rounds},
+        "preprocessing": feat.FeatureConfig.from_dict(req.preprocessing).to_dict(),
+        "models": [{"model_name": m, "runner": "spark"} for m in req.models],
+        "threshold": {**threshold, "resolved_classification_threshold": run["classification_threshold"]},
+        "balance": {"balance_strategy": req.balance_strategy, "class_balance_applied": run["class_balance_applied"],
+                    "rows_used": run["rows_used"], **limits},
+        "training": {**threshold, "balance_strategy": req.balance_strategy, **limits, **rounds},
+        "dependencies": {"python_version": platform.python_version()},
+        "hardware": {"device": "spark", "machine": platform.machine()},
+        "metadata": {"created_at": run["created_at"], "completed_at": run["completed_at"], "tool_version": TOOL_VERSION,
+                     "run_id": run["run_id"]},
+    }
+
+
+def replay_run(spark: SparkSession, root: str, run_id: str, out_root: str, **options) -> dict:
+    """W7 from a registry row: the run's saved configuration over the rows it was run on."""
+    cfg = store.read_json(spark, root, "runs", "configs", f"run_id={run_id}")
+    dataset_id = cfg["dataset"].get("dataset_id")
+    data = store.load_dataset(spark, root, dataset_id) if dataset_id else None
+    return replay(spark, cfg, out_root, data=data, **options)
+
+
+def plan_only_run(spark: SparkSession, root: str, req: BenchmarkRequest) -> dict:
+    """W3 with its registry row: the rows a run would use, its configuration, no training."""
+    found = store.read_partition(spark, root, "datasets", "manifest", key="dataset_id", value=req.dataset_id)
+    manifest = found.first().asDict() if found is not None else None
+    data = store.load_dataset(spark, root, req.dataset_id)
+    target = prof.target_column(data.columns, req.target_col)
+    p = profile_export(data, target, req.max_rows or 2**62).first()
+    now = _now()
+    run = {
+        "run_id": str(uuid.uuid4()), "created_at": now, "completed_at": now, "dataset_id": req.dataset_id,
+        "dataset_sha256": manifest["sha256"] if manifest else None, "tool_version": TOOL_VERSION, "run_mode": "plan_only",
+        "rows_used": p["rows_used"], "row_cap_applied": p["row_cap_applied"], "class_balance_applied": False, "train_rows": 0,
+        "test_rows": 0, "target_kind": "binary_numeric_label" if p["binary_target"] else "numeric_regression",
+        "source_dataset_removed_after_run": False, "has_config": True, "target_col": target, "request_json": _json(asdict(req)),
+        "classification_threshold": None, "model_paths_json": "{}",
+    }
+    store.write_partitions(spark.createDataFrame([run], RUN_ROW), root, "runs", "registry", keys=("run_id",))
+    store.write_json(spark, run_config(run, req, manifest), root, "runs", "configs", f"run_id={run['run_id']}")
+    return run
+
+
 def _json(x) -> str:
     import json
 
@@ -333,16 +390,15 @@ def checksum_gate(spark: SparkSession, cfg: dict) -> bool | None:
     path = ds.get("path")
     if not path or not store._exists(spark, path):
         return None
-    rows = digest.file_digests(spark, path).collect()
-    if len(rows) != 1:
-        return None
-    return rows[0]["sha256"] == ds.get("sha256")
+    return digest.path_digest(spark, path)[0] == ds.get("sha256")
 
 
-def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False, models: list | None = None) -> dict:
+def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False, models: list | None = None,
+           data: DataFrame | None = None) -> dict:
     """Gate, then re-run the saved settings; the row cap and balancing are honoured.
 
-    Model names that are not runnable here are skipped and reported.
+    Model names that are not runnable here are skipped and reported. ``data``: the stored rows, where
+    there are any; else the source file is read again, which gives its rows the same ids.
     """
     from dnaframe.plans.config import validate_config
 
@@ -363,7 +419,7 @@ def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False,
         if not runnable:
             raise ValueError(f"none of the models {requested} can run here; known are {list(mdl.MODEL_NAMES)}")
         ds, sp, tr = cfg["dataset"], cfg["split"], cfg["training"]
-        data = read_any(spark, ds["path"])
+        data = data if data is not None else read_any(spark, ds["path"])
         if ds["target_column"] not in data.columns:
             raise ValueError(f"Target column not found: {ds['target_column']}")
         bal = (cfg.get("balance") or {})
@@ -381,6 +437,7 @@ def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False,
         res = benchmark_frames(data, req)
         res["metrics"].write.mode("overwrite").json(os.path.join(out_root, "metrics"))
         res["predictions"].write.mode("overwrite").option("header", True).csv(os.path.join(out_root, "predictions"))
+        summary["model_paths"] = {n: store.save_model(m, out_root, "replay", n) for n, m in res["fitted"].items()}
         res["split"].unpersist()
         summary.update(metrics_path=os.path.join(out_root, "metrics"), predictions_path=os.path.join(out_root, "predictions"))
     row = spark.createDataFrame([{"summary_json": _json(summary), "created_at": _now()}],

@@ -14,6 +14,15 @@ def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return content_digests(spark.read.format("binaryFile").load(path))
 
 
+def path_digest(spark: SparkSession, path: str) -> tuple[str | None, int]:
+    """One SHA-256 and the bytes of a path: a file's own digest, or that of a folder's file names and digests."""
+    files = file_digests(spark, path)
+    name = F.element_at(F.split("path", "/"), -1)
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"), F.first("sha256").alias("sha"), F.sha2(
+        F.array_join(F.array_sort(F.collect_list(F.concat(name, F.lit(":"), F.col("sha256")))), "\n"), 256).alias("all")).first()
+    return (None if not row["n"] else row["sha"] if row["n"] == 1 else row["all"]), int(row["bytes"] or 0)
+
+
 def content_digests(files: DataFrame) -> DataFrame:
     """SHA-256 and size of byte contents ``(path, content)``."""
     return files.select("path", F.octet_length("content").cast("bigint").alias("size_bytes"),

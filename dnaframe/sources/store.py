@@ -9,6 +9,7 @@ Layout under a root folder (a shared file system or object store on a cluster):
     runs/predictions       partitioned by run_id, model                             (K2, S11)
     runs/metrics           one row per (run, model)                                 (K3)
     runs/models/<run>/<model>  saved Spark ML models                                (K6)
+    runs/configs           the nested configuration of each run, as JSON            (K5, W7)
     runs/replays           one row per replay                                       (K7)
 
 Every table is partitioned by its id and written with dynamic partition overwrite: a write that
@@ -18,6 +19,7 @@ lookups by id prune to one folder.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,16 @@ def write_partitions(df: DataFrame, root: str, *parts: str, keys=("dataset_id",)
        .partitionBy(*keys).parquet(_p(root, *parts)))
 
 
+def write_json(spark: SparkSession, value: dict, root: str, *parts: str) -> None:
+    """One JSON document in a folder of its own, on any file system."""
+    text = json.dumps(value, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(_p(root, *parts))
+
+
+def read_json(spark: SparkSession, root: str, *parts: str) -> dict:
+    return json.loads(spark.read.text(_p(root, *parts)).first()[0])
+
+
 def write_dataset(df: DataFrame, root: str, dataset_id: str) -> None:
     """K1: store the table once, in its own partition."""
     write_partitions(df.withColumn("dataset_id", F.lit(dataset_id)), root, "datasets", "data")

@@ -146,3 +146,37 @@ def test_dry_run_over_two_configs(spark, tmpdir_path):
         write(os.path.join(d, f"c{i}.json"), json.dumps({"dataset": {"path": p, "sha256": sha}, "split": {"random_seed": i}, "models": []}))
     got = {r.random_seed: (r.dataset_available, r.dataset_checksum_verified) for r in jobs.dry_run_summary(spark, d).collect()}
     assert got == {0: (True, True), 1: (True, False)}
+
+
+def _dataset(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "store")
+    path = write(os.path.join(tmpdir_path, "d.csv"), "sequence,label\n" + "".join(f"{s},{i % 2}\n" for i, s in enumerate(sequences(50))))
+    jobs.ingest(spark, path, root, "ds")
+    return root, path
+
+
+def test_a_saved_run_is_replayed_as_it_ran(spark, tmpdir_path):
+    root, path = _dataset(spark, tmpdir_path)
+    req = jobs.BenchmarkRequest(dataset_id="ds", target_col="label", preprocessing={"use_gc": True, "use_kmers": True, "kmer_size": 2},
+                                threshold_strategy="median", biological_goal="high_sensitivity", balance_strategy="undersample")
+    run = jobs.run_benchmark(spark, root, req)
+    out = os.path.join(tmpdir_path, "again")
+    summary = jobs.replay_run(spark, root, run["run"]["run_id"], out)
+    assert summary["dataset_checksum_verified"] is True and os.path.exists(summary["model_paths"]["linear_regression"])
+    first, again = run["metrics"].first(), spark.read.json(os.path.join(out, "metrics")).first()
+    assert (first.mae, first.mcc, first.test_rows) == (again.mae, again.mcc, again.test_rows)
+    ids = {int(r.row_id) for r in spark.read.option("header", True).csv(os.path.join(out, "predictions")).collect()}
+    assert ids == {r.row_id for r in run["predictions"].collect()}
+    cfg = store.read_json(spark, root, "runs", "configs", f"run_id={run['run']['run_id']}")
+    assert cfg["threshold"]["biological_goal"] == "high_sensitivity" and cfg["balance"]["balance_strategy"] == "undersample"
+    write(path, "sequence,label\nACGT,1\n")
+    with pytest.raises(ValueError, match="checksum"):
+        jobs.replay_run(spark, root, run["run"]["run_id"], out)
+
+
+def test_a_plan_only_run_leaves_a_complete_row(spark, tmpdir_path):
+    root, _ = _dataset(spark, tmpdir_path)
+    run = jobs.plan_only_run(spark, root, jobs.BenchmarkRequest(dataset_id="ds", target_col="label", max_rows=20))
+    assert (run["rows_used"], run["row_cap_applied"], run["run_mode"]) == (20, True, "plan_only")
+    status = store.reproducibility_status(store.list_runs(spark, root), store.list_datasets(spark, root)).first()
+    assert status.run_id == run["run_id"] and status.reproducibility_status == "complete"
