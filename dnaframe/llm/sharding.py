@@ -58,7 +58,8 @@ def propagate(linked: DataFrame, shards: int, share: int, rounds: int = 64) -> D
         votes = votes.groupBy("link").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes"),
                                           F.max(F.when(_table(room, F.col("shard")) >= F.col("one"), F.struct("n", (-F.col("shard")).alias("s"))))
                                           .alias("best"))
-        near = state.join(votes, "link", "left")
+        # stored, so that the join below has no aggregate in its stage and a large group can be split
+        near = state.join(kept(votes, f"label-votes-{i}").hint("merge"), "link", "left")
         own = F.when(F.col("shard").isNotNull(), F.element_at("votes", F.col("shard"))).otherwise(F.lit(0))
         target = -F.col("best.s")
         wants = F.coalesce((F.col("best.n") > own) | ((F.col("best.n") == own) & (target < F.col("shard"))), F.lit(False)) & (
@@ -115,7 +116,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: i
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     share = (total or 0) / shards
     groups = rows.filter("link is not null").groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
-    linked = rows.join(groups, "link", "left_semi").select("row", "size", "link")
+    linked = rows.join(kept(groups, "shard-groups").hint("merge"), "link", "left_semi").select("row", "size", "link")
     held = kept(propagate(linked, shards, int(share), rounds), "shard-linked")
     load = {r[0]: r[1] for r in held.filter("shard is not null").groupBy("shard").agg(F.sum("size")).collect()}
     alone = rows.select("row", "size").join(held.filter("shard is not null").select("row"), "row", "left_anti")
