@@ -130,7 +130,7 @@ def cap_rows(df: DataFrame, max_rows: int, order_by: str = "row_id") -> tuple[Da
     if max_rows <= 0:
         return df, flag
     if not isinstance(df.schema[order_by].dataType, NumericType):
-        return df.orderBy(order_by).limit(max_rows), flag
+        return _first_by_range(df, order_by, max_rows), flag
     n = df.agg(F.count(order_by)).first()[0]
     if n <= max_rows:
         return df, flag
@@ -138,6 +138,27 @@ def cap_rows(df: DataFrame, max_rows: int, order_by: str = "row_id") -> tuple[Da
     return df.filter(F.col(order_by) <= F.lit(cut)), flag
 
 
+def _first_by_range(df: DataFrame, order_by: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a unique key of any ordered type.
+
+    Ranges of the key are counted first (one row per range reaches the driver); only the range that holds
+    the n-th key is sorted, so no task sees more than a range.
+    """
+    key = F.col(order_by)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.select(order_by).repartitionByRange(parts, key)
+    ranges = ranged.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy("low").collect()
+    before = 0
+    for r in ranges:
+        if before + r["n"] >= n:
+            inside = df.select(order_by).filter((key >= F.lit(r["low"])) & (key <= F.lit(r["high"])))
+            cut = inside.orderBy(key).limit(n - before).agg(F.max(key)).first()[0]
+            return df.filter(key <= F.lit(cut))
+        before += r["n"]
+    return df
+
+
 def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles (linear interpolation), max per column.
 
