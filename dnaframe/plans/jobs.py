@@ -175,6 +175,7 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
                                         overrides=req.model_overrides)
     # test rows x models: read by the threshold passes, the metrics and the sinks
     preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [split, preds]
     thresholds = None
     if binary:
         validation = None
@@ -182,7 +183,8 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
             vrows = split.filter(F.col("split") == "validation")
             validation = met.union_predictions([
                 m.transform(vrows).select(F.lit(n).alias("model"), row_id, F.col("y").alias("actual"), "prediction")
-                for n, m in fitted.items()])
+                for n, m in fitted.items()]).persist(StorageLevel.MEMORY_AND_DISK)  # read by the count, the bounds and the sweep
+            cached.append(validation)
         thresholds = thr.resolve_thresholds(preds, req.threshold_strategy, req.threshold_value, req.threshold_scope,
                                             req.biological_goal, validation=validation)
         preds = thr.apply_threshold(preds, thresholds)
@@ -191,10 +193,16 @@ def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id
         "target_col": target, "fitted": fitted, "predictions": preds, "metrics": metrics, "split": split,
         "rows_used": rows_used, "train_rows": counts.get("train", 0), "test_rows": counts.get("test", 0),
         "validation_rows": counts.get("validation", 0), "binary_target": binary, "row_cap_applied": row_cap_applied,
-        "class_balance_applied": balanced, "thresholds": thresholds,
+        "class_balance_applied": balanced, "thresholds": thresholds, "cached": cached,
     }
 
 
+def release(out: dict) -> None:
+    """Frees what ``benchmark_frames`` keeps in memory; its frames stay usable and are computed again if read."""
+    for frame in out["cached"]:
+        frame.unpersist()
+
+
 def _feature_frame(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> DataFrame:
     """Cap, balance, valid target, features: the frame every fold or seed reuses."""
     target = prof.target_column(df.columns, req.target_col)
@@ -213,8 +221,13 @@ def _fold_metrics(train: DataFrame, test: DataFrame, req: BenchmarkRequest, seed
     if binary:
         th = thr.resolve_thresholds(preds, req.threshold_strategy, req.threshold_value, req.threshold_scope,
                                     req.biological_goal)
-        preds = thr.apply_threshold(preds, th)
-    return met.all_metrics(preds, binary, train_rows=None)
+        labelled = thr.apply_threshold(preds, th)
+    else:
+        labelled = preds
+    found = met.all_metrics(labelled, binary, train_rows=None)
+    rows = found.collect()  # one row per model
+    preds.unpersist()
+    return preds.sparkSession.createDataFrame(rows, found.schema)
 
 
 def cross_validate(df: DataFrame, req: BenchmarkRequest, folds: int = 5, row_id: str = "row_id") -> dict:
@@ -228,7 +241,7 @@ def cross_validate(df: DataFrame, req: BenchmarkRequest, folds: int = 5, row_id:
         m = _fold_metrics(frame.filter(F.col("fold") != f), frame.filter(F.col("fold") == f), req,
                           req.random_seed, binary, row_id).withColumn("fold", F.lit(f))
         per_fold = m if per_fold is None else per_fold.unionByName(m)
-    per_fold = per_fold.persist(StorageLevel.MEMORY_AND_DISK)
+    frame.unpersist()
     summary = met.multi_seed_summary(per_fold).withColumnRenamed("seeds", "folds")
     return {"per_fold": per_fold, "summary": summary, "frame": frame, "binary_target": binary}
 
@@ -245,7 +258,7 @@ def repeated_benchmark(df: DataFrame, req: BenchmarkRequest, seeds: list[int], r
         m = _fold_metrics(one.filter(F.col("split") == "train"), one.filter(F.col("split") == "test"), req,
                           int(sd), binary, row_id).withColumn("seed", F.lit(int(sd)))
         per_seed = m if per_seed is None else per_seed.unionByName(m)
-    per_seed = per_seed.persist(StorageLevel.MEMORY_AND_DISK)
+    frame.unpersist()
     return {"per_seed": per_seed, "summary": met.multi_seed_summary(per_seed), "frame": frame,
             "binary_target": binary}
 
@@ -265,7 +278,10 @@ def evaluate(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> Da
         return repeated_benchmark(df, req, seeds, row_id)["per_seed"].withColumnRenamed("seed", "part")
     if req.split_strategy == "provided_train_validation_test" and not req.split_manifest_path:
         raise ValueError("a provided split needs split_manifest_path")
-    return benchmark_frames(df, req, row_id)["metrics"].withColumn("part", F.lit(None).cast("int"))
+    out = benchmark_frames(df, req, row_id)
+    rows = out["metrics"].collect()  # one row per model
+    release(out)
+    return df.sparkSession.createDataFrame(rows, out["metrics"].schema).withColumn("part", F.lit(None).cast("int"))
 
 
 def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: DataFrame | None = None) -> dict:
@@ -298,7 +314,7 @@ def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: Dat
     }
     store.write_partitions(spark.createDataFrame([reg], RUN_ROW), root, "runs", "registry", keys=("run_id",))
     store.write_json(spark, run_config(reg, req, manifest), root, "runs", "configs", f"run_id={run_id}")
-    out["split"].unpersist()
+    release(out)
     return {"run": reg, "metrics": out["metrics"], "predictions": out["predictions"]}
 
 
@@ -438,7 +454,7 @@ def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False,
         res["metrics"].write.mode("overwrite").json(os.path.join(out_root, "metrics"))
         res["predictions"].write.mode("overwrite").option("header", True).csv(os.path.join(out_root, "predictions"))
         summary["model_paths"] = {n: store.save_model(m, out_root, "replay", n) for n, m in res["fitted"].items()}
-        res["split"].unpersist()
+        release(res)
         summary.update(metrics_path=os.path.join(out_root, "metrics"), predictions_path=os.path.join(out_root, "predictions"))
     row = spark.createDataFrame([{"summary_json": _json(summary), "created_at": _now()}],
                                 "summary_json string, created_at string")
@@ -485,8 +501,7 @@ def benchmark_run_q(spark, sf_dir):
     req = BenchmarkRequest(models=["linear_regression", "random_forest", "gradient_boosting"], target_col="label",
                            preprocessing={"use_gc": True, "use_kmers": True, "kmer_size": 3}, test_size=0.2,
                            random_seed=42, threshold_strategy="median")
-    out = benchmark_frames(fx.seqs(spark, sf_dir), req)
-    return out["metrics"]
+    return benchmark_frames(fx.seqs(spark, sf_dir), req)["metrics"]
 
 
 @query("cross_validate_run")

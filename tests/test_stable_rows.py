@@ -134,6 +134,19 @@ def test_split_strategies(spark, tmpdir_path):
         parts(split_strategy="no_such")
 
 
+def test_no_frame_stays_in_memory(spark, tmpdir_path):
+    spark.catalog.clearCache()
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    df = spark.createDataFrame([(i, s, i % 2) for i, s in enumerate(sequences(40))], "row_id long, sequence string, label int")
+    pre = {"use_gc": True, "use_kmers": False}
+    req = jobs.BenchmarkRequest(target_col="label", preprocessing=pre, threshold_strategy="validation_mcc", validation_size=0.2)
+    jobs.run_benchmark(spark, os.path.join(tmpdir_path, "store"), req, df)
+    for strategy in ("fixed_train_validation_test", "kfold_small_dataset", "repeated_seed_holdout"):
+        jobs.evaluate(df, jobs.BenchmarkRequest(target_col="label", preprocessing=pre, split_strategy=strategy, reruns=2, cv_folds=2)).collect()
+    assert held() == before
+
+
 def test_dry_run_over_two_configs(spark, tmpdir_path):
     import hashlib
     import json
