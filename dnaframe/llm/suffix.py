@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from dnaframe.llm.common import ByteHash, batches, kept
 
-K, BUCKET, CROWD = 32, 2 << 20, 4096
+K, BUCKET, CROWD = 64, 1 << 20, 4096
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -152,6 +152,22 @@ def _bucket(length: int, keep: str):
     return run
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """row, size, text of ``rows`` with the bytes compressed: texts cross two exchanges, which they dominate."""
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            texts = _bytes(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(
+                [pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary())], names=["row", "size", "text"])
+
+    return rows.mapInArrow(run, "row long, size long, text binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    return [pa.decompress(t, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
+            for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+
+
 def _fetch(length: int, windows: bool):
     """The bytes of a document's runs, or its windows' hashes."""
     names = ["row", "start", "h1", "h2"] if windows else ["key", "row", "first", "bytes"]
@@ -159,7 +175,7 @@ def _fetch(length: int, windows: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ByteHash(3), ByteHash(4)
         for batch in rows:
-            for row, text, wanted in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist()):
+            for row, text, wanted in zip(batch.column(0).to_pylist(), _unpacked(batch), batch.column(3).to_pylist()):
                 if not windows:
                     cut = [(r["key"], row, r["first"], text[r["first"]: r["first"] + r["n"] - 1 + length]) for r in wanted]
                     cols = [pa.array(x, k) for x, k in zip(zip(*cut), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
@@ -178,7 +194,7 @@ def repeats(rows: DataFrame, length: int = 200, keep: str = "first") -> DataFram
     """row, start, end: byte stretches to remove (they may overlap) from ``rows`` (row, text; row unique)."""
     # 1. keys that occur again
     keys = rows.mapInArrow(_run_rows(length, False), "key long").groupBy("key").agg(F.count("*").alias("total"))
-    keys = keys.filter("total > 1").select("key")
+    keys = kept(keys.filter("total > 1").select("key"), "suffix-keys")
     again = rows.mapInArrow(_run_rows(length, True), "key long, content long, row long, first long, n long")
     again = kept(again.join(keys.hint("merge"), "key"), "suffix-runs")
     # 2. equal runs: the first stands for all of them
@@ -189,14 +205,14 @@ def repeats(rows: DataFrame, length: int = 200, keep: str = "first") -> DataFram
         several = several.filter((F.col("row") != F.col("rep.row")) | (F.col("first") != F.col("rep.first")))
     whole = several.select("row", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + length).alias("end"))
     # 3. different runs of a key
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = kept(kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-mixed")
     reps = kept(kinds.join(mixed.hint("merge"), "key").select("key", "rep.*", (F.col("kinds") > CROWD).alias("crowded")), "suffix-reps")
     load = reps.filter("not crowded").agg(F.sum(F.col("n") - 1 + length)).first()[0] or 0
     buckets = max(1, -(-load // BUCKET))
 
     def wanted(crowded: bool) -> DataFrame:
         some = reps.filter(F.col("crowded") == crowded).groupBy("row").agg(F.collect_list(F.struct("key", "first", "n")).alias("runs"))
-        return rows.join(some.hint("merge"), "row").select("row", "text", "runs")
+        return packed(rows).join(some.hint("merge"), "row").select("row", "size", "text", "runs")
 
     cut, kinds_of = _fetch(length, False)
     parts = wanted(False).mapInArrow(cut, kinds_of).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
@@ -217,7 +233,7 @@ def _cut(keep_text: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out = []
-            for text, spans in zip(_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            for text, spans in zip(_unpacked(batch), batch.column(3).to_pylist()):
                 joined: list[list[int]] = []
                 for s in sorted((s["start"], s["end"]) for s in spans or []):
                     if joined and s[0] <= joined[-1][1]:
@@ -252,7 +268,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "suffix-docs")
         named, rows = rows.select("row", "id"), rows.select("row", "text")
     spans = repeats(rows, length, keep).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    done = (rows.join(spans.hint("merge"), "row", "left").select("row", "text", "spans").mapInArrow(
+    done = (packed(rows).join(spans.hint("merge"), "row", "left").select("row", "size", "text", "spans").mapInArrow(
         _cut(keep_text), "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary"))
     done = done.withColumn("id", F.col("row")) if named is None else done.join(named, "row")
     return done.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest")
