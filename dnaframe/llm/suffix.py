@@ -82,7 +82,7 @@ def _run_rows(length: int, with_content: bool):
         by_key, by_run = ByteHash(1), ByteHash(2)
         for batch in rows:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _bytes(batch.column(1))
-            for a, b in batches(texts, 2 << 20):
+            for a, b in batches(texts, 1 << 20):
                 owner, first, n, key, content = runs(texts[a:b], length, by_key, by_run)
                 if not with_content:
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64())], names=["key"])
