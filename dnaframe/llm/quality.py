@@ -4,7 +4,9 @@ A document's histogram of character classes and its histogram of common words ar
 its language's references by Jensen-Shannon distance (base 2, so 0 to 1). References are counted
 over all documents with a language; a language's common words are its ``common`` most frequent
 ones, all others share one slot. A document without a known language is compared with every
-reference and judged by the nearest. Guards: a text of fewer than ``least_chars`` characters is
+reference and judged by the nearest. As all words that are not common share a slot, a text without
+any common word still comes near the reference: so the share of a document's words that are common
+must also reach ``least_common`` times that of the reference. Guards: a text of fewer than ``least_chars`` characters is
 not judged by classes, one of fewer than ``least_words`` words not by words, as short texts have
 ragged histograms.
 
@@ -140,7 +142,7 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text", common:
     return out
 
 
-def _judge(refs: dict, class_limit: float, word_limit: float, least_chars: int, least_words: int):
+def _judge(refs: dict, class_limit: float, word_limit: float, least_common: float, least_chars: int, least_words: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = ByteHash(7), class_table()
         for batch in rows:
@@ -151,7 +153,7 @@ def _judge(refs: dict, class_limit: float, word_limit: float, least_chars: int,
                 data = np.frombuffer(text, np.uint8)
                 classes = np.bincount(table[data], minlength=len(CLASSES) + 1)[: len(CLASSES)]
                 hashes = None
-                best = (1.0, 1.0) if refs else (0.0, 0.0)
+                best = (1.0, 1.0, 0.0) if refs else (0.0, 0.0, 1.0)
                 for name in [lang] if lang in refs else refs:
                     ref_classes, vocabulary, ref_words = refs[name]
                     if hashes is None:
@@ -160,11 +162,14 @@ def _judge(refs: dict, class_limit: float, word_limit: float, least_chars: int,
                     at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                     at = np.where(vocabulary[at] == hashes, at, len(vocabulary))
                     words = np.bincount(at, minlength=len(vocabulary) + 1)
-                    found = (js_distance(classes.astype(float), ref_classes), js_distance(words.astype(float), ref_words))
-                    best = min(best, found, key=sum)
+                    usual = 1 - ref_words[-1] / ref_words.sum()
+                    found = (js_distance(classes.astype(float), ref_classes), js_distance(words.astype(float), ref_words),
+                             (1 - words[-1] / max(1, words.sum())) / usual)
+                    best = min(best, found, key=lambda x: x[0] + x[1])
                 failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
-                far = (classes.sum() >= least_chars and best[0] > class_limit) or (base[0] >= least_words and best[1] > word_limit)
-                out.append((*base, failed, *best, not failed and not far))
+                far = (classes.sum() >= least_chars and best[0] > class_limit) or (
+                    base[0] >= least_words and (best[1] > word_limit or best[2] < least_common))
+                out.append((*base, failed, *best[:2], not failed and not far))
             cols = list(zip(*out)) if out else [[] for _ in range(9)]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance",
                      "word_distance", "kept"]
@@ -177,12 +182,13 @@ def _judge(refs: dict, class_limit: float, word_limit: float, least_chars: int,
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", class_limit: float = 0.2,
-          word_limit: float = 0.52, least_chars: int = 200, least_words: int = 100, **options) -> DataFrame:
+          word_limit: float = 0.52, least_common: float = 0.2, least_chars: int = 200, least_words: int = 100,
+          **options) -> DataFrame:
     """id, the base counts, both distances, base_failed and kept, a row for each row of ``docs``."""
     refs = references(docs, lang, text, **options)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(
-        _judge(refs, class_limit, word_limit, least_chars, least_words),
+        _judge(refs, class_limit, word_limit, least_common, least_chars, least_words),
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, class_distance double, word_distance double, kept boolean")
 

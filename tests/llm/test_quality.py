@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -69,3 +70,19 @@ def test_awkward_rows(awkward, empty):
             assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
             assert not (r.base_failed and r.kept)
     assert quality.quality_query(empty).collect() == []
+
+
+def test_texts_without_common_words_go(spark):
+    """Judged by the references of a real table: wrong languages and random letters go, clean texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    found = quality.quality_query(docs).filter("kept and n_words >= 200").select("doc_id")
+    clean = docs.join(found, "doc_id").orderBy("doc_id").collect()
+    english, french = ([r.text for r in clean if r.lang == x][:10] for x in ("en", "fr"))
+    # random letters of the same class: every word is strange, the class histogram is that of the text
+    rng = random.Random(1)
+    strange = [re.sub("[a-z]", lambda _: rng.choice("abcdefghijklmnopqrstuvwxyz"), t) for t in english]
+    rows = [(10**6 + i, "en", t) for i, t in enumerate(strange + french)] + [(2 * 10**6 + i, "en", t) for i, t in enumerate(english)]
+    rows += [(3 * 10**6 + i, None, t) for i, t in enumerate(french)] + [(4 * 10**6 + i, None, t) for i, t in enumerate(strange)]
+    out = quality.quality_query(docs.unionByName(spark.createDataFrame(rows, docs.schema))).filter("doc_id >= 1000000").collect()
+    wrong = [(r.doc_id, r.class_distance, r.word_distance, r.kept) for r in out if r.kept != (r.doc_id // 10**6 in (2, 3))]
+    assert len(out) == 50 and not wrong
