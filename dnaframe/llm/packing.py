@@ -11,7 +11,13 @@ depend on the table, and a source or cluster with a third of all rows is spread
 one source per bin, that source alone may need more bins than all words together would fill:
 ``by_source=False`` leaves clusters as the only conflict.
 
-Pieces of one document share its cluster. A null source conflicts with nothing, a null cluster
+A duplicate cluster is a component of near copies: texts of equal words, whatever the case and white
+space, and texts whose sets of ``SHINGLE``-word shingles have a Jaccard similarity of about 0.8 and more.
+Such pairs meet by MinHash: they share one of ``BANDS`` bands of 4 of 64 minima with probability 0.9997, and are
+linked if at least ``AGREE`` minima agree (99.8 % of pairs at 0.8, less than 1 % of those at 0.5). In a bucket
+every text is compared with a hub, those that differ from it with another one, until none is left.
+
+Pieces of one document share its cluster; in ``packed_documents``, all rows of one id do. A null source conflicts with nothing, a null cluster
 means the row is its own. Null and empty texts give one row with piece 0, no words and no bin.
 Equal rows are packed one by one. Ties: the smaller id, then the row hash. Empty tables give empty
 results; only the named columns are read.
@@ -21,11 +27,20 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnaframe.llm.common import WORD, by_content, kept, let, n_words, one_of_each, unrolled
+from dnaframe.llm.common import WORD, ByteHash, batches, by_content, kept, let, mix64, n_words, one_of_each, unrolled, word_bounds
+from dnaframe.llm.simhash import components
+
+#: Words of a shingle, bands of 4 minima, and minima that near copies must share.
+SHINGLE, BANDS, AGREE = 5, 16, 42
+ROUNDS = 8
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int]:
@@ -100,16 +115,92 @@ def measured(rows: DataFrame, source: Column, cluster: Column, text: Column) ->
 
 
 def text_cluster(text: Column) -> Column:
-    """Duplicate cluster of a text: equal words in order, whatever the case and white space; null without a word."""
+    """Name of a text's cluster of exact copies: equal words in order, whatever the case and white space; null without a word."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     return F.when(F.length(plain) > 0, F.md5(plain.cast("binary")))
 
 
+def minima(texts: list[bytes]) -> np.ndarray:
+    """texts x 4 * BANDS: the least value of the shingles' hashes under as many hash functions, cut to 32 bits."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    start, end = word_bounds(data)
+    hasher = ByteHash(11)
+    word = hasher.slices(hasher.sums(data), start, end)
+    size = np.array([len(t) + 1 for t in texts])
+    first = np.searchsorted(start, np.cumsum(size) - size)
+    n = np.diff(np.append(first, len(start)))
+    # a text of fewer words is one shingle; places beyond a text's last shingle are left out
+    nth = np.arange(len(start)) - np.repeat(first, n)
+    left = np.repeat(n, n) - nth
+    grams = np.zeros(len(start), np.uint64)
+    for j in range(SHINGLE):
+        there = np.flatnonzero(left > j)
+        grams[there] += mix64(word[there + j] + np.uint64(j))
+    grams = mix64(grams)[(left >= SHINGLE) | (nth == 0)]
+    count = np.maximum(1, n - SHINGLE + 1) * (n > 0)
+    out = np.zeros((len(texts), 4 * BANDS), np.int64)
+    some = count > 0
+    if some.any():
+        at = (np.cumsum(count) - count)[some]
+        for k in range(4 * BANDS):
+            salt = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
+            out[some, k] = np.minimum.reduceat(mix64(grams ^ salt) >> np.uint64(32), at).astype(np.int64)
+    return out
+
+
+def _minima(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        names = batch.column("cluster")
+        texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        for a, b in batches(texts, 1 << 20):
+            yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(list(minima(texts[a:b])), pa.list_(pa.int64()))],
+                                             names=["cluster", "sig"])
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """a, b: links between the clusters of ``texts`` (cluster, text) whose texts are near copies."""
+    sigs = texts.filter("cluster is not null").mapInArrow(_minima, "cluster string, sig array<long>")
+    sigs = kept(sigs.groupBy("cluster").agg(F.first("sig").alias("sig")), "pack-minima")
+    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col("sig")[4 * i + j] for j in range(4)]) for i in range(BANDS)])
+    left = sigs.select(F.explode(bands).alias("bucket"), "cluster")
+    links = None
+    for i in range(ROUNDS):
+        hubs = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(
+            F.xxhash64("bucket", "cluster").alias("h"), "cluster"))["cluster"].alias("hub")).filter("n > 1").drop("n")
+        pairs = left.join(hubs, "bucket").filter("cluster <> hub")
+        pairs = (pairs.join(sigs, "cluster").join(sigs.select(F.col("cluster").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+                 .select("bucket", "cluster", "hub", F.size(F.filter(F.arrays_zip("sig", "hub_sig"), lambda x: x["sig"] == x["hub_sig"]))
+                         .alias("same")))
+        pairs = kept(pairs, f"pack-pairs-{i}")
+        # what is still apart after the last round is linked unseen: a conflict too many, none too few
+        near = (pairs.filter(F.col("same") >= AGREE) if i < ROUNDS - 1 else pairs).select(
+            F.col("cluster").alias("a"), F.col("hub").alias("b"))
+        links = near if links is None else links.unionByName(near)
+        left = pairs.filter(F.col("same") < AGREE).select("bucket", "cluster")
+        if left.isEmpty():
+            break
+    return links.distinct()
+
+
+def clustered(sizes: DataFrame, rows: DataFrame, text: Column, by_id: bool) -> DataFrame:
+    """``sizes`` with the near-duplicate component in place of each text's own cluster; ``by_id`` joins all rows of one id."""
+    links = near_copies(rows.select(text_cluster(text).alias("cluster"), F.lower(text).alias("text")))
+    if by_id:
+        least = sizes.filter("id is not null and cluster is not null").groupBy("id").agg(
+            F.min("cluster").alias("a"), F.max("cluster").alias("z")).filter("a <> z").select(F.col("id").alias("of"), "a")
+        same = sizes.filter("cluster is not null").join(least, F.col("id") == F.col("of")).filter("cluster <> a")
+        links = links.unionByName(same.select("a", F.col("cluster").alias("b"))).distinct()
+    groups = components(links)
+    found = sizes.join(groups, sizes["cluster"] == groups["node"], "left")
+    return found.withColumn("cluster", F.coalesce("root", "cluster")).drop("node", "root")
+
+
 def packing_query(docs: DataFrame) -> DataFrame:
     """doc_id, piece, first, words, shard, bin, start for every document (a row per piece)."""
     rows = by_content(docs.select("doc_id", "source", "text"))
     sizes = measured(rows, F.col("doc.source"), text_cluster(F.col("doc.text")), F.col("doc.text"))
-    return sizes.select("row", F.col("id").alias("doc_id")).join(pack(sizes), "row").drop("row")
+    packed = pack(clustered(sizes, rows, F.col("doc.text"), by_id=False))
+    return sizes.select("row", F.col("id").alias("doc_id")).join(packed, "row").drop("row")
 
 
 def packed_documents(docs: DataFrame, capacity: int = 2048, **options) -> DataFrame:
@@ -119,7 +210,8 @@ def packed_documents(docs: DataFrame, capacity: int = 2048, **options) -> DataFr
     """
     rows = by_content(docs)
     sizes = measured(rows, F.col("doc.source"), text_cluster(F.col("doc.text")), F.col("doc.text"))
-    placed = sizes.select("row", "id", "h", "size").join(pack(sizes, capacity, **options), "row").withColumnsRenamed(
+    packed = pack(clustered(sizes, rows, F.col("doc.text"), by_id=True), capacity, **options)
+    placed = sizes.select("row", "id", "h", "size").join(packed, "row").withColumnsRenamed(
         {"id": "at_id", "h": "at_h"})
     found = one_of_each(rows).join(placed, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("h") == F.col("at_h")))
     some = let(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), lambda w: F.array_join(

@@ -54,3 +54,35 @@ def test_awkward_rows(awkward, empty):
     assert out[out.doc_id.isin([1, 2, 3])].bin.isna().all() and out[out.words > 0].bin.notna().all()
     assert (out.doc_id == 5).sum() == 2
     assert packing.packing_query(empty).collect() == [] and packing.packed_documents(empty).collect() == []
+
+
+def near(text, n, seed):
+    """``text`` with its last ``n`` words replaced."""
+    return " ".join(text.split()[:-n] + prose(n, seed).split())
+
+
+def test_near_copies_are_one_cluster(make):
+    base = [prose(300, 100 + i) for i in range(20)]
+    rows = [(i, t, "en", None) for i, t in enumerate(base)] + [(100 + i, near(t, 15, 900 + i), "en", f"s{i}") for i, t in enumerate(base)]
+    rows += [(200 + i, near(t, 250, 700 + i), "en", f"t{i}") for i, t in enumerate(base)] + [(300, "four words are here", "en", None)]
+    out = packing.packing_query(make(rows)).toPandas().set_index("doc_id")
+    place = {i: (r.shard, r.bin) for i, r in out.iterrows()}
+    assert all(place[i] != place[100 + i] for i in range(20))
+    docs = packing.by_content(make(rows))
+    sizes = packing.measured(docs, packing.F.col("doc.source"), packing.text_cluster(packing.F.col("doc.text")), packing.F.col("doc.text"))
+    found = {r.id: r.cluster for r in packing.clustered(sizes, docs, packing.F.col("doc.text"), False).collect()}
+    assert all(found[i] == found[100 + i] != found[200 + i] for i in range(20)) and len(set(found.values())) == 41
+
+
+def test_uses_of_one_id_share_no_bin(make):
+    rows = [(i % 10, prose(40, i), "en", None) for i in range(60)]
+    out = packing.packed_documents(make(rows)).toPandas()
+    assert len(out) == 60 and not out.duplicated(["shard", "bin", "doc_id"]).any()
+
+
+def test_minima_estimate_the_similarity():
+    a, b = prose(400, 1), near(prose(400, 1), 40, 2)
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b)]
+    sig = packing.minima([b"", a.encode(), b"one", b.encode(), a.encode(), b" "])
+    assert abs((sig[1] == sig[3]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.2
+    assert (sig[1] == sig[4]).all() and (sig[1] != sig[2]).any() and not sig[0].any() and not sig[5].any()
