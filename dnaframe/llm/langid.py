@@ -5,8 +5,8 @@ is that occurs in that text. Cutting a document greedily into such longest match
 phrases; a language's cost is phrases * log2(labelled bytes) / bytes of the document, an estimate
 of the cross entropy in bits per byte, and the cheapest language wins (ties: the smaller name).
 
-Labelled text is a bounded sample: whole documents in the order of a hash of their id and text,
-until ``sample`` bytes per language are reached. Documents are always parsed whole, in segments of
+Labelled text is a bounded sample: distinct documents in the order of a hash of their id and text,
+until ``sample`` bytes per language are reached; a document longer than that gives its first ``sample`` bytes. Documents are always parsed whole, in segments of
 ``SEGMENT`` bytes that run side by side; a phrase ends with its segment.
 
 The alphabet is the bytes of lower-cased text in which every run of other characters than letters
@@ -157,29 +157,36 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", lang: str = "lang", text:
     """Per language, the plain text of the sampled documents.
 
     The first documents by hash are taken until ``sample`` bytes are reached, so a language has less
-    than twice that; longer documents than ``sample`` are not learned from.
+    than twice that. Longer documents give their first ``sample`` bytes and repeats count once, so no language
+    is lost by the size of its documents or by repeats.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.octet_length(F.col(text)).alias("n"),
         F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text)), 1).alias("h"))
-    rows = rows.filter((F.col("n") > 0) & (F.col("n") <= sample))
+    rows = rows.filter(F.col("n") > 0)
     # about four times the candidates that are used pass a hash limit per language, so that what meets
-    # in the sort below does not grow with the table
-    docs = rows.groupBy("lang").agg(F.count("*").alias("docs")).limit(most_langs + 1).collect()
+    # in the sort below does not grow with the table; repeats share a hash, so the limit counts hashes,
+    # and the smallest one always passes
+    docs = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("docs"), F.min("h").alias("least"))
+    docs = docs.limit(most_langs + 1).collect()
     if len(docs) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
     if not docs:
         return {}
     limit = F.map_from_arrays(F.array(*[F.lit(r.lang) for r in docs]),
-                              F.array(*[F.lit(min(2**63 - 1, 2**63 * 4 * CANDIDATES // r.docs)) for r in docs]))
+                              F.array(*[F.lit(max(r.least, min(2**63 - 1, 2**63 * 4 * CANDIDATES // max(1, r.docs)))) for r in docs]))
+    rows = rows.filter(F.col("h") <= F.element_at(limit, F.col("lang"))).select(
+        "lang", "h", F.substring("text", 1, sample).alias("text"))
+    # repeats meet before the sort
+    rows = rows.groupBy("lang", "h").agg(F.first("text").alias("text")).withColumn("n", F.octet_length("text"))
     first = Window.partitionBy("lang").orderBy("h", "n")
-    picked = (rows.filter(F.col("h") <= F.element_at(limit, F.col("lang"))).select("lang", "h", "n", "text")
-              .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= CANDIDATES))
+    picked = (rows.select("lang", "h", "n", "text").withColumn("place", F.row_number().over(first))
+              .filter(F.col("place") <= CANDIDATES))
     before = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     picked = picked.withColumn("had", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("had") < sample)
     out: dict[str, list[bytes]] = {}
     for r in sorted(picked.select("lang", "place", "text").collect(), key=lambda r: (r.lang, r.place)):
-        out.setdefault(r.lang, []).append(plain(r.text))
+        out.setdefault(r.lang, []).append(plain(r.text)[:sample].decode("utf-8", "ignore").encode())
     return {k: v for k, v in ((k, b" ".join(x for x in v if x)) for k, v in out.items()) if v}
 
 

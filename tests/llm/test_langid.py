@@ -80,3 +80,14 @@ def test_awkward_rows(awkward, empty, make):
     assert langid.langid_query(empty).collect() == [] and langid.identified_documents(empty).collect() == []
     unlabelled = langid.langid_query(make([(1, "some text", None)])).collect()
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
+
+
+def test_no_language_is_lost_by_size_or_repeats(make):
+    long = {i: (LANGS["de"] * 1000)[:40_000] for i in range(1, 13)}
+    repeated = LANGS["fr"] * 2
+    rows = [(i, t, "de") for i, t in long.items()] + [(50, repeated, "fr")] * 30_000 + [(i, LANGS["en"] * 2, "en") for i in range(100, 130)]
+    samples = langid.learn(make(rows))
+    assert set(samples) == {"de", "en", "fr"} and all(0 < len(v) < 2 * 32_768 for v in samples.values())
+    assert samples["fr"] == langid.plain(repeated)
+    parser = langid.Parser(samples)
+    assert [p[0] for p in parser.predict([langid.plain(LANGS[k]) for k in ("de", "fr", "en")])] == ["de", "fr", "en"]
