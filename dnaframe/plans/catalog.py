@@ -418,6 +418,14 @@ def table_fingerprint_q(spark, sf_dir):
     return table_fingerprint(li.withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("A"))))
 
 
+@query("table_fingerprint_whole")
+def table_fingerprint_whole_q(spark, sf_dir):
+    """F11 at table scale over every column of lineitem; doubles and dates as Spark writes them, so without SQL."""
+    from dnaframe.functions.hashing import table_fingerprint
+
+    return table_fingerprint(fx.table(spark, sf_dir, "lineitem"))
+
+
 # ---- evaluation: A5-A13, T1-T7, J3, U1, W10 ------------------------------------------------
 
 # Errors here are on the order-price scale (mse ~ 1e9): a double sum is exact to ~1e-6 relative

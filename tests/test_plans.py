@@ -48,3 +48,16 @@ def test_all_metrics_single_aggregation(spark):
         .withColumn("classification_threshold", F.lit(0.5))
     p = plan(met.all_metrics(s, binary_target=True))
     assert p.count("HashAggregate") == 2  # partial + final, one exchange on model
+
+
+def test_whole_fingerprint_sees_every_column(spark, monkeypatch):
+    from dnaframe.plans import catalog
+
+    li = fx.table(spark, SF, "lineitem").limit(50).cache()
+    digest = lambda df: (monkeypatch.setattr(fx, "table", lambda *_: df), catalog.QUERIES["table_fingerprint_whole"](spark, SF).first())[1]
+    base = digest(li)
+    assert base == digest(li.repartition(3))
+    for c, kind in li.dtypes:
+        changed = F.date_add(c, 1) if kind == "date" else F.concat(c, F.lit("x")) if kind == "string" else F.col(c) + F.expr(
+            "interval 1 day" if kind.startswith("timestamp") else "1")
+        assert digest(li.withColumn(c, F.when(F.rand(1) >= 0, changed))) != base, c
