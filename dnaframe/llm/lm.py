@@ -6,7 +6,8 @@ the ``order`` - 1 bytes before it is smoothed with the uniform one, the target's
 background's, so both know the same n-grams. A document's losses are the mean bits per byte under
 each; ``score`` is target loss less background loss, lower for documents that look like the target.
 
-Documents are dealt to chunks of about ``CHUNK`` bytes by a hash of their id. A chunk's distinct n-grams
+Rows are numbered in a stored copy and dealt to chunks of about ``CHUNK`` bytes by a hash of the number, so
+rows without an id, or of one id, spread over all chunks. Targets are found by a join of ids and numbers, without the texts. A chunk's distinct n-grams
 with their counts are all that leaves it: summed over the chunks they are the model, which grows with
 the corpus and is never gathered in one place; joined back, every chunk receives the losses of
 its own n-grams and scores its documents. An n-gram of ``order`` <= 7 bytes is its own key, so no hash
@@ -61,7 +62,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _count(order: int):
     def run(key, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        target = docs["id"].isin(set(marks["id"])).to_numpy()
+        target = docs["row"].isin(set(marks["aim"])).to_numpy()
         texts = _texts(docs["text"])
         every = _summed([np.unique(grams(texts[a:b], order), return_counts=True) for a, b in batches(texts, SLICE)])
         chosen = [t for t, x in zip(texts, target) if x]
@@ -118,10 +119,13 @@ def cross_entropy_difference(docs: DataFrame, marks: DataFrame, id_col: str = "d
         raise ValueError("order is 2 to 7")
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     chunks = max(1, -(-size // chunk))
-    of = lambda c: F.pmod(F.xxhash64(F.lit("chunk"), F.col(c)), F.lit(chunks))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), of(id_col).alias("chunk"))
-    aims = marks.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("chunk", of("id"))
-    counted = kept(rows.groupBy("chunk").cogroup(aims.groupBy("chunk")).applyInPandas(
+    rows = kept(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"),
+                            F.monotonically_increasing_id().alias("row")), "lm-rows")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "row"), F.lit(chunks)))
+    wanted = marks.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
+    aims = rows.select("id", "row", "chunk").filter("id is not null").join(wanted, "id", "left_semi").select(
+        F.col("row").alias("aim"), F.col("chunk").alias("part"))
+    counted = kept(rows.groupBy("chunk").cogroup(aims.groupBy("part")).applyInPandas(
         _count(order), "chunk long, gram long, n long, t long"), "lm-counts")
     losses = counted.select("chunk", "gram").join(model(counted, prior, trust), "gram")
     kind = rows.schema["id"].dataType.simpleString()

@@ -61,3 +61,13 @@ def test_query_prefers_labelled_quality(spark, make):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     scores = {r.doc_id: r.score for r in lm.lm_query(docs, labels).collect()}
     assert max(scores[i] for i in range(21, 30, 2)) < min(scores[i] for i in range(20, 30, 2))
+
+
+def test_rows_without_id_or_of_one_id_spread_over_chunks(spark, make, monkeypatch):
+    stored, keep = {}, lm.kept
+    monkeypatch.setattr(lm, "kept", lambda df, name: stored.setdefault(name, keep(df, name)))
+    docs = make([(None if i % 2 else 7, prose(50, i % 40)) for i in range(200)])
+    out = lm.cross_entropy_difference(docs, spark.createDataFrame([(7,)], "doc_id long"), chunk=4000).collect()
+    sums = [r["sum(n)"] for r in stored["lm-counts"].groupBy("chunk").sum("n").collect()]
+    assert len(out) == 200 and len(sums) > 5 and max(sums) < sum(sums) / 4
+    assert stored["lm-counts"].agg({"t": "sum"}).first()[0] == sum(r.n_tokens for r in out if r.doc_id == 7)
