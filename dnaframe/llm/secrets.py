@@ -7,6 +7,10 @@ against the limit of the candidate's character class, and the stretch from the f
 last hot window becomes an ``entropy`` span. Allow-listed candidates and those inside a base
 span add nothing.
 
+Redaction looks closer (``closely``): there a window is hot too if its own characters' class and limit say
+so, it holds no placeholder, and not all segments (between - _ / +) that it touches are plain: word-like
+letters, digits, alphabets in order, UUIDs. Random letters of one case can't be told from words.
+
 Spans count code points, end exclusive. Null and empty texts have no spans. Rows are scanned on
 their own: repeated rows give repeated results, and an empty table an empty one. Only the text
 column is read; other columns pass through, so the added column is the caller's to name.
@@ -42,6 +46,11 @@ ALLOW = [r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Za-z]+([-_/+][A-Za-z]+)+$",
          r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
          r"(?i)(0123456789|abcdefghij|qwertyuiop)", r"(?i)(example|sample|placeholder|changeme|redacted|x{8,}|your[-_])"]
 
+#: Looking closely: what makes a segment plain, what a window must not hold, and what is plain as a whole.
+PLAIN = [r"^([A-Z]?[a-z]+([A-Z][a-z]{2,})*|[A-Z]+)$", r"^[0-9]+$", ALLOW[4]]
+PLACEHOLDER = ALLOW[5]
+UUID = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])"
+
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
@@ -83,15 +92,34 @@ def _span(start: Column, end: Column, kind: str) -> Column:
                     F.lit(kind).alias("kind"))
 
 
-def _hot(match: Column, limit: Column, window: int) -> Column:
+def _plain(match: Column) -> Column:
+    """``match`` with the characters of its plain segments and all separators replaced by dots, the others by x."""
+    parts = F.split(F.regexp_replace(match, UUID, "-" * 36), r"(?<=[-_/+])|(?=[-_/+])")
+
+    def mark(p: Column) -> Column:
+        plain = p.rlike(r"^[-_/+]$")
+        for pattern in PLAIN:
+            plain = plain | p.rlike(pattern)
+        return F.repeat(F.when(plain, ".").otherwise("x"), F.length(p))
+
+    return F.array_join(F.transform(parts, mark), "")
+
+
+def _hot(match: Column, limit: Column, window: int, close=None) -> Column:
     """struct(first, last): starts of the first and last window of at least ``limit`` bits, null if none.
 
+    ``close(start, bits)``: whether the window there is hot whatever the limit.
+
     The state holds one count per character and the sum of n log n over them; a step adds the
     entering character and takes the leaving one away.
     """
     weight = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
     code = lambda c: F.instr(F.lit(ALPHABET), c)
 
+    def is_hot(i: Column, bits: Column) -> Column:
+        hot = F.coalesce(bits >= limit, F.lit(False))
+        return (i >= window) & (hot if close is None else hot | close(i - window, bits))
+
     def step(s: Column, i: Column) -> Column:
         entering = code(F.substring(match, i, F.lit(1)))
         leaving = F.when(i > window, code(F.substring(match, i - window, F.lit(1)))).otherwise(F.lit(0))
@@ -100,7 +128,7 @@ def _hot(match: Column, limit: Column, window: int) -> Column:
                 s["sum"] + F.when(m["y"] > 0, F.element_at(weight, F.element_at(left, F.greatest(m["y"], F.lit(1))) + 1)
                                   - F.element_at(weight, F.element_at(left, F.greatest(m["y"], F.lit(1))) + 2)).otherwise(0.0)
                 + F.element_at(weight, F.element_at(left, m["x"]) + 2) - F.element_at(weight, F.element_at(left, m["x"]) + 1),
-                lambda total: let((i >= window) & (F.lit(math.log2(window)) - total / window >= limit), lambda hot: F.struct(
+                lambda total: let(is_hot(i, F.lit(math.log2(window)) - total / window), lambda hot: F.struct(
                     F.transform(left, lambda v, k: v + F.when(k + 1 == m["x"], 1).otherwise(0)).alias("n"),
                     total.alias("sum"),
                     F.when(hot, F.coalesce(s["first"], i - window)).otherwise(s["first"]).alias("first"),
@@ -113,11 +141,12 @@ def _hot(match: Column, limit: Column, window: int) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans", window: int = WINDOW,
-                 classes: list[tuple[str, str, float]] | None = None, allow: list[str] | None = None) -> DataFrame:
+                 classes: list[tuple[str, str, float]] | None = None, allow: list[str] | None = None,
+                 closely: bool = False) -> DataFrame:
     """``docs`` with ``out``: array<struct<start, rank, end, kind>>, sorted by start, then kind as in ``KINDS``.
 
     ``classes``: (name, pattern, least entropy in bits), the first pattern that fits a candidate
-    decides. ``allow``: patterns of candidates to leave alone.
+    decides. ``allow``: patterns of candidates to leave alone. ``closely``: windows are judged on their own as well.
     """
     classes, allow = classes or CLASSES, ALLOW if allow is None else allow
     assign = F.transform(
@@ -134,14 +163,34 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans",
         return case.otherwise(F.lit(None).cast("double"))
 
     def added(base: Column) -> Column:
-        def fresh(x: Column) -> Column:
-            keep = ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
+        def outside(x: Column) -> Column:
+            return ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
+
+        def fresh(match: Column) -> Column:
+            keep = F.lit(True)
             for pattern in allow:
-                keep = keep & ~x["match"].rlike(pattern)
+                keep = keep & ~match.rlike(pattern)
             return keep
 
-        hot = F.transform(F.filter(_located(F.col(text), CANDIDATE), fresh), lambda x: F.struct(
-            x["start"].alias("start"), _hot(x["match"], limit(x["match"]), window).alias("hot")))
+        def measured(match: Column) -> Column:
+            if not closely:
+                return _hot(match, limit(match), window)
+
+            def close(plain: Column):
+                def judged(w: Column, start: Column, bits: Column) -> Column:
+                    return (F.coalesce(bits >= limit(w), F.lit(False)) & ~w.rlike(PLACEHOLDER)
+                            & F.substring(plain, start + 1, F.lit(window)).contains("x"))
+
+                return lambda start, bits: F.when(bits >= min(c[2] for c in classes), let(
+                    F.substring(match, start + 1, F.lit(window)), lambda w: judged(w, start, bits))).otherwise(False)
+
+            # no limit for a run that the allow-list names: only its windows count
+            return let(F.struct(_plain(match).alias("plain"), F.when(fresh(match), limit(match)).alias("limit")),
+                       lambda m: _hot(match, m["limit"], window, close(m["plain"])))
+
+        keep = outside if closely else lambda x: outside(x) & fresh(x["match"])
+        hot = F.transform(F.filter(_located(F.col(text), CANDIDATE), keep), lambda x: F.struct(
+            x["start"].alias("start"), measured(x["match"]).alias("hot")))
         return F.transform(F.filter(hot, lambda x: x["hot"]["first"].isNotNull()), lambda x: _span(
             x["start"] + x["hot"]["first"], x["start"] + x["hot"]["last"] + window, "entropy"))
 
@@ -152,7 +201,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans",
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` in the same columns, its texts without their secrets and ``n_chars``, if there, counted anew."""
-    found = find_secrets(docs.select(F.struct("*").alias("doc"), "text"), out="spans")
+    found = find_secrets(docs.select(F.struct("*").alias("doc"), "text"), out="spans", closely=True)
     doc = F.col("doc").withField("text", redact("text", "spans"))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.when(F.size("spans") > 0, F.length(redact("text", "spans")))

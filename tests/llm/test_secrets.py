@@ -80,3 +80,17 @@ def test_awkward_rows(awkward, empty):
     assert out.schema.fieldNames() == awkward.columns and out.count() == awkward.count()
     assert len(secrets.secrets_query(awkward).collect()) == awkward.count()
     assert secrets.secrets_query(empty).collect() == [] and secrets.redacted(empty).collect() == []
+
+
+def test_redaction_looks_at_each_window(make):
+    rng = random.Random(8)
+    both = string.ascii_letters
+    secret = [rnd(rng, n, "0123456789ABCDEF") for n in (24, 32, 40)] + [rnd(rng, n, both + string.digits) for n in (24, 30, 40)] + [rnd(rng, 40, both)]
+    texts = [f"a key_{x} b" for x in secret] + [f"a io/example/{x} b" for x in secret] + [f"a {x} b" for x in secret[3:]]
+    # no secrets: words, a UUID, an alphabet, a name of words
+    calm = ["see docs/getting-started/installation_guide now", "id/550e8400-e29b-41d4-a716-446655440000/x", "abcdefghijklmnopqrstuvwxyz0123456789",
+            "readTheWholeFileFromTheDisk", "MAX_BUFFER_SIZE_IN_BYTES_FOR_ALL", "12345678901234567890123"]
+    out = {r.doc_id: r.text for r in secrets.redacted(make(list(enumerate(texts + calm)))).collect()}
+    hidden = secret * 2 + secret[3:]
+    assert not [t for i, t in enumerate(texts) if hidden[i][:12] in out[i] or hidden[i][-12:] in out[i]]
+    assert [out[len(texts) + i] for i in range(len(calm))] == calm
