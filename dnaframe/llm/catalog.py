@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import langid, lm, mixing, packing, quality, secrets, sharding, simhash, suffix, topk
+from dnaframe.llm import langid, lm, mixing, packing, pstable, quality, secrets, sharding, simhash, suffix, topk
 
 
 def _on(table: str, query) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_difference": _lm,
         "op9_suffix_dedup": _on("documents", suffix.suffix_query),
         "op10_balanced_sharding": _on("documents", sharding.sharding_query),
+        "op11_vector_dedup": _on("embeddings", pstable.pstable_query),
     }
 
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_secret_scan": secrets.ORACLE_SQL,
         "op7_top_inner_products": topk.ORACLE_SQL,
+        "op11_vector_dedup": pstable.ORACLE_SQL,
     }
