@@ -5,7 +5,7 @@ packing   (3) conflict-constrained best fit    secrets  (4) sliding-window entro
 langid    (5) cross-parsing entropy            mixing   (6) multinomial block mixing
 topk      (7) exact inner-product search       lm       (8) cross-entropy difference
 suffix    (9) longest-previous-factor dedup    sharding (10) balanced label propagation
-pstable  (11) p-stable near-dedup of vectors
+pstable  (11) p-stable near-dedup of vectors   clusters (13) equal-average equal-variance clustering
 
 Nothing else in the library imports this subpackage.
 """
