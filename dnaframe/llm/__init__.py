@@ -6,6 +6,7 @@ langid    (5) cross-parsing entropy            mixing   (6) multinomial block mi
 topk      (7) exact inner-product search       lm       (8) cross-entropy difference
 suffix    (9) longest-previous-factor dedup    sharding (10) balanced label propagation
 pstable  (11) p-stable near-dedup of vectors   clusters (13) equal-average equal-variance clustering
+prefixtrie (12) conversation trie by van Emde Boas recursion
 
 Nothing else in the library imports this subpackage.
 """

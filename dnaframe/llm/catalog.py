@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnaframe.llm import clusters, langid, lm, mixing, packing, pstable, quality, secrets, sharding, simhash, suffix, topk
+from dnaframe.llm import clusters, langid, lm, mixing, packing, prefixtrie, pstable, quality, secrets, sharding, simhash, suffix, topk
 
 
 def _on(table: str, query) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": _on("documents", suffix.suffix_query),
         "op10_balanced_sharding": _on("documents", sharding.sharding_query),
         "op11_vector_dedup": _on("embeddings", pstable.pstable_query),
+        "op12_conversation_trie": _on("conversations", prefixtrie.trie_query),
         "op13_centroid_clusters": _on("embeddings", clusters.clusters_query),
     }
 
@@ -39,5 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scan": secrets.ORACLE_SQL,
         "op7_top_inner_products": topk.ORACLE_SQL,
         "op11_vector_dedup": pstable.ORACLE_SQL,
+        "op12_conversation_trie": prefixtrie.ORACLE_SQL,
         "op13_centroid_clusters": clusters.ORACLE_SQL,
     }
