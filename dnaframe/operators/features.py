@@ -100,6 +100,79 @@ def kmer_long(df: DataFrame, k: int, seq_col: str = "sequence", id_cols=("row_id
                     (F.col("n") / F.col("_den")).alias("freq"))
 
 
+def segments(df: DataFrame, size: int, halo: int, seq_col: str = "sequence", id_cols=("row_id",), normalized: bool = False) -> DataFrame:
+    """``(id..., segment, length, sequence)``: long sequences cut every ``size`` bases, with the next ``halo`` bases behind.
+
+    ``length`` counts a segment's own bases, the halo left out. With ``halo = k - 1`` every k-mer window lies
+    whole in exactly one segment, so counts of segments add up to those of the sequence. An empty sequence has
+    one empty segment. The pieces of ``sources.fasta.read_fasta_pieces`` have the same form.
+    """
+    if not 0 <= halo <= size:
+        raise ValueError("halo is 0 at least and size at most")
+    s = F.col(seq_col) if normalized else normalize(seq_col)
+    base = df.select(*id_cols, s.alias("_s")).withColumn("_n", F.length("_s"))
+    x = base.withColumn("segment", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / size).cast("int")))))
+    at = F.col("segment") * size
+    return x.select(*id_cols, "segment", F.least(F.lit(size), F.col("_n") - at).alias("length"),
+                    F.substring("_s", at + 1, F.lit(size + halo)).alias("sequence"))
+
+
+def segment_kmers(parts: DataFrame, k: int, id_cols=("row_id",)) -> DataFrame:
+    """F4 + F5 + F6 long table of sequences given as segments with a halo of ``k - 1`` bases.
+
+    Each segment's k-mers are counted in its row; one exchange adds the counts of a sequence up (partial
+    sums first: at most 4^k rows per sequence and task), another its length, one number per sequence.
+    """
+    ids = list(id_cols)
+    w = parts.select(*ids, sorted_windows("sequence", k).alias("_w"))
+    counts = w.select(*ids, F.inline_outer(runs_of_sorted("_w"))).filter(F.col("kmer").isNotNull())
+    counts = counts.groupBy(*ids, "kmer").agg(F.sum("n").alias("n"))
+    sizes = parts.groupBy(*ids).agg(F.greatest(F.sum("length").cast("bigint") - k + 1, F.lit(1).cast("bigint")).alias("_den"))
+    x = counts.join(sizes, ids)
+    return x.select(*ids, "kmer", kmer_slot("kmer").alias("slot"), "n", (F.col("n") / F.col("_den")).alias("freq"))
+
+
+def kmer_long_any(df: DataFrame, k: int, seq_col: str = "sequence", id_cols=("row_id",), normalized: bool = False,
+                  size: int = 1 << 20) -> DataFrame:
+    """``kmer_long`` with no limit of length: sequences above ``size`` bases are counted by segments.
+
+    The others stay in their row, without an exchange. ``id_cols`` name a row.
+    """
+    s = F.col(seq_col) if normalized else normalize(seq_col)
+    base = df.select(*id_cols, s.alias("_s"))
+    short = kmer_long(base.filter(F.length("_s") <= size), k, "_s", id_cols, normalized=True)
+    long = segments(base.filter(F.length("_s") > size), size, k - 1, "_s", id_cols, normalized=True)
+    return short.unionByName(segment_kmers(long, k, id_cols))
+
+
+def segment_profile(parts: DataFrame, id_cols=("row_id",)) -> DataFrame:
+    """F3 of sequences given as segments: ``(id..., length, gc_content)``; halos are left out."""
+    own = F.substring(F.col("sequence"), F.lit(1), F.col("length").cast("int"))
+    gc = F.col("length") - F.length(F.translate(own, "GC", ""))
+    x = parts.groupBy(*id_cols).agg(F.sum("length").cast("bigint").alias("length"), F.sum(gc).alias("_gc"))
+    return x.select(*id_cols, "length", F.coalesce(F.col("_gc") / F.nullif(F.col("length"), F.lit(0)), F.lit(0.0)).alias("gc_content"))
+
+
+def segment_vectors(parts: DataFrame, k: int, id_cols=("row_id",), normalize_counts: bool = True, out: str = "kmer_vec") -> DataFrame:
+    """F7 of sequences given as segments with a halo of ``k - 1`` bases: the segments' sparse vectors added up.
+
+    A vector of 4^k slots per sequence and task is all that is exchanged. A sequence without a k-mer gets a
+    zero vector.
+    """
+    from pyspark.ml.feature import Interaction
+    from pyspark.ml.stat import Summarizer
+
+    ids = list(id_cols)
+    x = kmer_vector(parts.select(*ids, "length", "sequence"), k, "sequence", normalize_counts=False, out="_counts")
+    slots = x.schema["_counts"].metadata  # sums carry none of their own
+    x = x.groupBy(*ids).agg(Summarizer.sum(F.col("_counts")).alias(out),
+                            F.greatest(F.sum("length") - k + 1, F.lit(1)).cast("double").alias("_den"))
+    if not normalize_counts:
+        return x.drop("_den")
+    x = x.select(*ids, (F.lit(1.0) / F.col("_den")).alias("_scale"), F.col(out).alias("_sum", metadata=slots))
+    return Interaction(inputCols=["_scale", "_sum"], outputCol=out).transform(x).drop("_scale", "_sum")
+
+
 def kmer_row_totals(df: DataFrame, k: int, seq_col: str = "sequence", id_cols=("row_id",), normalized: bool = False) -> DataFrame:
     """Per-row window accounting: (id..., length, windows, acgt_windows, distinct_kmers). Every row kept (M5)."""
     s = F.col(seq_col) if normalized else normalize(seq_col)

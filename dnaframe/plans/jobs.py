@@ -58,7 +58,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     if low in (".csv", ".tsv", ".txt"):
         return tabular.read_delimited(spark, path, sep=tabular.separator_for(low))
     if low in (".fa", ".fasta"):
-        return tabular.numbered(fasta.read_fasta(spark, path), "file", "record")
+        return fasta.read_fasta_split(spark, path)
     if low in (".xml", ".rdf", ".sbol"):
         return tabular.numbered(sbol.read_sbol(spark, path), "id")
     raise ValueError(f"no reader for {low or 'files without a suffix'}: {path}")

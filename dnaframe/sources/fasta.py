@@ -5,15 +5,16 @@ line, stripped; a blank id becomes ``sequence_<n>`` (n = 1-based record number i
 text before the first header is dropped; body lines are stripped and joined; a file without a
 header yields no record.
 
-Two readers:
-* ``read_fasta`` reads each file whole (many small or medium files; one task per file).
-* ``read_fasta_split`` reads one huge file in parallel splits with ``lineSep = '\\n>'`` so
-  each line of the reader is one record; record numbers come from per-partition counts.
+Three readers:
+* ``read_fasta`` reads each file whole (many small files; one task per file).
+* ``read_fasta_split`` reads files of any size in parallel byte blocks with ``lineSep = '\\n>'``, a
+  row per record; record numbers come from per-block counts. Ingest takes this one.
+* ``read_fasta_pieces`` cuts records of any length into pieces of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dnaframe.functions.sequence import STRIP_CHARS, normalize
@@ -45,45 +46,103 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_fasta(raw: DataFrame) -> DataFrame:
     """The records of whole FASTA texts ``(file, value)``."""
-    parts = raw.select("file", F.posexplode_outer(F.split("value", _HEADER_SPLIT)).alias("record", "rec"))
+    text = F.regexp_replace("value", r"\A\x{FEFF}", "")  # a byte order mark is not read
+    parts = raw.select("file", F.posexplode_outer(F.split(text, _HEADER_SPLIT)).alias("record", "rec"))
     recs = parts.filter(F.col("record") > 0)
     return recs.select("file", "record", *_record_columns(F.col("rec"), F.col("record")))
 
 
 def read_fasta_split(spark: SparkSession, path: str) -> DataFrame:
-    """One huge FASTA file read in parallel splits; ``(file, record, id, sequence)``.
-
-    Lines of the reader are records separated by ``\n>``. The file's first chunk holds any
-    preamble and, if the file starts with ``>``, the first record. Record numbers come from
-    per-partition chunk counts (one small row per partition) turned into offsets, so no global
-    sort or single task is needed. The chunk table is checkpointed first so its ids are stable
-    under retries. For one file per call; use ``read_fasta`` for folders of files. A file with an
-    indented header (blanks before ``>``, not a ``\n>`` boundary) is detected by one filter pass
-    and read whole with ``read_fasta`` instead, so numbering stays exact.
+    """Files of any size, each in many tasks: ``(file, record, id, sequence, row_id)``, nothing shuffled but places.
+
+    The scan cuts files into byte blocks and gives one row per text between two ``\n>``. Headers that
+    such a cut does not see (indented ones, other line breaks) are split inside the row. A record's
+    number is its place in the block plus the records of all blocks before, from a table of one row per
+    block that is joined; ``row_id`` counts on over all files by name. Every row is one record; for records
+    too long for a row see ``read_fasta_pieces``.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    inner = f"{_LB}{_INLINE_WS}*>"
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                      F.col("_metadata.file_size").alias("_bytes"), F.monotonically_increasing_id().alias("_at"), "value",
+                      (F.size(F.split("value", inner)) - 1).alias("_more"))
+    # the first text of a file is a record only if it begins with a header
+    leads = F.col("value").rlike(f"\\A{_INLINE_WS}*>")
+    blocks = rows.groupBy("file", "block").agg(
+        F.min("_at").alias("_first"), F.min_by(leads, "_at").alias("_leads"), F.count(F.lit(1)).alias("_n"),
+        F.sum("_more").alias("_mores"), F.sum(F.octet_length("value") + 2).alias("_read"), F.max("_bytes").alias("_bytes"))
+    here = F.col("_n") + F.col("_mores") - F.when((F.col("block") == 0) & ~F.col("_leads"), 1).otherwise(0)
+    # a file that ends right behind a cut holds one more, empty record (a byte order mark is not read)
+    whole = Window.partitionBy("file")
+    ends = F.sum("_read").over(whole).isin(F.col("_bytes"), F.col("_bytes") - 3) & (F.max("block").over(whole) == F.col("block"))
+    blocks = blocks.select("*", here.alias("_here"), ends.cast("int").alias("_empty"))
+    files = blocks.groupBy("file").agg(F.sum(F.col("_here") + F.col("_empty")).alias("_records"))
+    files = files.select("file", F.coalesce(F.sum("_records").over(
+        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    before = F.coalesce(F.sum("_here").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = blocks.withColumn("_before", before).join(files, "file").select(
+        "file", "block", "_first", "_leads", "_before", "_base", "_here", "_empty", "_mores")
+    x = rows.join(places.drop("_here", "_empty"), ["file", "block"])
+    # only where a block holds headers that the cuts miss, its rows are counted one by one
+    in_block = Window.partitionBy("file", "block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    plain = x.filter("_mores = 0").withColumn("_in", F.lit(0).cast("bigint"))
+    mixed = x.filter("_mores > 0").withColumn("_in", F.coalesce(F.sum("_more").over(in_block), F.lit(0)))
+    x = plain.unionByName(mixed)
+    opens = (F.col("block") == 0) & (F.col("_at") == F.col("_first"))
+    text = F.when(opens & F.col("_leads"), F.regexp_replace("value", f"\\A{_INLINE_WS}*>", "")).otherwise(F.col("value"))
+    lost = (F.col("block") == 0) & ~F.col("_leads")  # what precedes the first header is no record
+    number = F.col("_before") + F.col("_at") - F.col("_first") + F.col("_in") - lost.cast("int")
+    x = x.select("file", "_base", number.alias("_number"), (opens & lost).alias("_skip"), F.posexplode(F.split(text, inner)).alias("_pos", "rec"))
+    x = x.filter(~(F.col("_skip") & (F.col("_pos") == 0))).select("file", "_base", (F.col("_number") + F.col("_pos") + 1).alias("record"), "rec")
+    last = places.filter("_empty = 1").select("file", "_base", (F.col("_before") + F.col("_here") + 1).alias("record"), F.lit("").alias("rec"))
+    x = x.unionByName(last)
+    return x.select("file", "record", *_record_columns(F.col("rec"), F.col("record")), (F.col("_base") + F.col("record") - 1).alias("row_id"))
+
+
+def read_fasta_pieces(spark: SparkSession, path: str, size: int = 1 << 20, halo: int = 0) -> DataFrame:
+    """Records of any length in pieces: ``(file, record, id, piece, start, length, sequence)``.
+
+    Piece p holds the record's bases from p * ``size`` on, ``size`` at most (``length``), and then the first
+    ``halo`` bases of the next piece, so that every window of ``halo`` + 1 bases lies whole in the piece it
+    begins in. No row is longer than a line or a piece. A line's place in its record comes from running
+    totals: in its block of the file by a window, and over blocks by a table of one row per block.
+    A record without bases has one empty piece.
     """
-    from dnaframe.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    raw = spark.read.option("lineSep", "\n>").text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value",
-        F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).checkpoint(eager=True)
-    # a header indented by blanks is not a chunk boundary here; such a file is read whole instead
-    if raw.filter(F.col("value").rlike(f"{_LB}{_INLINE_WS}+>")).limit(1).count() > 0:
-        return read_fasta(spark, path)
-    counts = {r["_p"]: r["n"] for r in raw.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = {}, 0
-    for p in sorted(counts):
-        offsets[p] = acc
-        acc += counts[p]
-    off = F.lit(0).cast("bigint")
-    for p, o in offsets.items():
-        off = F.when(F.col("_p") == p, F.lit(o).cast("bigint")).otherwise(off)
-    index = off + (F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))
-    first = index == 0
-    first_is_record = raw.filter(F.col("_m") == 0).filter(F.col("value").rlike(f"\\A{_INLINE_WS}*>")).count() > 0
-    # the first chunk keeps only what follows its leading '>' (or is dropped as preamble)
-    value = F.when(first, F.regexp_extract("value", f"\\A{_INLINE_WS}*>([\\s\\S]*)$", 1)).otherwise(F.col("value"))
-    keep = F.when(first, F.lit(first_is_record)).otherwise(F.lit(True))
-    number = (index + F.lit(1 if first_is_record else 0)).cast("bigint")
-    x = raw.select("file", value.alias("rec"), number.alias("record"), keep.alias("_keep")).filter("_keep")
-    return x.select("file", "record", *_record_columns(F.col("rec"), F.col("record")))
+    if not 0 <= halo <= size:
+        raise ValueError("halo is 0 at least and size at most")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                       F.monotonically_increasing_id().alias("at"), "value")
+    parts = F.when(F.col("value").rlike(_LB), F.split("value", _LB)).otherwise(F.array("value"))
+    line = F.btrim("line", F.lit(STRIP_CHARS))
+    x = raw.select("file", "block", "at", F.posexplode(parts).alias("sub", "line")).withColumn("line", line)
+    x = x.withColumn("head", F.col("line").startswith(">"))
+    x = x.select("file", "block", "at", "sub", "head", F.when(F.col("head"), F.btrim(F.substring("line", 2, 2**31 - 1), F.lit(STRIP_CHARS))).alias("id"),
+                 F.when(F.col("head"), F.lit("")).otherwise(normalize("line")).alias("bases"))
+    x = x.withColumn("n", F.length("bases").cast("bigint"))
+    run = Window.partitionBy("file", "block").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("sum", F.sum("n").over(run)).withColumn("record", F.sum(F.col("head").cast("bigint")).over(run)).withColumn(
+        "from", F.max(F.when(F.col("head"), F.col("sum"))).over(run))
+    blocks = x.groupBy("file", "block").agg(F.sum("n").alias("all"), F.sum(F.col("head").cast("bigint")).alias("heads"), F.max("from").alias("last"))
+    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("all").over(past), F.lit(0))).withColumn(
+        "heads", F.coalesce(F.sum("heads").over(past), F.lit(0))).withColumn("open", F.max(F.col("base") + F.col("last")).over(past))
+    x = x.join(blocks.select("file", "block", "base", "heads", "open"), ["file", "block"])
+    x = x.withColumn("record", F.col("record") + F.col("heads")).filter("record > 0")
+    x = x.withColumn("start", F.col("base") + F.col("sum") - F.col("n") - F.coalesce(F.col("base") + F.col("from"), "open"))
+    # a line that crosses the end of a piece is cut there
+    last = F.greatest(F.col("start"), F.col("start") + F.col("n") - 1)
+    x = x.withColumn("piece", F.explode(F.sequence((F.col("start") / size).cast("bigint"), (last / size).cast("bigint"))))
+    low = F.greatest(F.col("start"), F.col("piece") * size)
+    high = F.least(F.col("start") + F.col("n"), (F.col("piece") + 1) * size)
+    cut = F.substring("bases", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    x = x.select("file", "record", "piece", "id", low.alias("low"), cut.alias("cut"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("cut") != "", F.struct("low", "cut")))), lambda c: c["cut"]), "")
+    pieces = x.groupBy("file", "record", "piece").agg(joined.alias("sequence"), F.max("id").alias("id"))
+    # the header stands in a record's first piece; the others get its id by a join of one row per record
+    blank = F.concat(F.lit("sequence_"), F.col("record").cast("string"))
+    names = pieces.filter("id is not null").select("file", "record", F.when(F.col("id") == "", blank).otherwise(F.col("id")).alias("id"))
+    out = pieces.drop("id").filter("piece = 0 or sequence <> ''").join(names, ["file", "record"]).withColumn("length", F.length("sequence"))
+    if halo:
+        following = out.filter("piece > 0").select("file", "record", (F.col("piece") - 1).alias("piece"), F.substring("sequence", 1, halo).alias("next"))
+        out = out.join(following, ["file", "record", "piece"], "left").withColumn("sequence", F.concat("sequence", F.coalesce("next", F.lit(""))))
+    return out.select("file", "record", "id", "piece", (F.col("piece") * size).alias("start"), "length", "sequence")
