@@ -120,13 +120,13 @@ def segments(df: DataFrame, size: int, halo: int, seq_col: str = "sequence", id_
 def segment_kmers(parts: DataFrame, k: int, id_cols=("row_id",)) -> DataFrame:
     """F4 + F5 + F6 long table of sequences given as segments with a halo of ``k - 1`` bases.
 
-    Each segment's k-mers are counted in its row; one exchange adds the counts of a sequence up (partial
-    sums first: at most 4^k rows per sequence and task), another its length, one number per sequence.
+    One exchange adds the counts of a sequence up (partial counts first: at most 4^k rows per sequence and
+    task), another its length, one number per sequence.
     """
     ids = list(id_cols)
-    w = parts.select(*ids, sorted_windows("sequence", k).alias("_w"))
-    counts = w.select(*ids, F.inline_outer(runs_of_sorted("_w"))).filter(F.col("kmer").isNotNull())
-    counts = counts.groupBy(*ids, "kmer").agg(F.sum("n").alias("n"))
+    w = parts.select(*ids, kmer_windows("sequence", k).alias("_w"))
+    counts = w.select(*ids, F.explode_outer("_w").alias("kmer")).filter(F.col("kmer").isNotNull())
+    counts = counts.groupBy(*ids, "kmer").agg(F.count(F.lit(1)).alias("n"))
     sizes = parts.groupBy(*ids).agg(F.greatest(F.sum("length").cast("bigint") - k + 1, F.lit(1).cast("bigint")).alias("_den"))
     x = counts.join(sizes, ids)
     return x.select(*ids, "kmer", kmer_slot("kmer").alias("slot"), "n", (F.col("n") / F.col("_den")).alias("freq"))

@@ -32,7 +32,7 @@ def make_estimator(name: str, seed: int, features: str = "features", label: str
         params = dict(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed)
         params.update(overrides)
         return GBTRegressor(featuresCol=features, labelCol=label, predictionCol="prediction", **params)
-    raise ValueError(f"Unsupported model: {name}")
+    raise ValueError(f"no estimator for {name!r}; known are {list(MODEL_NAMES)}")
 
 
 def fit_and_predict(train: DataFrame, test: DataFrame, models: list[str], seed: int,

@@ -6,9 +6,11 @@ a column on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BinaryType, StringType
 
 from dnaframe.functions.sequence import to_numeric
 
@@ -120,6 +122,8 @@ def preview(df: DataFrame, n: int, order_by: str = "row_id", round_cols=(), digi
 def cap_rows(df: DataFrame, max_rows: int, order_by: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """L1: the first ``max_rows`` rows by a unique ``order_by`` key; ``max_rows <= 0`` keeps all.
 
+    Rows without a key have no place of their own: they come after all others, in the order of their content.
+
     The cut key is the exact ``max_rows``-th smallest id (scale-safe order statistic), so the
     capped table is a pushed-down filter rather than a single-task top-n of unbounded size.
     Returns ``(rows, flag)`` where ``flag`` is a one-row ``(row_cap_applied)`` DataFrame.
@@ -129,34 +133,54 @@ def cap_rows(df: DataFrame, max_rows: int, order_by: str = "row_id") -> tuple[Da
     flag = df.agg((F.count(F.lit(1)) > F.lit(max_rows if max_rows > 0 else 2**62)).alias("row_cap_applied"))
     if max_rows <= 0:
         return df, flag
-    if not isinstance(df.schema[order_by].dataType, NumericType):
-        return _first_by_range(df, order_by, max_rows), flag
-    n = df.agg(F.count(order_by)).first()[0]
-    if n <= max_rows:
+    kind, key = df.schema[order_by].dataType, F.col(order_by)
+    n, nulls = df.agg(F.count(key), F.count_if(key.isNull())).first()
+    if n + nulls <= max_rows:
         return df, flag
+    if n <= max_rows:
+        return df.filter(key.isNotNull()).unionByName(_first_by_content(df.filter(key.isNull()), max_rows - n)), flag
+    if isinstance(kind, (StringType, BinaryType)):
+        word = F.hex(key) if isinstance(kind, BinaryType) else key
+        return df.filter(word <= F.lit(nth_word(df, word, max_rows))), flag
     cut = order_statistics(df, order_by, {None: [max_rows]})[(None, max_rows)]
-    return df.filter(F.col(order_by) <= F.lit(cut)), flag
+    return df.filter(key <= F.lit(cut)), flag
+
+
+def _first_by_content(df: DataFrame, n: int) -> DataFrame:
+    """``n`` rows in the order of a hash of all columns; of equal rows any."""
+    from dnaframe.operators.quantiles import order_statistics
+
+    if n <= 0:
+        return df.limit(0)
+    rows = df.withColumn("_h", F.xxhash64(F.to_json(F.struct("*"))))
+    cut = order_statistics(rows, "_h", {None: [n]})[(None, n)]
+    below = rows.filter(F.col("_h") < cut)
+    return below.unionByName(rows.filter(F.col("_h") == cut).limit(n - below.count())).drop("_h")
 
 
-def _first_by_range(df: DataFrame, order_by: str, n: int) -> DataFrame:
-    """The first ``n`` rows by a unique key of any ordered type.
+def nth_word(df: DataFrame, word: Column, n: int, most: int = 10_000) -> str:
+    """The ``n``-th smallest (from 1) of the non-null strings ``word``, at any size and any spread.
 
-    Ranges of the key are counted first (one row per range reaches the driver); only the range that holds
-    the n-th key is sorted, so no task sees more than a range.
+    The words are narrowed like a walk down a prefix tree: those with the prefix found so far are counted by
+    their next two characters (combined before the exchange), and the group that holds the n-th gives the next
+    prefix, as far as all of its words agree. At most ``most`` words, or one repeated word, end the walk.
     """
-    key = F.col(order_by)
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.select(order_by).repartitionByRange(parts, key)
-    ranges = ranged.groupBy(F.spark_partition_id().alias("p")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy("low").collect()
-    before = 0
-    for r in ranges:
-        if before + r["n"] >= n:
-            inside = df.select(order_by).filter((key >= F.lit(r["low"])) & (key <= F.lit(r["high"])))
-            cut = inside.orderBy(key).limit(n - before).agg(F.max(key)).first()[0]
-            return df.filter(key <= F.lit(cut))
-        before += r["n"]
-    return df
+    prefix = ""
+    words = df.select(word.alias("w")).filter("w is not null")
+    while True:
+        here = words.filter(F.col("w").startswith(prefix)) if prefix else words
+        groups = here.groupBy(F.substring("w", len(prefix) + 1, 2).alias("next")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("w").alias("low"), F.max("w").alias("high"))
+        upto = F.sum("n").over(Window.orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = groups.withColumn("upto", upto).filter(F.col("upto") >= n).orderBy("upto").first()
+        n -= found["upto"] - found["n"]
+        if found["low"] == found["high"]:
+            return found["low"]
+        inside = here.filter((F.col("w") >= F.lit(found["low"])) & (F.col("w") <= F.lit(found["high"])))
+        if found["n"] <= most:
+            return sorted(r[0] for r in inside.collect())[n - 1]
+        prefix = os.path.commonprefix([found["low"], found["high"]])
+        words = inside
 
 
 def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:

@@ -19,6 +19,11 @@ MAX_CANDIDATES = 200_000
 ACCURACY = 10_000
 
 
+def _order(v) -> tuple:
+    """Spark's order of values: NaN above all numbers (Python's comparisons with it are all false)."""
+    return (True, 0) if isinstance(v, float) and math.isnan(v) else (False, v)
+
+
 def _or_any(conds: list[Column]) -> Column:
     out = conds[0]
     for c in conds[1:]:
@@ -32,7 +37,7 @@ def _in_group(group_col: str | None, g) -> Column:
 
 def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str | None = None,
                      accuracy: int = ACCURACY, max_candidates: int = MAX_CANDIDATES) -> dict:
-    """``{(group, k): k-th smallest non-null value}`` for 1-based ranks ``ranks[group]``."""
+    """``{(group, k): k-th smallest non-null value}`` for 1-based ranks ``ranks[group]``; NaN ranks above all numbers, as in Spark."""
     v = F.col(value_col)
     tasks = []  # dict per (g, k): lo, hi (inclusive bracket; None = open), below = rows < lo
     for g, ks in ranks.items():
@@ -59,8 +64,9 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
             gcol = F.col(group_col) if group_col else F.lit(None)
             rows = df.filter(_or_any([member(t) for t in small])).select(gcol.alias("g"), v.alias("v")).collect()
             for t in small:
-                vals = sorted(r["v"] for r in rows if (group_col is None or r["g"] == t["g"])
-                              and (t["lo"] is None or r["v"] >= t["lo"]) and (t["hi"] is None or r["v"] <= t["hi"]))
+                low, high = _order(t["lo"]), _order(t["hi"])
+                vals = sorted((r["v"] for r in rows if (group_col is None or r["g"] == t["g"])
+                               and (t["lo"] is None or _order(r["v"]) >= low) and (t["hi"] is None or _order(r["v"]) <= high)), key=_order)
                 result[(t["g"], t["k"])] = vals[t["k"] - t["below"] - 1]
         if not large:
             break
@@ -85,7 +91,7 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
             below_lo = t["below"] + cs[f"b{i}"]
             upto_hi = t["below"] + cs[f"u{i}"]
             if below_lo < t["k"] <= upto_hi:
-                if lo == hi:
+                if _order(lo) == _order(hi):
                     result[(t["g"], t["k"])] = lo
                     continue
                 nxt.append({**t, "lo": lo, "hi": hi, "below": below_lo, "n": cs[f"u{i}"] - cs[f"b{i}"]})
@@ -144,7 +150,9 @@ def _exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_co
                 continue
             r1, r2, frac = quantile_ranks(n, q)
             a, b = stats[(g, r1)], stats[(g, r2)]
-            if q == 0.5 and n % 2 == 0:
+            if _order(a) == _order(b):  # infinities included
+                out[(g, q)] = a
+            elif q == 0.5 and n % 2 == 0:
                 out[(g, q)] = (a + b) / 2.0
             else:
                 out[(g, q)] = a + (b - a) * frac if frac else a

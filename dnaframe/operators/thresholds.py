@@ -148,7 +148,9 @@ def resolve_thresholds(predictions: DataFrame, strategy: str = "user_or_literatu
                        scope: str = "per_model", goal: str = "limit_false_positives",
                        model_col: str = "model", validation: DataFrame | None = None) -> dict:
     """Threshold per model as a small dict (one value per model)."""
-    if strategy == "user_or_literature" or strategy not in STRATEGIES:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown threshold strategy {strategy!r}; known are {list(STRATEGIES)}")
+    if strategy == "user_or_literature":
         t = float(value) if value is not None else DEFAULT_THRESHOLD
         models = [r[0] for r in predictions.select(model_col).distinct().collect()]
         return {m: t for m in models}

@@ -621,7 +621,7 @@ def multi_seed_summary_q(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from dnaframe.plans import jobs, source_queries  # noqa: F401  (register their queries)
+    from dnaframe.plans import file_queries, jobs, source_queries  # noqa: F401  (register their queries)
 
     return dict(QUERIES)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SCHEMA_VERSION = "1.0.0"
 
-# Section and field names of the saved run configuration.
+# Section and field names of the saved run configuration. Our own beside them: split_manifest_path, overrides.
 RUN_CONFIG_DDL = """
 schema_version STRING,
 dataset STRUCT<path: STRING, uri: STRING, sha256: STRING, size_bytes: BIGINT, sequence_column: STRING,
@@ -21,10 +21,11 @@ dataset STRUCT<path: STRING, uri: STRING, sha256: STRING, size_bytes: BIGINT, se
   columns: ARRAY<STRING>, source_dataset_removed_after_run: BOOLEAN, run_mode: STRING, plan_only: BOOLEAN, note: STRING>,
 split STRUCT<split_strategy: STRING, test_size: DOUBLE, validation_size: DOUBLE, train_csv: STRING,
   validation_csv: STRING, test_csv: STRING, random_seed: BIGINT, train_rows: BIGINT, validation_rows: BIGINT,
-  test_rows: BIGINT, cv_folds: INT, reruns: INT>,
+  test_rows: BIGINT, cv_folds: INT, reruns: INT, split_manifest_path: STRING>,
 preprocessing STRUCT<use_gc: BOOLEAN, use_kmers: BOOLEAN, normalize_kmers: BOOLEAN, use_one_hot: BOOLEAN,
   kmer_size: INT, sequence_length: INT, additional_options: MAP<STRING, STRING>>,
-models ARRAY<STRUCT<model_name: STRING, model_variant: STRING, checkpoint: STRING, tokenizer: STRING, runner: STRING>>,
+models ARRAY<STRUCT<model_name: STRING, model_variant: STRING, checkpoint: STRING, tokenizer: STRING, runner: STRING,
+  overrides: MAP<STRING, STRING>>>,
 model_selection STRUCT<local_models: ARRAY<STRING>, comparison_models: ARRAY<STRING>,
   runnable_local_models: ARRAY<STRING>, planned_hpc_models: ARRAY<STRING>, model_requirements: MAP<STRING, STRING>>,
 threshold STRUCT<threshold_strategy: STRING, threshold_value: DOUBLE, threshold_scope: STRING,

@@ -17,8 +17,10 @@ import datetime as _dt
 import os
 import uuid
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +133,8 @@ class BenchmarkRequest:
             raise ValueError("validation_size must be between 0 and 0.4")
         if self.split_strategy not in SPLIT_STRATEGIES:
             raise ValueError(f"unknown split strategy {self.split_strategy!r}; known are {list(SPLIT_STRATEGIES)}")
+        if self.threshold_strategy not in thr.STRATEGIES:
+            raise ValueError(f"unknown threshold strategy {self.threshold_strategy!r}; known are {list(thr.STRATEGIES)}")
         if self.cv_folds < 2 or self.reruns < 1:
             raise ValueError("cv_folds is 2 at least, reruns 1")
         unknown = [m for m in self.models if m not in mdl.MODEL_NAMES]
@@ -141,7 +145,7 @@ class BenchmarkRequest:
 def benchmark_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> dict:
     """W2 core: returns DataFrames and counts; writes nothing."""
     if req.sequence_col not in df.columns:
-        raise ValueError(f"Column not found: {req.sequence_col}")
+        raise ValueError(f"the table has no sequence column {req.sequence_col!r}")
     target = prof.target_column(df.columns, req.target_col)
     cfg = feat.FeatureConfig.from_dict(req.preprocessing)
     source = df
@@ -215,81 +219,141 @@ def _feature_frame(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id")
 
 
 def _fold_metrics(train: DataFrame, test: DataFrame, req: BenchmarkRequest, seed: int, binary: bool,
-                  row_id: str = "row_id") -> DataFrame:
+                  row_id: str = "row_id", keep: bool = False) -> tuple[DataFrame, DataFrame | None, float | None]:
+    """Metrics per model, and with ``keep`` the labelled predictions (persisted) and the last model's threshold."""
     _, preds = mdl.fit_and_predict(train, test, list(req.models), seed, row_id, overrides=req.model_overrides)
     preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
+    last = None
     if binary:
         th = thr.resolve_thresholds(preds, req.threshold_strategy, req.threshold_value, req.threshold_scope,
                                     req.biological_goal)
-        labelled = thr.apply_threshold(preds, th)
+        labelled, last = thr.apply_threshold(preds, th), th.get(list(req.models)[-1])
     else:
         labelled = preds
     found = met.all_metrics(labelled, binary, train_rows=None)
     rows = found.collect()  # one row per model
+    metrics = preds.sparkSession.createDataFrame(rows, found.schema)
+    if keep:
+        return metrics, labelled, last
     preds.unpersist()
-    return preds.sparkSession.createDataFrame(rows, found.schema)
+    return metrics, None, None
 
 
-def cross_validate(df: DataFrame, req: BenchmarkRequest, folds: int = 5, row_id: str = "row_id") -> dict:
-    """X4 executed: exact seeded k folds; each fold is the test set once. Returns per-fold
-    metrics and their mean / std / min / max per model (W10 form)."""
+def _side_by_side(work, parts: list[int], parallelism: int) -> list:
+    """``work(part)`` for every part, ``parallelism`` at a time: Spark runs their jobs together, results keep their order.
+
+    Small folds leave most executors idle when they run one after the other.
+    """
+    with ThreadPool(max(1, min(parallelism, len(parts)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), parts)
+
+
+def _over_parts(frame: DataFrame, req: BenchmarkRequest, name: str, parts: list[int], split, parallelism: int, row_id: str, keep: bool) -> dict:
+    """Fits and metrics of every fold or seed over the persisted ``frame``; ``split(part)`` gives its train and test rows."""
+    binary = bool(prof.is_binary(frame, "y").first()[0])
+    seed = (lambda p: p) if name == "seed" else (lambda p: req.random_seed)
+
+    def one(part: int):
+        train, test = split(part)
+        return _fold_metrics(train, test, req, seed(part), binary, row_id, keep)
+
+    found = _side_by_side(one, parts, parallelism)
+    tagged = lambda i: reduce(DataFrame.unionByName, [f[i].withColumn(name, F.lit(p)) for f, p in zip(found, parts)])
+    return {"metrics": tagged(0), "predictions": tagged(1) if keep else None, "last_threshold": found[-1][2], "binary_target": binary,
+            "cached": [f[1] for f in found if f[1] is not None]}
+
+
+def cross_validate(df: DataFrame, req: BenchmarkRequest, folds: int = 5, row_id: str = "row_id", parallelism: int = 4,
+                   keep: bool = False) -> dict:
+    """X4 executed: exact seeded k folds; each fold is the test set once, ``parallelism`` folds are fitted at a time.
+
+    Returns per-fold metrics and their mean / std / min / max per model (W10 form); with ``keep`` also the
+    ``predictions`` of every fold, persisted until ``release``.
+    """
     frame = smp.kfold(_feature_frame(df, req, row_id), folds, req.random_seed, row_id)
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-    binary = bool(prof.is_binary(frame, "y").first()[0])
-    per_fold = None
-    for f in range(folds):  # k Spark jobs over the persisted frame; k is a small parameter
-        m = _fold_metrics(frame.filter(F.col("fold") != f), frame.filter(F.col("fold") == f), req,
-                          req.random_seed, binary, row_id).withColumn("fold", F.lit(f))
-        per_fold = m if per_fold is None else per_fold.unionByName(m)
-    frame.unpersist()
-    summary = met.multi_seed_summary(per_fold).withColumnRenamed("seeds", "folds")
-    return {"per_fold": per_fold, "summary": summary, "frame": frame, "binary_target": binary}
-
-
-def repeated_benchmark(df: DataFrame, req: BenchmarkRequest, seeds: list[int], row_id: str = "row_id") -> dict:
-    """X5 + W10 executed: one exact holdout and fit per seed, then mean / std / min / max of every
-    metric per model across seeds."""
+    rows = frame.count()
+    out = _over_parts(frame, req, "fold", list(range(folds)), lambda f: (frame.filter(F.col("fold") != f), frame.filter(F.col("fold") == f)),
+                      parallelism, row_id, keep)
+    if not keep:
+        frame.unpersist()
+    summary = met.multi_seed_summary(out["metrics"]).withColumnRenamed("seeds", "folds")
+    return out | {"per_fold": out["metrics"], "summary": summary, "frame": frame, "rows_used": rows, "cached": [frame, *out["cached"]]}
+
+
+def repeated_benchmark(df: DataFrame, req: BenchmarkRequest, seeds: list[int], row_id: str = "row_id", parallelism: int = 4,
+                       keep: bool = False) -> dict:
+    """X5 + W10 executed: one exact holdout and fit per seed, ``parallelism`` seeds at a time, then mean / std / min /
+    max of every metric per model across seeds."""
     # one persisted feature frame; each seed tags it with a narrow projection (no copy per seed)
     frame = _feature_frame(df, req, row_id).persist(StorageLevel.MEMORY_AND_DISK)
-    binary = bool(prof.is_binary(frame, "y").first()[0])
-    per_seed = None
-    for sd in seeds:
-        one = smp.holdout_split(frame, req.test_size, int(sd), row_id)
-        m = _fold_metrics(one.filter(F.col("split") == "train"), one.filter(F.col("split") == "test"), req,
-                          int(sd), binary, row_id).withColumn("seed", F.lit(int(sd)))
-        per_seed = m if per_seed is None else per_seed.unionByName(m)
-    frame.unpersist()
-    return {"per_seed": per_seed, "summary": met.multi_seed_summary(per_seed), "frame": frame,
-            "binary_target": binary}
+    rows = frame.count()
 
+    def split(seed: int):
+        one = smp.holdout_split(frame, req.test_size, seed, row_id)
+        return one.filter(F.col("split") == "train"), one.filter(F.col("split") == "test")
+
+    out = _over_parts(frame, req, "seed", [int(s) for s in seeds], split, parallelism, row_id, keep)
+    if not keep:
+        frame.unpersist()
+    return out | {"per_seed": out["metrics"], "summary": met.multi_seed_summary(out["metrics"]), "frame": frame, "rows_used": rows,
+                  "cached": [frame, *out["cached"]]}
 
-def evaluate(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> DataFrame:
-    """W2 by the request's split strategy: metrics per model, and per fold or seed where there are several.
+
+def strategy_frames(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> dict:
+    """W2 by the request's split strategy; as ``benchmark_frames``, with a column ``part`` in metrics and predictions.
 
     * fixed_train_validation_test: one exact holdout (X1, X2); ``part`` is null.
     * provided_train_validation_test: the split saved at ``split_manifest_path`` (X3, X6).
     * kfold_small_dataset: ``cv_folds`` folds (X4); ``part`` is the fold.
     * repeated_seed_holdout: ``reruns`` holdouts (X5); ``part`` is the seed.
+
+    Where there are several parts, there are several fits of each model and none is returned. The caller
+    releases the frames.
     """
-    if req.split_strategy == "kfold_small_dataset":
-        return cross_validate(df, req, req.cv_folds, row_id)["per_fold"].withColumnRenamed("fold", "part")
-    if req.split_strategy == "repeated_seed_holdout":
-        seeds = [req.random_seed + i for i in range(req.reruns)]
-        return repeated_benchmark(df, req, seeds, row_id)["per_seed"].withColumnRenamed("seed", "part")
+    if req.split_strategy in ("kfold_small_dataset", "repeated_seed_holdout"):
+        if req.split_strategy == "kfold_small_dataset":
+            out, name = cross_validate(df, req, req.cv_folds, row_id, keep=True), "fold"
+        else:
+            out, name = repeated_benchmark(df, req, [req.random_seed + i for i in range(req.reruns)], row_id, keep=True), "seed"
+        if out["rows_used"] < MIN_VALID_ROWS:
+            release(out)
+            raise ValueError(f"{out['rows_used']} rows have a numeric target; {MIN_VALID_ROWS} are needed")
+        counts = df.count() if req.max_rows and req.max_rows > 0 else 0
+        return out | {
+            "target_col": prof.target_column(df.columns, req.target_col), "fitted": {}, "train_rows": None, "validation_rows": 0,
+            "test_rows": out["predictions"].filter(F.col("model") == req.models[0]).count(), "row_cap_applied": counts > req.max_rows > 0,
+            "class_balance_applied": _balances(df, req, row_id), "thresholds": None,
+            "metrics": out["metrics"].withColumnRenamed(name, "part"), "predictions": out["predictions"].withColumnRenamed(name, "part")}
     if req.split_strategy == "provided_train_validation_test" and not req.split_manifest_path:
         raise ValueError("a provided split needs split_manifest_path")
     out = benchmark_frames(df, req, row_id)
-    rows = out["metrics"].collect()  # one row per model
+    none = F.lit(None).cast("int")
+    return out | {"metrics": out["metrics"].withColumn("part", none), "predictions": out["predictions"].withColumn("part", none),
+                  "last_threshold": (out["thresholds"] or {}).get(list(req.models)[-1])}
+
+
+def _balances(df: DataFrame, req: BenchmarkRequest, row_id: str) -> bool:
+    return smp.undersample(df, prof.target_column(df.columns, req.target_col), req.random_seed, req.balance_strategy, row_id)[1]
+
+
+def evaluate(df: DataFrame, req: BenchmarkRequest, row_id: str = "row_id") -> DataFrame:
+    """W2 by the request's split strategy: metrics per model, and per fold or seed where there are several (``strategy_frames``)."""
+    out = strategy_frames(df, req, row_id)
+    rows = out["metrics"].collect()  # one row per model and part
     release(out)
-    return df.sparkSession.createDataFrame(rows, out["metrics"].schema).withColumn("part", F.lit(None).cast("int"))
+    return df.sparkSession.createDataFrame(rows, out["metrics"].schema)
+
 
+def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: DataFrame | None = None, run_id: str | None = None) -> dict:
+    """W2 with writes: predictions (K2), metrics (K3), models (K6), configuration and registry row (K5).
 
-def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: DataFrame | None = None) -> dict:
-    """W2 with writes: predictions (K2), metrics (K3), registry row (K5), models (K6)."""
+    A run retried under its ``run_id`` replaces what an attempt before it has left.
+    """
     started = _now()
     data = df if df is not None else store.load_dataset(spark, root, req.dataset_id)
-    out = benchmark_frames(data, req)
-    run_id = str(uuid.uuid4())
+    out = strategy_frames(data, req)
+    run_id = run_id or str(uuid.uuid4())
     preds = out["predictions"].withColumn("run_id", F.lit(run_id))
     store.write_partitions(preds, root, "runs", "predictions", keys=("run_id", "model"))
     store.write_partitions(out["metrics"].withColumn("run_id", F.lit(run_id)), root, "runs", "metrics", keys=("run_id",))
@@ -298,9 +362,6 @@ def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: Dat
     if req.dataset_id:
         found = store.read_partition(spark, root, "datasets", "manifest", key="dataset_id", value=req.dataset_id)
         manifest = found.first().asDict() if found is not None else None
-    last_threshold = None
-    if out["thresholds"]:
-        last_threshold = out["thresholds"].get(list(req.models)[-1])
     reg = {
         "run_id": run_id, "created_at": started, "completed_at": _now(), "dataset_id": req.dataset_id,
         "dataset_sha256": manifest["sha256"] if manifest else None, "tool_version": TOOL_VERSION,
@@ -309,11 +370,12 @@ def run_benchmark(spark: SparkSession, root: str, req: BenchmarkRequest, df: Dat
         "test_rows": out["test_rows"],
         "target_kind": "binary_numeric_label" if out["binary_target"] else "numeric_regression",
         "source_dataset_removed_after_run": False, "has_config": True, "target_col": out["target_col"],
-        "request_json": _json(asdict(req)), "classification_threshold": last_threshold,
+        "request_json": _json(asdict(req)), "classification_threshold": out["last_threshold"],
         "model_paths_json": _json(model_paths),
     }
-    store.write_partitions(spark.createDataFrame([reg], RUN_ROW), root, "runs", "registry", keys=("run_id",))
     store.write_json(spark, run_config(reg, req, manifest), root, "runs", "configs", f"run_id={run_id}")
+    # the registry row comes last and is read first: a run that died before it is in no listing and no lookup
+    store.write_partitions(spark.createDataFrame([reg], RUN_ROW), root, "runs", "registry", keys=("run_id",))
     release(out)
     return {"run": reg, "metrics": out["metrics"], "predictions": out["predictions"]}
 
@@ -335,9 +397,10 @@ def run_config(run: dict, req: BenchmarkRequest, manifest: dict | None) -> dict:
                     "columns": ds.get("columns"), "source_dataset_removed_after_run": run["source_dataset_removed_after_run"],
                     "run_mode": run["run_mode"], "plan_only": run["run_mode"] == "plan_only"},
         "split": {"split_strategy": req.split_strategy, "test_size": req.test_size, "validation_size": req.validation_size,
-                  "random_seed": req.random_seed, "train_rows": run["train_rows"], "test_rows": run["test_rows"], **rounds},
+                  "random_seed": req.random_seed, "train_rows": run["train_rows"], "test_rows": run["test_rows"], **rounds,
+                  "split_manifest_path": req.split_manifest_path},
         "preprocessing": feat.FeatureConfig.from_dict(req.preprocessing).to_dict(),
-        "models": [{"model_name": m, "runner": "spark"} for m in req.models],
+        "models": [{"model_name": m, "runner": "spark", "overrides": req.model_overrides.get(m) or {}} for m in req.models],
         "threshold": {**threshold, "resolved_classification_threshold": run["classification_threshold"]},
         "balance": {"balance_strategy": req.balance_strategy, "class_balance_applied": run["class_balance_applied"],
                     "rows_used": run["rows_used"], **limits},
@@ -373,8 +436,8 @@ def plan_only_run(spark: SparkSession, root: str, req: BenchmarkRequest) -> dict
         "source_dataset_removed_after_run": False, "has_config": True, "target_col": target, "request_json": _json(asdict(req)),
         "classification_threshold": None, "model_paths_json": "{}",
     }
-    store.write_partitions(spark.createDataFrame([run], RUN_ROW), root, "runs", "registry", keys=("run_id",))
     store.write_json(spark, run_config(run, req, manifest), root, "runs", "configs", f"run_id={run['run_id']}")
+    store.write_partitions(spark.createDataFrame([run], RUN_ROW), root, "runs", "registry", keys=("run_id",))
     return run
 
 
@@ -411,7 +474,8 @@ def checksum_gate(spark: SparkSession, cfg: dict) -> bool | None:
 
 def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False, models: list | None = None,
            data: DataFrame | None = None) -> dict:
-    """Gate, then re-run the saved settings; the row cap and balancing are honoured.
+    """Gate, then re-run the saved settings: split strategy, folds or seeds, provided split, model options,
+    row cap and balancing (M21).
 
     Model names that are not runnable here are skipped and reported. ``data``: the stored rows, where
     there are any; else the source file is read again, which gives its rows the same ids.
@@ -449,8 +513,10 @@ def replay(spark: SparkSession, cfg: dict, out_root: str, dry_run: bool = False,
             threshold_value=tr.get("threshold_value"), threshold_scope=tr.get("threshold_scope") or "shared",
             balance_strategy=bal.get("balance_strategy") or tr.get("balance_strategy") or "none",
             max_rows=int(bal.get("local_row_limit") or 0) if bal.get("row_cap_applied") else 0,
+            split_manifest_path=sp.get("split_manifest_path"),
+            model_overrides={m["model_name"]: m["overrides"] for m in cfg.get("models", []) if m.get("overrides")},
         )
-        res = benchmark_frames(data, req)
+        res = strategy_frames(data, req)
         res["metrics"].write.mode("overwrite").json(os.path.join(out_root, "metrics"))
         res["predictions"].write.mode("overwrite").option("header", True).csv(os.path.join(out_root, "predictions"))
         summary["model_paths"] = {n: store.save_model(m, out_root, "replay", n) for n, m in res["fitted"].items()}
@@ -470,14 +536,17 @@ def dry_run_summary(spark: SparkSession, configs_path: str) -> DataFrame:
     from dnaframe.plans.config import read_run_configs
 
     cfgs = read_run_configs(spark, configs_path)
-    paths = [r[0] for r in cfgs.select("dataset.path").distinct().collect() if r[0] and store._exists(spark, r[0])]
     base = cfgs.select("config_path", F.col("dataset.path").alias("path"), F.col("dataset.sha256").alias("expected_sha256"),
                        F.transform("models", lambda m: m["model_name"]).alias("models"),
                        F.col("split.random_seed").alias("random_seed"), F.col("preprocessing").alias("preprocessing"))
-    if paths:
-        d = digest.file_digests(spark, paths).withColumn("path", F.regexp_replace("path", "^file:", ""))
-    else:
-        d = spark.createDataFrame([], "path string, size_bytes bigint, sha256 string")
+    # one row per dataset, not per config; a path is known by the name its own file system gives it
+    paths = [r[0] for r in base.select("path").distinct().collect() if r[0] and store._exists(spark, r[0])]
+    files = {p: store.qualified(spark, p) for p in paths if not store.is_folder(spark, p)}
+    d = spark.createDataFrame([(p, digest.path_digest(spark, p)[0]) for p in paths if p not in files], "path string, sha256 string")
+    if files:
+        names = spark.createDataFrame(list(files.items()), "path string, name string")
+        found = digest.file_digests(spark, list(files)).withColumnRenamed("path", "name")
+        d = d.unionByName(names.join(found, "name").select("path", "sha256"))
     j = base.join(d, "path", "left")
     verdict = F.when(F.col("sha256").isNull() | F.col("expected_sha256").isNull(), F.lit(None).cast("boolean")) \
                .otherwise(F.col("sha256") == F.col("expected_sha256"))

@@ -75,8 +75,10 @@ def _byte_lines(spark: SparkSession, path: str | list[str], least: int) -> DataF
     ``base``: bytes of the file before the block's first line; ``fits`` is false if lines and file size disagree.
     """
     m = "_metadata.file_"
+    # the name as binaryFile gives it: not percent-encoded, one slash
+    name = F.regexp_replace(F.url_decode(F.regexp_replace(F.col(m + "path"), r"\+", "%2B")), "^file:/+", "file:/")
     raw = spark.read.option("lineSep", "\n").text(path).filter(F.col(m + "size") >= least).select(
-        F.col(m + "path").alias("file"), F.col(m + "size").alias("size"), F.col(m + "block_start").alias("block"),
+        name.alias("file"), F.col(m + "size").alias("size"), F.col(m + "block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
     blocks = raw.groupBy("file", "size", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"),
                                                       F.sum(F.octet_length("line") + 1).alias("n"))

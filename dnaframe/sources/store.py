@@ -37,6 +37,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path's full name on its file system, as Spark's ``binaryFile`` gives it."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hpath).toString()
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hpath).isDirectory()
+
+
 def suffixes(spark: SparkSession, path: str) -> set[str]:
     """Lower-case suffixes of the files of a path: a file, a glob, or a folder (hidden files aside)."""
     jvm = spark.sparkContext._jvm
@@ -99,11 +110,16 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame | None:
     return r.orderBy("run_id") if r is not None else None
 
 
-def get_run(spark: SparkSession, root: str, run_id: str, preview_rows: int = 100) -> dict:
-    """One run: its registry row, its metrics and its first predictions (pruned to the run)."""
+def get_run(spark: SparkSession, root: str, run_id: str, preview_rows: int | None = 100) -> dict:
+    """One run: its registry row, its metrics and its first predictions (pruned to the run; with None all of them).
+
+    Without a registry row, which is written last, there is no run: what an unfinished one has left stays unseen.
+    """
+    if not _exists(spark, _p(root, "runs", "registry", f"run_id={run_id}")):
+        return {"run": None, "metrics": None, "predictions": None}
     found = {name: read_partition(spark, root, "runs", table, key="run_id", value=run_id)
              for name, table in (("run", "registry"), ("metrics", "metrics"), ("predictions", "predictions"))}
-    if found["predictions"] is not None:
+    if found["predictions"] is not None and preview_rows is not None:
         found["predictions"] = found["predictions"].orderBy("model", "row_id").limit(preview_rows)
     return found
 
