@@ -152,6 +152,8 @@ def _exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_co
             a, b = stats[(g, r1)], stats[(g, r2)]
             if _order(a) == _order(b):  # infinities included
                 out[(g, q)] = a
+            elif math.isinf(a) or math.isinf(b):
+                out[(g, q)] = a * (1 - frac) + b * frac if frac else a
             elif q == 0.5 and n % 2 == 0:
                 out[(g, q)] = (a + b) / 2.0
             else:
