@@ -39,11 +39,18 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
                      accuracy: int = ACCURACY, max_candidates: int = MAX_CANDIDATES) -> dict:
     """``{(group, k): k-th smallest non-null value}`` for 1-based ranks ``ranks[group]``; NaN ranks above all numbers, as in Spark."""
     v = F.col(value_col)
+    result: dict = {}
+    if df.schema[value_col].dataType.simpleString() in ("float", "double"):
+        # NaN takes the ranks behind all numbers; the sketch below sees numbers only
+        keys = [group_col] if group_col else []
+        numbers = {(r[0] if keys else None): r["n"] for r in df.groupBy(*keys).agg(F.count_if(v.isNotNull() & ~F.isnan(v)).alias("n")).collect()}
+        result = {(g, int(k)): math.nan for g, ks in ranks.items() for k in ks if k > numbers.get(g, 0)}
+        ranks = {g: [k for k in ks if k <= numbers.get(g, 0)] for g, ks in ranks.items()}
+        df = df.filter(~F.isnan(v))
     tasks = []  # dict per (g, k): lo, hi (inclusive bracket; None = open), below = rows < lo
     for g, ks in ranks.items():
         for k in ks:
             tasks.append({"g": g, "k": int(k), "lo": None, "hi": None, "below": 0})
-    result: dict = {}
     while tasks:
         def member(t):
             c = _in_group(group_col, t["g"]) & v.isNotNull()
@@ -97,7 +104,7 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
                 nxt.append({**t, "lo": lo, "hi": hi, "below": below_lo, "n": cs[f"u{i}"] - cs[f"b{i}"]})
             else:
                 # the sketch missed (rare): keep the bracket, ask for a finer sketch
-                accuracy = accuracy * 4
+                accuracy = min(accuracy * 4, 2**31 - 1)
                 nxt.append(t)
         tasks = nxt
     return result
