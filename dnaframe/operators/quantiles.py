@@ -47,7 +47,7 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
         result = {(g, int(k)): math.nan for g, ks in ranks.items() for k in ks if k > numbers.get(g, 0)}
         ranks = {g: [k for k in ks if k <= numbers.get(g, 0)] for g, ks in ranks.items()}
         df = df.filter(~F.isnan(v))
-    tasks = []  # dict per (g, k): lo, hi (inclusive bracket; None = open), below = rows < lo
+    tasks = []  # dict per (g, k): lo, hi (bracket, ends excluded; None = open), below = rows <= lo
     for g, ks in ranks.items():
         for k in ks:
             tasks.append({"g": g, "k": int(k), "lo": None, "hi": None, "below": 0})
@@ -55,9 +55,9 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
         def member(t):
             c = _in_group(group_col, t["g"]) & v.isNotNull()
             if t["lo"] is not None:
-                c = c & (v >= F.lit(t["lo"]))
+                c = c & (v > F.lit(t["lo"]))
             if t["hi"] is not None:
-                c = c & (v <= F.lit(t["hi"]))
+                c = c & (v < F.lit(t["hi"]))
             return c
 
         unknown = [i for i, t in enumerate(tasks) if t.get("n") is None]
@@ -71,9 +71,8 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
             gcol = F.col(group_col) if group_col else F.lit(None)
             rows = df.filter(_or_any([member(t) for t in small])).select(gcol.alias("g"), v.alias("v")).collect()
             for t in small:
-                low, high = _order(t["lo"]), _order(t["hi"])
-                vals = sorted((r["v"] for r in rows if (group_col is None or r["g"] == t["g"])
-                               and (t["lo"] is None or _order(r["v"]) >= low) and (t["hi"] is None or _order(r["v"]) <= high)), key=_order)
+                vals = sorted(r["v"] for r in rows if (group_col is None or r["g"] == t["g"])
+                              and (t["lo"] is None or r["v"] > t["lo"]) and (t["hi"] is None or r["v"] < t["hi"]))
                 result[(t["g"], t["k"])] = vals[t["k"] - t["below"] - 1]
         if not large:
             break
@@ -89,19 +88,19 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
         counts = []
         for i, (t, _) in enumerate(large):
             lo, hi = qs[f"q{i}"]
-            counts.append(F.count_if(member(t) & (v < F.lit(lo))).alias(f"b{i}"))
-            counts.append(F.count_if(member(t) & (v <= F.lit(hi))).alias(f"u{i}"))
+            for name, c in (("b", v < F.lit(lo)), ("e", v <= F.lit(lo)), ("f", v < F.lit(hi)), ("u", v <= F.lit(hi))):
+                counts.append(F.count_if(member(t) & c).alias(f"{name}{i}"))
         cs = df.agg(*counts).first()
         nxt = []
         for i, (t, n) in enumerate(large):
             lo, hi = qs[f"q{i}"]
-            below_lo = t["below"] + cs[f"b{i}"]
-            upto_hi = t["below"] + cs[f"u{i}"]
-            if below_lo < t["k"] <= upto_hi:
-                if _order(lo) == _order(hi):
-                    result[(t["g"], t["k"])] = lo
-                    continue
-                nxt.append({**t, "lo": lo, "hi": hi, "below": below_lo, "n": cs[f"u{i}"] - cs[f"b{i}"]})
+            k = t["k"] - t["below"]
+            if cs[f"b{i}"] < k <= cs[f"e{i}"]:
+                result[(t["g"], t["k"])] = lo
+            elif cs[f"f{i}"] < k <= cs[f"u{i}"]:
+                result[(t["g"], t["k"])] = hi
+            elif cs[f"e{i}"] < k <= cs[f"f{i}"]:  # strictly between: the bracket loses both ends, so it always shrinks
+                nxt.append({**t, "lo": lo, "hi": hi, "below": t["below"] + cs[f"e{i}"], "n": cs[f"f{i}"] - cs[f"e{i}"]})
             else:
                 # the sketch missed (rare): keep the bracket, ask for a finer sketch
                 accuracy = min(accuracy * 4, 2**31 - 1)
