@@ -7,9 +7,10 @@ against the limit of the candidate's character class, and the stretch from the f
 last hot window becomes an ``entropy`` span. Allow-listed candidates and those inside a base
 span add nothing.
 
-Redaction looks closer (``closely``): there a window is hot too if its own characters' class and limit say
-so, it holds no placeholder, and not all segments (between - _ / +) that it touches are plain: word-like
-letters, digits, alphabets in order, UUIDs. Random letters of one case can't be told from words.
+The query and redaction look closer (``closely``): there a window is hot too if its own characters' class and
+limit say so, it holds no placeholder, and not all segments (between - _ / +) that it touches are plain:
+word-like letters, digits, alphabets in order, UUIDs. So a name or a path around a secret, or a placeholder
+elsewhere in the run, hides nothing. Random letters of one case can't be told from words.
 
 Spans count code points, end exclusive. Null and empty texts have no spans. Rows are scanned on
 their own: repeated rows give repeated results, and an empty table an empty one. Only the text
@@ -235,7 +236,7 @@ def secrets_query(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     s = F.col("spans")
     count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
-    found = find_secrets(docs.select("doc_id", "text"), out="spans")
+    found = find_secrets(docs.select("doc_id", "text"), out="spans", closely=True)
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
                         F.sha2(digest(s, KINDS[:3]), 256).alias("base_sha256"), digest(s, KINDS).alias("spans"))
 
@@ -246,6 +247,16 @@ _D_AT = """list_transform(range(1, len({m}) + 1), lambda i: {{
 
 SQL_ALLOW = " OR ".join(f"regexp_matches(c.match, '{p}')" for p in ALLOW)
 
+SQL_PLAIN = " OR ".join(f"regexp_matches(p, '{x}')" for x in ["^[-_/+]$", *PLAIN])
+# no look-around there: what borders a UUID is matched and put back, twice for neighbours that share it
+SQL_UUID = r"(^|[^0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}($|[^0-9A-Za-z])"
+SQL_GONE = r"\1" + "-" * 36 + r"\2"
+
+
+def _sql_limit(word: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({word}, '{p}') THEN {bits}" for _, p, bits in CLASSES) + " END"
+
+
 #: DuckDB's version: positions from the text between matches, window entropies counted anew.
 ORACLE_SQL = rf"""
 WITH t AS (
@@ -271,13 +282,20 @@ WITH t AS (
   UNION ALL
   SELECT row, 'hex', 2, x.start, x.start + length(x.match) FROM (SELECT row, unnest(hl) AS x FROM b)
 ), cand AS (
-  SELECT u.row, c, CASE {' '.join(f"WHEN regexp_matches(c.match, '{p}') THEN {bits}" for _, p, bits in CLASSES)} END AS bits
+  SELECT u.row, c, NOT ({SQL_ALLOW}) AS fresh, regexp_replace(regexp_replace(c.match, '{SQL_UUID}', '{SQL_GONE}', 'g'), '{SQL_UUID}', '{SQL_GONE}', 'g') AS bare
   FROM (SELECT row, unnest(el) AS c FROM b) AS u
-  WHERE NOT ({SQL_ALLOW}) AND NOT EXISTS (
-    SELECT 1 FROM base WHERE base.row = u.row AND base.s <= c.start AND c.start + length(c.match) <= base.e)
+  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.row = u.row AND base.s <= c.start AND c.start + length(c.match) <= base.e)
+), judged AS (
+  SELECT row, c.start AS pos, c.match AS m, CASE WHEN fresh THEN {_sql_limit('c.match')} END AS bits,
+    array_to_string([CASE WHEN {SQL_PLAIN} THEN repeat('.', length(p)) ELSE repeat('x', length(p)) END
+                     FOR p IN regexp_extract_all(bare, '[-_/+]|[^-_/+]+')], '') AS plain
+  FROM cand
+), windows AS (
+  SELECT row, pos, bits, [{{'w': substr(m, i, {WINDOW}), 'x': contains(substr(plain, i, {WINDOW}), 'x'), 'i': i}}
+                          FOR i IN range(1, length(m) - {WINDOW} + 2)] AS ws FROM judged
 ), hot AS (
-  SELECT row, c.start AS pos, list_filter(range(1, length(c.match) - {WINDOW} + 2), lambda i:
-    list_aggregate(string_split(substr(c.match, i, {WINDOW}), ''), 'entropy') >= bits) AS w FROM cand
+  SELECT row, pos, [v.i FOR v IN ws IF coalesce(list_aggregate(string_split(v.w, ''), 'entropy') >= bits, false)
+    OR (v.x AND NOT regexp_matches(v.w, '{PLACEHOLDER}') AND list_aggregate(string_split(v.w, ''), 'entropy') >= {_sql_limit('v.w')})] AS w FROM windows
 ), every_span AS (
   SELECT * FROM base
   UNION ALL

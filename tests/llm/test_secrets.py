@@ -56,11 +56,51 @@ def test_entropy_spans_match_brute_force(make, texts):
         assert [(s.start, s.end) for s in r.found if s.rank == 3] == want, r.doc_id
 
 
+def judged_closely(run, base, start):
+    """(first, end) of the hot windows of a run, each judged by its own characters as well; None if there are none."""
+    if any(a <= start and start + len(run) <= b for a, b in base):
+        return None
+    limit = lambda w: next(bits for _, p, bits in secrets.CLASSES if re.search(p, w))
+    plain = ""
+    for part in re.findall(r"[-_/+]|[^-_/+]+", re.sub(secrets.UUID, "-" * 36, run)):
+        plain += ("." if part in "-_/+" or any(re.search(p, part) for p in secrets.PLAIN) else "x") * len(part)
+    whole = None if any(re.search(p, run) for p in secrets.ALLOW) else limit(run)
+    hot = []
+    for i in range(len(run) - 19):
+        w = run[i: i + 20]
+        bits = entropy(w)
+        if whole is not None and bits >= whole or bits >= limit(w) and not re.search(secrets.PLACEHOLDER, w) and "x" in plain[i: i + 20]:
+            hot.append(i)
+    return (start + hot[0], start + hot[-1] + 20) if hot else None
+
+
+def hidden(rng):
+    """Texts with secrets beside names, paths and placeholders, and texts without a secret."""
+    hexes = [rnd(rng, n, "0123456789ABCDEF") for n in (24, 32, 40)] * 8
+    mixed = [rnd(rng, n, string.ascii_letters + string.digits) for n in (20, 24, 40)] * 8
+    return ([f"a key_{x} b" for x in hexes] + [f"io/example/{x}" for x in mixed] + [f"{x}-sample-{y}" for x, y in zip(mixed, hexes)],
+            ["see docs/getting-started/installation_guide now", "id/550e8400-e29b-41d4-a716-446655440000/550e8400-e29b-41d4-a716-446655440001/x",
+             "abcdefghijklmnopqrstuvwxyz0123456789", "readTheWholeFileFromTheDisk", "your-placeholder-token-here-please"])
+
+
+def test_query_spans_match_brute_force(make, texts):
+    secret, calm = hidden(random.Random(9))
+    rows = list(enumerate([*texts, *secret, *calm]))
+    found = {r.doc_id: r.spans for r in secrets.secrets_query(make(rows)).collect()}
+    for i, text in rows:
+        base = [(a, b) for a, _, b in brute_base(text)]
+        want = [s for m in re.finditer(secrets.CANDIDATE, text or "") if (s := judged_closely(m[0], base, m.start()))]
+        assert [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s.startswith("entropy")] == want, text
+    n = len(texts)
+    assert all("entropy" in found[n + i] for i in range(len(secret)))
+    assert not any(found[n + len(secret) + i] for i in range(len(calm)))
+
+
 def test_query_matches_duckdb(spark, make, texts, tmpdir_path):
     import duckdb
 
     path = f"{tmpdir_path}/documents.parquet"
-    make(list(enumerate(texts))).coalesce(1).write.parquet(path)
+    make(list(enumerate([*texts, *sum(hidden(random.Random(9)), [])]))).coalesce(1).write.parquet(path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
     want = con.execute(secrets.ORACLE_SQL)
