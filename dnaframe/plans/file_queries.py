@@ -292,3 +292,25 @@ def nan_quantiles_q(spark, sf_dir) -> DataFrame:
     rows = [(g, q[g, 0.25], q[g, 0.5], q[g, 0.75], q[g, 0.99]) for g, p in q if p == 0.5]  # one per group
     found = spark.createDataFrame(rows, "status string, q25 double, q50 double, q75 double, top double")
     return counts.join(found, "status").select("status", "n", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], F.isnan("top").alias("top_is_nan"))
+
+
+# ---- J1 -------------------------------------------------------------------------------------------
+
+@query("joined_families", with_fixtures(f"""
+SELECT a.row_id, a.target AS y, round({cat.gc_sql('a.sequence')}, 6) AS gc_content, coalesce(w.slots, 0) AS kmers, round(coalesce(w.total, 0), 6) AS kmer_total,
+       coalesce(w.slot_sum, 0) AS slot_sum, 20 AS hot
+FROM seqs_mid a LEFT JOIN (
+  SELECT row_id, count(DISTINCT kmer) AS slots, count(*) / max(length(s) - 2) AS total, sum(DISTINCT {cat.slot_sql('kmer', 3)})::BIGINT AS slot_sum
+  FROM {cat.kmer_windows_sql('seqs_mid', 3)} k GROUP BY row_id) w ON a.row_id = w.row_id""", "seqs_mid"))
+def joined_families_q(spark, sf_dir) -> DataFrame:
+    """J1 as stored tables: GC, 3-mers, one-hot and target are stored by themselves and joined by row id."""
+    from dnaframe.sources import families
+
+    root = _folder(spark, "families")
+    cfg = feat.FeatureConfig(use_gc=True, use_kmers=True, kmer_size=3, use_one_hot=True, sequence_length=20)
+    families.store_families(families.family_frames(fx.seqs_mid(spark, sf_dir), "sequence", cfg, "target"), root, 8)
+    x = families.join_families(spark, root, ["target", "gc", "kmers", "one_hot"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return x.select("row_id", "y", F.round("gc_content", 6).alias("gc_content"), F.size("slots").cast("bigint").alias("kmers"),
+                    F.round(total("values"), 6).alias("kmer_total"), F.aggregate("slots", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("slot_sum"),
+                    total("one_hot").cast("int").alias("hot"))
