@@ -15,7 +15,8 @@ A duplicate cluster is a component of near copies: texts of equal words, whateve
 space, and texts whose sets of ``SHINGLE``-word shingles have a Jaccard similarity of about 0.8 and more.
 Such pairs meet by MinHash: they share one of ``BANDS`` bands of 4 of 64 minima with probability 0.9997, and are
 linked if at least ``AGREE`` minima agree (99.8 % of pairs at 0.8, less than 1 % of those at 0.5). In a bucket
-every text is compared with a hub, those that differ from it with another one, until none is left.
+every two texts are compared, so no link depends on a third text; a bucket gives one row per linked text, no
+pairs. A crowded bucket is cut into blocks, each two of which meet in some task.
 
 Pieces of one document share its cluster; in ``packed_documents``, all rows of one id do. A null source conflicts with nothing, a null cluster
 means the row is its own. Null and empty texts give one row with piece 0, no words and no bin.
@@ -36,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnaframe.llm.common import WORD, ByteHash, batches, by_content, kept, let, mix64, n_words, one_of_each, unrolled, word_bounds
+from dnaframe.llm.pstable import _groups as linked_groups
 from dnaframe.llm.simhash import components
 
 #: Words of a shingle, bands of 4 minima, and minima that near copies must share.
 SHINGLE, BANDS, AGREE = 5, 16, 42
-ROUNDS = 8
+#: Texts of a block; rows that a task compares.
+BLOCK, TASK = 1024, 32768
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int]:
@@ -149,37 +152,70 @@ def minima(texts: list[bytes]) -> np.ndarray:
 
 
 def _minima(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster, sig (the minima, 4 bytes each), keys (one per band)."""
     for batch in rows:
         names = batch.column("cluster")
         texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
         for a, b in batches(texts, 1 << 20):
-            yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(list(minima(texts[a:b])), pa.list_(pa.int64()))],
-                                             names=["cluster", "sig"])
-
-
-def near_copies(texts: DataFrame) -> DataFrame:
+            least = minima(texts[a:b])
+            keys = np.zeros((len(least), BANDS), np.uint64)
+            for i in range(BANDS):
+                for j in range(4):
+                    keys[:, i] = mix64(keys[:, i] * np.uint64(31) + least[:, 4 * i + j].astype(np.uint64) + np.uint64(i + 1))
+            sig = pa.array([x.tobytes() for x in least.astype("<u4")], pa.binary())
+            yield pa.RecordBatch.from_arrays([names.slice(a, b - a), sig, pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
+                                             names=["cluster", "sig", "keys"])
+
+
+def _near(rows: pa.Table) -> pa.Table:
+    """a, b: every text that is near another one in a bucket, and the first text of its linked group."""
+    col = {c: rows[c].to_numpy() for c in ("band", "key", "i", "j", "blk", "node")}
+    order = np.lexsort([col[c] for c in ("node", "j", "i", "key", "band")])
+    col = {c: x[order] for c, x in col.items()}
+    sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u4").reshape(-1, 4 * BANDS)[order]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([col[c][1:] != col[c][:-1] for c in ("band", "key", "i", "j")], axis=0)
+    edge = np.append(np.flatnonzero(new), len(order))
+    found = [np.zeros((2, 0), np.int64)]
+    for a, b in zip(edge[:-1], edge[1:]):
+        if b - a < 2:
+            continue
+        same = np.zeros((b - a, b - a), np.uint8)
+        for k in range(4 * BANDS):
+            same += sigs[a:b, k, None] == sigs[None, a:b, k]
+        near = same >= AGREE
+        np.fill_diagonal(near, False)
+        if col["i"][a] != col["j"][a]:  # two blocks: pairs within one are another task's
+            near &= col["blk"][a:b, None] != col["blk"][None, a:b]
+        hit = np.flatnonzero(near.any(axis=1))
+        if len(hit):
+            node = col["node"][a + hit]
+            root = node[linked_groups(near[np.ix_(hit, hit)])]
+            found.append(np.stack([node, root])[:, node != root])
+    out = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+
+def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """a, b: links between the clusters of ``texts`` (cluster, text) whose texts are near copies."""
-    sigs = texts.filter("cluster is not null").mapInArrow(_minima, "cluster string, sig array<long>")
-    sigs = kept(sigs.groupBy("cluster").agg(F.first("sig").alias("sig")), "pack-minima")
-    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col("sig")[4 * i + j] for j in range(4)]) for i in range(BANDS)])
-    left = sigs.select(F.explode(bands).alias("bucket"), "cluster")
-    links = None
-    for i in range(ROUNDS):
-        hubs = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(
-            F.xxhash64("bucket", "cluster").alias("h"), "cluster"))["cluster"].alias("hub")).filter("n > 1").drop("n")
-        pairs = left.join(hubs, "bucket").filter("cluster <> hub")
-        pairs = (pairs.join(sigs, "cluster").join(sigs.select(F.col("cluster").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-                 .select("bucket", "cluster", "hub", F.size(F.filter(F.arrays_zip("sig", "hub_sig"), lambda x: x["sig"] == x["hub_sig"]))
-                         .alias("same")))
-        pairs = kept(pairs, f"pack-pairs-{i}")
-        # what is still apart after the last round is linked unseen: a conflict too many, none too few
-        near = (pairs.filter(F.col("same") >= AGREE) if i < ROUNDS - 1 else pairs).select(
-            F.col("cluster").alias("a"), F.col("hub").alias("b"))
-        links = near if links is None else links.unionByName(near)
-        left = pairs.filter(F.col("same") < AGREE).select("bucket", "cluster")
-        if left.isEmpty():
-            break
-    return links.distinct()
+    sigs = texts.filter("cluster is not null").mapInArrow(_minima, "cluster string, sig binary, keys array<long>")
+    sigs = kept(sigs.groupBy("cluster").agg(F.first(F.struct("sig", "keys")).alias("s")).select(
+        "cluster", "s.*", F.monotonically_increasing_id().alias("node")), "pack-minima")
+    keys = sigs.select("node", F.posexplode("keys").alias("band", "key"))
+    # texts that are alone in a bucket go no further, and no signature has moved yet
+    shared = kept(keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select(
+        "band", "key", "n", F.ceil(F.col("n") / F.lit(block)).cast("long").alias("blocks")), "pack-buckets")
+    total = shared.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    rows = keys.join(shared.drop("n"), ["band", "key"]).withColumn("blk", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "band", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node")
+    rows = rows.join(sigs.select("node", "sig"), "node").withColumn(
+        "task", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(max(1, -(-total // TASK)))))
+    links = kept(rows.groupBy("task").applyInArrow(_near, "a long, b long"), "pack-links").distinct()
+    names = sigs.select("node", "cluster")
+    return (links.join(names.select(F.col("node").alias("a"), F.col("cluster").alias("one")), "a")
+            .join(names.select(F.col("node").alias("b"), F.col("cluster").alias("two")), "b")
+            .select(F.col("one").alias("a"), F.col("two").alias("b")))
 
 
 def clustered(sizes: DataFrame, rows: DataFrame, text: Column, by_id: bool) -> DataFrame:

@@ -86,3 +86,68 @@ def test_minima_estimate_the_similarity():
     sig = packing.minima([b"", a.encode(), b"one", b.encode(), a.encode(), b" "])
     assert abs((sig[1] == sig[3]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.2
     assert (sig[1] == sig[4]).all() and (sig[1] != sig[2]).any() and not sig[0].any() and not sig[5].any()
+
+
+def rare(n, seed, kinds=5000):
+    """Words that unrelated texts hardly share."""
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
+
+
+def grouped(make, texts, block):
+    """The groups that links between ``texts`` form, as sets of places."""
+    docs = packing.by_content(make([(i, t) for i, t in enumerate(texts)]))
+    named = docs.select("id", packing.text_cluster(packing.F.col("doc.text")).alias("cluster"), packing.F.lower("doc.text").alias("text"))
+    at = {r.cluster: r.id for r in named.collect()}
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in packing.near_copies(named, block).collect():
+        root[top(at[r.a])] = top(at[r.b])
+    out = {}
+    for i in range(len(texts)):
+        out.setdefault(top(i), set()).add(i)
+    return sorted(sorted(g) for g in out.values())
+
+
+def jaccard(a, b):
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_a_shared_boilerplate_makes_no_cluster(make):
+    common = rare(150, 1)
+    texts = [f"{common} {rare(150, 10 + i)}" for i in range(400)]  # similarity about a third
+    assert grouped(make, texts, packing.BLOCK) == [[i] for i in range(400)]
+
+
+def test_links_in_a_crowded_bucket_need_no_third_text(make):
+    """Chains whose middle is near both ends, near copies among boilerplate, in blocks of every size."""
+    common = rare(60, 2)
+    texts = []
+    for g in range(25):
+        words = f"{common} {rare(240, 500 + g)}".split()
+        left, right = list(words), list(words)
+        left[70:84] = rare(14, 3000 + g).split()
+        right[200:214] = rare(14, 4000 + g).split()
+        texts += [" ".join(left), " ".join(words), " ".join(right)]
+    near = [(i, j) for i in range(75) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(near) == 50  # both ends of each chain are near its middle, not near each other
+    for block in (packing.BLOCK, 7):
+        assert grouped(make, texts, block) == [[3 * g, 3 * g + 1, 3 * g + 2] for g in range(25)]
+
+
+def test_every_near_pair_of_a_large_group_meets(make):
+    base = rare(300, 7).split()
+    rng = random.Random(8)
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for p in rng.sample(range(300), 5):
+            words[p] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    assert [len(g) for g in grouped(make, texts, 16)] == [120]
