@@ -26,8 +26,8 @@ results; only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, insort
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,18 +152,19 @@ def minima(texts: list[bytes]) -> np.ndarray:
 
 
 def _minima(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cluster, sig (the minima, 4 bytes each), keys (one per band)."""
+    """cluster (as ``text_cluster`` names it), sig (the minima, 4 bytes each), keys (one per band) of texts with a word."""
     for batch in rows:
-        names = batch.column("cluster")
-        texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        words = [(x or b"").split() for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        texts = [b" ".join(w) for w in words if w]
         for a, b in batches(texts, 1 << 20):
             least = minima(texts[a:b])
             keys = np.zeros((len(least), BANDS), np.uint64)
             for i in range(BANDS):
                 for j in range(4):
                     keys[:, i] = mix64(keys[:, i] * np.uint64(31) + least[:, 4 * i + j].astype(np.uint64) + np.uint64(i + 1))
+            names = pa.array([hashlib.md5(t).hexdigest() for t in texts[a:b]], pa.string())
             sig = pa.array([x.tobytes() for x in least.astype("<u4")], pa.binary())
-            yield pa.RecordBatch.from_arrays([names.slice(a, b - a), sig, pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
+            yield pa.RecordBatch.from_arrays([names, sig, pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
                                              names=["cluster", "sig", "keys"])
 
 
@@ -197,8 +198,8 @@ def _near(rows: pa.Table) -> pa.Table:
 
 
 def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a, b: links between the clusters of ``texts`` (cluster, text) whose texts are near copies."""
-    sigs = texts.filter("cluster is not null").mapInArrow(_minima, "cluster string, sig binary, keys array<long>")
+    """a, b: links between the clusters of ``texts`` (text, in lower case) that are near copies."""
+    sigs = texts.select("text").mapInArrow(_minima, "cluster string, sig binary, keys array<long>")
     sigs = kept(sigs.groupBy("cluster").agg(F.first(F.struct("sig", "keys")).alias("s")).select(
         "cluster", "s.*", F.monotonically_increasing_id().alias("node")), "pack-minima")
     keys = sigs.select("node", F.posexplode("keys").alias("band", "key"))
@@ -220,7 +221,7 @@ def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def clustered(sizes: DataFrame, rows: DataFrame, text: Column, by_id: bool) -> DataFrame:
     """``sizes`` with the near-duplicate component in place of each text's own cluster; ``by_id`` joins all rows of one id."""
-    links = near_copies(rows.select(text_cluster(text).alias("cluster"), F.lower(text).alias("text")))
+    links = near_copies(rows.select(F.lower(text).alias("text")))
     if by_id:
         least = sizes.filter("id is not null and cluster is not null").groupBy("id").agg(
             F.min("cluster").alias("a"), F.max("cluster").alias("z")).filter("a <> z").select(F.col("id").alias("of"), "a")
