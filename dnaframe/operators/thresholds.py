@@ -5,7 +5,8 @@
 * ``validation_mcc`` / ``validation_f1`` / ``high_sensitivity`` (T3-T5): a sweep over every
   distinct score. Cumulative true/false positive counts at each score come from a distributed
   prefix sum: scores are cut into quantile buckets whose number grows with the data (bounds from
-  one sketch pass, ~2M scores per bucket), a running sum runs inside each bucket, and bucket
+  one sketch pass, ~2M scores per bucket; beyond ``MAX_BUCKETS`` every bucket is cut again by a
+  sketch of its own, as often as needed), a running sum runs inside each bucket, and bucket
   offsets come from a table of one row per bucket. No single task ever sorts all scores.
 * Scope (T6) ``per_model`` sweeps each model apart, ``shared`` pools all models.
 * Goal (T7) breaks ties among equally good thresholds: ``limit_false_positives`` takes the
@@ -29,7 +30,7 @@ GOALS = ("limit_false_positives", "high_sensitivity", "balanced_screening")
 DEFAULT_TARGET_RECALL = 0.9
 SWEEP_BUCKETS = 64  # minimum buckets per group
 ROWS_PER_BUCKET = 2_000_000  # target distinct-score rows per window task
-MAX_BUCKETS = 100_000  # bound of the broadcast offsets table per group
+MAX_BUCKETS = 4096  # buckets that one level cuts a group or a bucket into; only the first level's bounds reach the driver
 
 
 def _by_model(model_col: str, values: dict) -> Column:
@@ -52,19 +53,34 @@ def median_thresholds(predictions: DataFrame, model_col: str = "model", score_co
     return {g: v for (g, _), v in q.items()}
 
 
+def _refined(x: DataFrame, parts: int) -> DataFrame:
+    """Cut every bucket of ``x`` into ``parts`` by its own quantiles, highest scores first.
+
+    The bounds are a table of one row per bucket that is joined, so their number has no limit; a
+    score's place among them is a binary search.
+    """
+    cuts = x.groupBy("grp", "b").agg(
+        F.percentile_approx("s", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("cuts"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(parts.bit_length()))])
+    lower = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) < F.col("s"), at + step).otherwise(at))
+    rest = [c for c in x.columns if c not in ("grp", "b")]
+    return x.join(cuts, ["grp", "b"]).select("grp", (F.col("b") * parts + (parts - 1) - lower).alias("b"), *rest)
+
+
 def _bucketed(base: DataFrame, min_buckets: int) -> DataFrame:
     """Add ``b``: the score's quantile bucket in its group, 0 = highest scores.
 
-    Buckets grow with the data (about ``ROWS_PER_BUCKET`` scores each, at least ``min_buckets``,
-    at most ``MAX_BUCKETS`` per group), so no window task holds an unbounded share. Bounds come
-    from one sketch pass; lookup is ``Bucketizer``'s binary search in the JVM. Equal scores always
-    share a bucket.
+    Buckets grow with the data (about ``ROWS_PER_BUCKET`` scores each, at least ``min_buckets``),
+    so no window task holds an unbounded share. The first ``MAX_BUCKETS`` of a group come from one
+    sketch pass and ``Bucketizer``'s binary search in the JVM; groups that need more have their
+    buckets cut again (``_refined``). Equal scores always share a bucket.
     """
     from pyspark.ml.feature import Bucketizer
 
     sizes = {r["grp"]: r["n"] for r in base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
     groups = sorted(sizes)
-    nb = {g: int(min(MAX_BUCKETS, max(min_buckets, math.ceil(sizes[g] / ROWS_PER_BUCKET)))) for g in groups}
+    wanted = {g: max(min_buckets, math.ceil(sizes[g] / ROWS_PER_BUCKET)) for g in groups}
+    nb = {g: min(MAX_BUCKETS, wanted[g]) for g in groups}
     sk = base.agg(*[
         F.percentile_approx(F.when(F.col("grp") == F.lit(g), F.col("s")), [i / nb[g] for i in range(1, nb[g])],
                             max(10_000, 10 * nb[g])).alias(f"q{i}")
@@ -84,7 +100,12 @@ def _bucketed(base: DataFrame, min_buckets: int) -> DataFrame:
     for i, g in enumerate(groups):
         desc = F.lit(len(splits[i]) - 2) - F.col(f"_b{i}").cast("int")  # ascending bucket -> descending
         b = F.when(F.col("grp") == F.lit(g), desc) if b is None else b.when(F.col("grp") == F.lit(g), desc)
-    return x.withColumn("b", b.otherwise(F.lit(0))).drop(*cols_in, *cols_out)
+    x = x.withColumn("b", b.otherwise(F.lit(0)).cast("long")).drop(*cols_in, *cols_out)
+    missing = math.ceil(max(wanted.values()) / MAX_BUCKETS)  # parts that each bucket still has to fall into
+    while missing > 1:
+        x = _refined(x, min(MAX_BUCKETS, missing))
+        missing = math.ceil(missing / MAX_BUCKETS)
+    return x
 
 
 def sweep(predictions: DataFrame, scope: str = "per_model", model_col: str = "model",
@@ -101,7 +122,8 @@ def sweep(predictions: DataFrame, scope: str = "per_model", model_col: str = "mo
                  .agg(F.count_if(F.col("a") == 1).alias("pos"), F.count_if(F.col("a") == 0).alias("neg")))
     w = Window.partitionBy("grp", "b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = per_score.select("grp", "b", "s", F.sum("pos").over(w).alias("rp"), F.sum("neg").over(w).alias("rn"))
-    # offsets: positives / negatives in all higher buckets (groups x buckets rows, <= MAX_BUCKETS per group)
+    # offsets: positives / negatives in all higher buckets, one row per bucket; broadcast only if it
+    # turns out small when the query runs (the running sums are dealt by the same key already)
     tot = per_score.groupBy("grp", "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wo = Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy("grp")
@@ -109,7 +131,7 @@ def sweep(predictions: DataFrame, scope: str = "per_model", model_col: str = "mo
                       F.coalesce(F.sum("bp").over(wo), F.lit(0)).alias("op"),
                       F.coalesce(F.sum("bn").over(wo), F.lit(0)).alias("on"),
                       F.sum("bp").over(wall).alias("P"), F.sum("bn").over(wall).alias("N"))
-    j = running.join(F.broadcast(offs), ["grp", "b"])
+    j = running.join(offs, ["grp", "b"])
     tp, fp = (F.col("op") + F.col("rp")).cast("double"), (F.col("on") + F.col("rn")).cast("double")
     fn, tn = F.col("P") - tp, F.col("N") - fp
     den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))

@@ -1,6 +1,7 @@
 """Metrics, thresholds and quantiles."""
 
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,27 @@ def test_sweep_many_small_buckets(spark, monkeypatch):
         assert fp == sum(1 for _, _, a, p in rows if a == 0 and p >= t)
 
 
+def test_sweep_cuts_buckets_again(spark, monkeypatch):
+    """Buckets of at most three parts a level: four levels, with ties, a hot score and two models."""
+    import random
+
+    rnd = random.Random(12)
+    score = lambda i: 0.5 if i % 3 == 0 else round(rnd.random(), 2) if i % 3 == 1 else rnd.random() * 1e-9
+    rows = [("m" if i % 5 else "n", i, float(rnd.random() < 0.3), score(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, row_id int, actual double, prediction double")
+    ref = {tuple(r) for r in thr.sweep(df, "per_model").collect()}
+    monkeypatch.setattr(thr, "ROWS_PER_BUCKET", 4)
+    monkeypatch.setattr(thr, "MAX_BUCKETS", 3)
+    base = df.select(F.col("model").alias("grp"), F.col("prediction").alias("s"))
+    found = thr._bucketed(base, 2).distinct().orderBy("grp", F.desc("s")).collect()
+    assert max(Counter((r.grp, r.b) for r in found).values()) <= 12 and len({r.b for r in found}) > 27
+    for m in "mn":  # higher scores lie in buckets of smaller numbers
+        numbers = [r.b for r in found if r.grp == m]
+        assert numbers == sorted(numbers)
+    assert {tuple(r) for r in thr.sweep(df, "per_model", buckets=2).collect()} == ref
+    assert len(ref) == len({(m, s) for m, _, _, s in rows})
+
+
 def test_missing_predictions_anti_join(spark):
     labels = spark.createDataFrame([(i, float(i % 2)) for i in range(6)], "row_id int, actual double")
     preds = spark.createDataFrame([("m", i, 0.4) for i in (0, 2, 3)], "model string, row_id int, prediction double")
