@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed by the query contracts: a word is a run of characters outside this white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,13 +92,26 @@ def unrolled(df: DataFrame, count: str, out: str) -> DataFrame:
     return runs.withColumn(out, F.explode(F.sequence(at, F.least(at + RUN, F.col(count)) - 1))).drop("_run")
 
 
+def _hashable(field: T.StructField) -> Column:
+    """A column as ``xxhash64`` takes it: maps, which it refuses, as JSON text with a map's keys in order."""
+    col = F.col("`" + field.name.replace("`", "``") + "`")
+    if isinstance(field.dataType, T.MapType):
+        pairs = F.transform(F.array_sort(F.map_keys(col)), lambda k: F.struct(k.alias("k"), F.element_at(col, k).alias("v")))
+        return F.to_json(F.struct(pairs.alias("map")))
+    return F.to_json(F.struct(col)) if "map<" in field.dataType.simpleString() else col
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns. Equal rows share it; maps inside other columns count as equal if their entries have one order."""
+    return F.xxhash64(*[_hashable(f) for f in docs.schema.fields])
+
+
 def by_content(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, h, doc: the rows of ``docs`` as a struct, named by id and a hash of all their columns.
 
     The name depends on the row alone, never on how the table is split; equal rows share it.
     """
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"),
-                       F.struct("*").alias("doc"))
+    return docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("h"), F.struct("*").alias("doc"))
 
 
 def one_of_each(rows: DataFrame) -> DataFrame:

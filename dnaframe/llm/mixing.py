@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnaframe.llm.common import RUN, WORD, by_content, kept, let, n_words, offsets, one_of_each, unrolled
+from dnaframe.llm.common import RUN, WORD, by_content, kept, let, n_words, offsets, one_of_each, row_hash, unrolled
 
 #: Documents in a piece of a source's stream, slots in an output shard.
 PIECE, SHARD = 2048, 1024
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     ``weights`` repeat over the sources (default 3, 1, 2). Reruns with one seed agree.
     """
     each = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"),
-                       (F.xxhash64(*docs.columns) if name is None else F.col(name)).alias("h"))
+                       (row_hash(docs) if name is None else F.col(name)).alias("h"))
     each = each.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("copies"))
     sizes = kept(unrolled(each, "copies", "copy").drop("copies").withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     t = kept(targets(sizes, weights or [3, 1, 2], share, most, block), "mix-targets")

@@ -36,6 +36,8 @@ from dnaframe.llm.common import by_content, kept, one_of_each
 
 BITS = 64
 SEED = 42
+#: Rows of the tables handed to a task at once, so groups grow in number with the data, not in size.
+GROUP = 1 << 18
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -126,8 +128,8 @@ def near_links(fps: DataFrame, radius: int = 4, split: int = 2048, seed: int = 7
         crowded = not large.isEmpty() and level < 2
         small = table.join(large.drop("n"), ["mask", "key"], "left_anti") if crowded else table
         # buckets of a partition are handled together; which buckets share one does not matter
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = small.withColumn("part", F.pmod(F.xxhash64("mask", "key"), F.lit(16 * n)))
+        n = max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // GROUP))
+        parts = small.withColumn("part", F.pmod(F.xxhash64("mask", "key"), F.lit(n)))
         alone = parts.select("fp", "mask", "key", "part")
         found = alone.groupBy("part").applyInPandas(_links(radius), "a long, b long")
         links = found if links is None else links.unionByName(found)

@@ -97,3 +97,17 @@ def test_awkward_rows(awkward, empty):
     assert all(r.taken == 0 for r in rows if r.size == 0) and all(r.taken <= 2 * r.size for r in rows)
     assert mixing.mixing_query(empty).collect() == [] and mixing.mixed_documents(empty).collect() == []
     assert mixing.mixed_documents(awkward).schema.fieldNames() == awkward.columns
+
+
+def test_tables_with_maps(spark):
+    """Maps name a row like any other column: the order of a map's entries does not matter."""
+    from dnaframe.llm import packing, simhash
+    from dnaframe.llm.common import row_hash
+
+    schema = "doc_id long, text string, source string, lang string, tags map<string,int>, deep struct<m:map<string,int>>"
+    rows = [(i % 9, prose(40, i % 9), "a", "en", t, ({"k": i % 9},)) for i, t in enumerate([{"x": 1, "y": None}, {"y": None, "x": 1}] * 9)]
+    docs = spark.createDataFrame(rows + [(20, prose(50, 3), None, None, None, None), (21, None, "b", None, {}, (None,))], schema)
+    assert docs.select(row_hash(docs).alias("h")).distinct().count() == 11
+    assert simhash.deduplicated(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert packing.packed_documents(docs).filter("doc_id = 20").count() == 1

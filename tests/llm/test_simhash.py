@@ -98,3 +98,10 @@ def test_one_of_each_component_stays(make):
     docs = make([(3, prose(60)), (2, prose(60)), (2, prose(60)), (9, prose(60, 4))])
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [2, 9]
     assert simhash.deduplicated(docs).filter(F.col("doc_id") == 2).first().row == "x"
+
+
+def test_groups_grow_in_number_with_the_rows(spark, monkeypatch):
+    fps = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % 2**62 ^ (1 << i % 3),) for i in range(60)] + [(7,), (15,)], "fp long")
+    want = {tuple(r) for r in simhash.near_links(fps).collect()}
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    assert (15, 7) in want and {tuple(r) for r in simhash.near_links(fps).collect()} == want
