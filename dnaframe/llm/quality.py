@@ -3,12 +3,13 @@
 A document's histogram of character classes and its histogram of common words are compared with
 its language's references by Jensen-Shannon distance (base 2, so 0 to 1). References are counted
 over all documents with a language; a language's common words are its ``common`` most frequent
-ones, all others share one slot. A document without a known language is compared with every
-reference and judged by the nearest. As all words that are not common share a slot, a text without
-any common word still comes near the reference: so the share of a document's words that are common
-must also reach ``least_common`` times that of the reference. Guards: a text of fewer than ``least_chars`` characters is
+ones. Words that are not common match nothing: the document's have a slot of their own and the
+reference's another, so a text without a common word has distance 1. The limit of the word distance
+comes from the reference: the distance of a text that has the reference's own proportions among its
+common words, but only ``least_common`` times their share. A document without a known language is compared
+with every reference and judged by the nearest. Guards: a text of fewer than ``least_chars`` characters is
 not judged by classes, one of fewer than ``least_words`` words not by words, as short texts have
-ragged histograms.
+ragged histograms. Words, lines and windows are told apart by 64-bit hashes of their bytes.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept. Rows are
 judged one by one, so repeated rows give repeated results; an empty table gives an empty one. Only
@@ -19,15 +20,15 @@ the references, at most ``most_langs * (common + classes)`` numbers, go to every
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnaframe.llm.common import ByteHash, batches, kept, word_bounds
+from dnaframe.llm.common import ByteHash, batches, kept, mix64, word_bounds
 
 # Fixed values of the contract's base rule.
 SYMBOLS = b"#*$%&|<>"
@@ -64,44 +65,83 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (a + b) / 2)))
 
 
-def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
+def hashes(hasher: ByteHash, data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 4 << 20) -> np.ndarray:
+    """Hashes of the slices of a byte string, in order and apart, over about ``piece`` bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + piece, "right")))
+        part = data[start[at]: end[to - 1]]
+        out[at:to] = hasher.slices(hasher.sums(part), start[at:to] - start[at], end[at:to] - start[at])
+        at = to
+    return out
+
+
+def repeated_words(words: np.ndarray, width: int = 5) -> int:
+    """How many words (given by hash) lie in windows of ``width`` words that the text holds twice or more."""
+    n = len(words) - width + 1
+    if n < 2:
+        return 0
+    grams = np.zeros(n, np.uint64)
+    for j in range(width):
+        grams = mix64(grams + words[j: n + j] * np.uint64(2 * j + 1))
+    _, place, count = np.unique(grams, return_inverse=True, return_counts=True)
+    again = count[place] > 1
+    covered = np.zeros(len(words), bool)
+    for j in range(width):
+        covered[j: n + j] |= again
+    return int(covered.sum())
+
+
+def base_counts(text: bytes, hasher: ByteHash | None = None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
-    words = text.split()
-    n = len(words)
+    hasher = hasher or ByteHash(7)
+    data = np.frombuffer(text, np.uint8)
+    start, end = word_bounds(data)
     chars = len(text.translate(None, b" \t\n\v\f\r" + LATER))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\v\f\r")]
-    dup = len(lines) - len(set(lines))
-    repeat = 0
-    if n >= 6:
-        grams = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
-        if len(set(grams)) < len(grams):
-            seen = Counter(grams)
-            upto = 0
-            for i, g in enumerate(grams):
-                if seen[g] > 1:
-                    repeat += i + 5 - max(i, upto)
-                    upto = i + 5
-    return n, chars, symbols, dup, repeat
+    cut = np.flatnonzero(data == 10)
+    first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(data)]))
+    wordy = np.searchsorted(start, first) < np.searchsorted(start, last)  # a word starts in the line
+    lines = hashes(hasher, data, first[wordy], last[wordy])
+    return (len(start), chars, symbols, len(lines) - len(np.unique(lines)),
+            repeated_words(hashes(hasher, data, start, end)))
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def word_histograms(words: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both histograms (all other words last) with a slot each for the words that are not common."""
+    return np.append(words, 0.0).astype(float), np.concatenate((reference[:-1], [0.0], reference[-1:])).astype(float)
+
+
+def word_limit(reference: np.ndarray, least_common: float) -> float:
+    """The distance of a text whose common words have the reference's proportions and ``least_common`` times their share."""
+    thin = reference * least_common
+    thin[-1] = reference.sum() - thin[:-1].sum()
+    return js_distance(*word_histograms(thin, reference))
+
+
+def _runs(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``limit`` bytes of text each, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _tally(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, key, n: the characters of each class (key: the class) and the words by hash of a batch."""
     hasher, table = ByteHash(7), class_table()
-    for batch in rows:
+    for run in (r for batch in rows for r in _runs(batch)):
         by_lang: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), _bytes(batch.column("text"))):
-            by_lang.setdefault(lang, []).append(text)
+        for lang, text in zip(run.column("lang").to_pylist(), run.column("text").cast(pa.binary()).to_pylist()):
+            by_lang.setdefault(lang, []).append(text or b"")
         for lang, texts in by_lang.items():
-            for a, b in batches(texts, 16 << 20):
+            for a, b in batches(texts):
                 data = np.frombuffer(b" ".join(texts[a:b]), np.uint8)
                 start, end = word_bounds(data)
-                low = lowered(data)
-                key, n = np.unique(hasher.slices(hasher.sums(low), start, end), return_counts=True)
+                key, n = np.unique(hashes(hasher, lowered(data), start, end), return_counts=True)
                 classes = np.bincount(table[data], minlength=len(CLASSES) + 1)[: len(CLASSES)]
                 classes[CLASSES.index("space")] -= b - a - 1
                 for kind, ks, ns in (("class", np.arange(len(CLASSES)), classes), ("word", key.view(np.int64), n)):
@@ -142,33 +182,32 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text", common:
     return out
 
 
-def _judge(refs: dict, class_limit: float, word_limit: float, least_common: float, least_chars: int, least_words: int):
+def _judge(refs: dict, class_limit: float, least_common: float, least_chars: int, least_words: int):
+    limits = {name: word_limit(words, least_common) for name, (_, _, words) in refs.items()}
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = ByteHash(7), class_table()
         for batch in rows:
-            langs, texts = batch.column("lang").to_pylist(), _bytes(batch.column("text"))
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())
             out = []
-            for lang, text in zip(langs, texts):
-                base = base_counts(text)
+            for i, lang in enumerate(langs):
+                text = texts[i].as_py() or b""
+                base = base_counts(text, hasher)
                 data = np.frombuffer(text, np.uint8)
                 classes = np.bincount(table[data], minlength=len(CLASSES) + 1)[: len(CLASSES)]
-                hashes = None
-                best = (1.0, 1.0, 0.0) if refs else (0.0, 0.0, 1.0)
+                words = hashes(hasher, lowered(data), *word_bounds(data)) if refs else None
+                found = []  # class distance, word distance, its limit
                 for name in [lang] if lang in refs else refs:
                     ref_classes, vocabulary, ref_words = refs[name]
-                    if hashes is None:
-                        start, end = word_bounds(data)
-                        hashes = hasher.slices(hasher.sums(lowered(data)), start, end)
-                    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                    at = np.where(vocabulary[at] == hashes, at, len(vocabulary))
-                    words = np.bincount(at, minlength=len(vocabulary) + 1)
-                    usual = 1 - ref_words[-1] / ref_words.sum()
-                    found = (js_distance(classes.astype(float), ref_classes), js_distance(words.astype(float), ref_words),
-                             (1 - words[-1] / max(1, words.sum())) / usual)
-                    best = min(best, found, key=lambda x: x[0] + x[1])
+                    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+                    at = np.where(vocabulary[at] == words, at, len(vocabulary))
+                    counts = np.bincount(at, minlength=len(vocabulary) + 1)
+                    found.append((js_distance(classes.astype(float), ref_classes),
+                                  js_distance(*word_histograms(counts, ref_words)), limits[name]))
+                best = min(found, key=lambda x: x[0] + x[1] / x[2], default=(0.0, 0.0, 1.0))
                 failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
                 far = (classes.sum() >= least_chars and best[0] > class_limit) or (
-                    base[0] >= least_words and (best[1] > word_limit or best[2] < least_common))
+                    base[0] >= least_words and best[1] > best[2])
                 out.append((*base, failed, *best[:2], not failed and not far))
             cols = list(zip(*out)) if out else [[] for _ in range(9)]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance",
@@ -182,13 +221,13 @@ def _judge(refs: dict, class_limit: float, word_limit: float, least_common: floa
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", class_limit: float = 0.2,
-          word_limit: float = 0.52, least_common: float = 0.2, least_chars: int = 200, least_words: int = 100,
+          least_common: float = 0.1, least_chars: int = 200, least_words: int = 100,
           **options) -> DataFrame:
     """id, the base counts, both distances, base_failed and kept, a row for each row of ``docs``."""
     refs = references(docs, lang, text, **options)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(
-        _judge(refs, class_limit, word_limit, least_common, least_chars, least_words),
+        _judge(refs, class_limit, least_common, least_chars, least_words),
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, class_distance double, word_distance double, kept boolean")
 
