@@ -13,7 +13,8 @@ The alphabet is the bytes of lower-cased text in which every run of other charac
 is one space. Null texts and texts without a letter get ``und`` and score 0. ``score`` is the gap
 between the best and the second-best cost relative to the latter, 1 if only one language was
 learned. Rows are predicted one by one: repeated rows give repeated results, an empty table an
-empty one, and without any labelled text every row is ``und``. Only the named columns are read.
+empty one, and without any labelled text every row is ``und``. Rows without an id are predicted, but
+never learned from. Only the named columns are read.
 More than ``most_langs`` languages are an error, so the broadcast automata have at most
 most_langs * 4 * sample states with a column per byte that occurs (256 at most).
 """
