@@ -221,7 +221,7 @@ def _judge(refs: dict, class_limit: float, least_common: float, least_chars: int
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", class_limit: float = 0.2,
-          least_common: float = 0.1, least_chars: int = 200, least_words: int = 100,
+          least_common: float = 0.15, least_chars: int = 200, least_words: int = 100,
           **options) -> DataFrame:
     """id, the base counts, both distances, base_failed and kept, a row for each row of ``docs``."""
     refs = references(docs, lang, text, **options)
