@@ -42,15 +42,50 @@ def test_matches_brute_force(make, monkeypatch, keep, crowd):
     assert all(hashlib.sha256(r.rest).hexdigest() == r.kept_sha256 for r in got)
 
 
-def test_suffix_order_finds_equal_windows():
-    rng = np.random.default_rng(2)
-    data = rng.integers(97, 99, 3000).astype(np.uint8)
-    starts = np.sort(rng.choice(2900, 700, replace=False))
-    for length in (8, 11, 16, 50):
-        earlier, later = suffix.equal_windows(data, starts, length)
+def shared(a, b, length):
+    return next((i for i in range(length) if a[i] != b[i]), length)
+
+
+@pytest.mark.parametrize("letters", [2, 26])
+def test_factors_match_brute_force(letters):
+    rng = np.random.default_rng(letters)
+    data = rng.integers(97, 97 + letters, 3000).astype(np.uint8)
+    data[1000:1300] = data[200:500]
+    starts = np.sort(rng.choice(2700, 500, replace=False))
+    for length in (8, 11, 16, 50, 200):
         texts = [data[s:s + length].tobytes() for s in starts]
-        assert [*earlier] == [t in texts[:i] for i, t in enumerate(texts)]
-        assert [*later] == [t in texts[i + 1:] for i, t in enumerate(texts)]
+        previous, following = suffix.factors(data, starts, length)
+        assert [*previous] == [max((shared(t, u, length) for u in texts[:i]), default=0) for i, t in enumerate(texts)]
+        assert [*following] == [max((shared(t, u, length) for u in texts[i + 1:]), default=0) for i, t in enumerate(texts)]
+        assert [*suffix.factors(data, starts, length, later=False)[0]] == [*previous]
+    assert len(suffix.factors(data, starts[:0], 50)[0]) == 0
+
+
+def test_nearest_smaller_before():
+    rng = np.random.default_rng(1)
+    for x in (rng.permutation(400), np.arange(50), np.arange(50)[::-1], np.concatenate((np.arange(1, 60), [0])), np.zeros(0, int)):
+        want = [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(len(x))]
+        assert [*suffix.before_smaller(x)] == want
+
+
+def test_halves_keep_every_window_and_bring_equal_ones_together():
+    hashes = suffix.ByteHash(1), suffix.ByteHash(2)
+    texts = [(prose(40, i) + PASSAGE + prose(40, 50 + i)).encode() for i in range(6)]
+    owner, first, n, key, _ = suffix.runs(texts, 200, *hashes)
+    lo = hi = None
+    for _ in range(9):
+        pieces = [texts[o][f:f + c + 199] for o, f, c in zip(owner, first, n)]
+        key, content, of, first, n, lo, hi = suffix.halves(pieces, first, key, lo, hi, 200, *hashes)
+        owner = owner[of]
+        windows = sorted((o, s) for o, f, c in zip(owner, first, n) for s in range(f, f + c))
+        assert windows == [(o, s) for o, t in enumerate(texts) for s in range(len(t) - 199)]
+        at = {}
+        for o, f, c, k, a, b in zip(owner, first, n, key, lo, hi):
+            for s in range(f, f + c):
+                assert s <= a and b <= s + 200
+                at.setdefault(texts[o][s:s + 200], set()).add(k)
+        assert all(len(keys) == 1 for keys in at.values())
+    assert set(n) == {1} and set(hi - lo) == {200} and len(set(key)) == len(at)
 
 
 def test_sliding_minimum():
