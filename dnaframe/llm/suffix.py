@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from dnaframe.llm.common import ByteHash, batches, kept
 
-K, BUCKET, CROWD = 64, 1 << 20, 4096
+K, BUCKET, CROWD = 64, 1 << 19, 4096
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
