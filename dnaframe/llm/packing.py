@@ -33,10 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnaframe.llm.common import WORD, ByteHash, batches, by_content, kept, let, mix64, n_words, one_of_each, unrolled, word_bounds
+from dnaframe.llm.common import WORD, ByteHash, by_content, kept, let, mix64, n_words, one_of_each, unrolled, word_bounds
 from dnaframe.llm.pstable import _groups as linked_groups
 from dnaframe.llm.simhash import components
 
@@ -154,15 +155,21 @@ def minima(texts: list[bytes]) -> np.ndarray:
 def _minima(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """cluster (as ``text_cluster`` names it), sig (the minima, 4 bytes each), keys (one per band) of texts with a word."""
     for batch in rows:
-        words = [(x or b"").split() for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        texts = [b" ".join(w) for w in words if w]
-        for a, b in batches(texts, 1 << 20):
-            least = minima(texts[a:b])
+        column = batch.column("text").cast(pa.binary())
+        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        # a word takes some 50 bytes as an object, so only a part of the batch is in words at a time
+        edges = [0, *(np.flatnonzero(np.diff(total >> 20)) + 1).tolist(), len(column)]
+        for at, to in zip(edges, edges[1:]):
+            words = map(bytes.split, (x or b"" for x in column.slice(at, to - at).to_pylist()))
+            texts = [b" ".join(w) for w in words if w]
+            if not texts:
+                continue
+            least = minima(texts)
             keys = np.zeros((len(least), BANDS), np.uint64)
             for i in range(BANDS):
                 for j in range(4):
                     keys[:, i] = mix64(keys[:, i] * np.uint64(31) + least[:, 4 * i + j].astype(np.uint64) + np.uint64(i + 1))
-            names = pa.array([hashlib.md5(t).hexdigest() for t in texts[a:b]], pa.string())
+            names = pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string())
             sig = pa.array([x.tobytes() for x in least.astype("<u4")], pa.binary())
             yield pa.RecordBatch.from_arrays([names, sig, pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
                                              names=["cluster", "sig", "keys"])

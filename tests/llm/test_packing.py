@@ -151,3 +151,19 @@ def test_every_near_pair_of_a_large_group_meets(make):
             words[p] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     assert [len(g) for g in grouped(make, texts, 16)] == [120]
+
+
+def test_minima_hold_a_part_of_a_batch_in_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", " \n", *(prose(1000, i) for i in range(1200)), prose(9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    names = 0
+    tracemalloc.start()
+    for out in packing._minima(iter([batch])):
+        names += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == 1201 and peak < 64 << 20, (names, peak)
