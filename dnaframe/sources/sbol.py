@@ -24,9 +24,15 @@ _ELEMENT = "//*[local-name()='elements']/text()"
 _ATTRIBUTE = "//@*[local-name()='elements']"
 # Leaf texts and property attributes are triple objects; node ids (about / ID / nodeID), references to
 # nodes (resource), literal annotations (datatype / lang / parseType) and namespace declarations are not.
-_LITERALS = ("//*[not(*)]/text() | //@*[not(local-name()='about' or local-name()='ID' or "
-             "local-name()='nodeID' or local-name()='resource' or local-name()='datatype' or local-name()='lang' or "
-             "local-name()='parseType' or starts-with(name(), 'xmlns'))]")
+_NO_VALUES = "|about|ID|nodeID|resource|datatype|lang|parseType|"
+_LITERALS = ("/descendant::*[not(*)]/text() | "
+             f"/descendant::*/@*[not(contains('{_NO_VALUES}', concat('|', local-name(), '|')) or starts-with(name(), 'xmlns'))]")
+# One pass over a text gives its literals and a null before the sequence: a selected element has no value of its own.
+# The sequence follows the null if its element holds text alone. If some element named so holds text beside
+# attributes or other elements, all that holds it is selected too, so that two nulls come first.
+_TEXTS = "/descendant::*[local-name()='elements'][text()]"
+_FOUND = f"{_LITERALS} | {_TEXTS}[not(@* or *)] | {_TEXTS}[@* or *]/ancestor-or-self::node()"
+
 
 
 def read_sbol(spark: SparkSession, path: str) -> DataFrame:
@@ -35,14 +41,17 @@ def read_sbol(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_sbol(raw: DataFrame) -> DataFrame:
     """One row per XML text ``(name, value)``."""
-    elem = F.xpath(F.col("value"), F.lit(_ELEMENT))
-    attr = F.xpath(F.col("value"), F.lit(_ATTRIBUTE))
-    first = F.coalesce(F.get(elem, 0), F.get(attr, 0))
-    literals = F.xpath(F.col("value"), F.lit(_LITERALS))
-    numbers = F.filter(F.transform(F.array_distinct(literals), lambda t: to_numeric(t)), lambda v: v.isNotNull())
+    x = raw.select("name", "value", F.xpath(F.col("value"), F.lit(_FOUND)).alias("found"))
+    x = x.select("*", F.array_position(F.transform("found", lambda v: v.isNull()), F.lit(True)).cast("int").alias("at"))
+    # a text is parsed again only if the place of its sequence is open
+    elem = F.get(F.xpath(F.col("value"), F.lit(_ELEMENT)), 0)
+    attr = F.get(F.xpath(F.col("value"), F.lit(_ATTRIBUTE)), 0)
+    mixed = (F.size("found") > 1) & F.get("found", 0).isNull() & F.get("found", 1).isNull()
+    first = F.when(mixed, F.coalesce(elem, attr)).when(F.col("at") > 0, F.get("found", F.col("at"))).otherwise(attr)
+    numbers = F.filter(F.transform(F.array_distinct("found"), lambda t: to_numeric(t)), lambda v: v.isNotNull())
     stem = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1)
-    return raw.select(
+    return x.select(
         stem.alias("id"),
-        F.when(first.isNull(), F.lit("")).otherwise(normalize(first)).alias("sequence"),
+        normalize(first).alias("sequence"),
         F.get(numbers, 0).alias("target"),
     )

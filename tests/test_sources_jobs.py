@@ -55,6 +55,27 @@ def test_sbol(spark, tmpdir_path):
     assert (r.id, r.sequence, r.target) == ("part1", "ACGTNN", 2.5)
 
 
+def test_sbol_is_parsed_once_and_reads_what_single_paths_read(spark):
+    wrap = lambda body, more="": f'<r xmlns:s="http://sbols.org/v2#" {more}>{body}</r>'
+    texts = [wrap("<s:elements>acgt</s:elements><v>2.5</v>"), wrap("<v>3</v><s:elements>ac</s:elements><s:elements>gg</s:elements>", 'n="7"'),
+             wrap("<s:elements x='4'>ac</s:elements><s:elements>gg</s:elements>"), wrap("<s:elements><b>5</b>ac<c>6</c>gt</s:elements>"),
+             wrap("<s:elements/><s:elements>gg</s:elements>"), wrap("<s:elements><b>5</b></s:elements><p s:elements='tt'>1</p>"), wrap("<v>x</v>"),
+             wrap("<p elements='tt'/><s:elements>ac<!-- c -->gt</s:elements>"), wrap("<s:elements><![CDATA[ac]]>gt</s:elements>"), "<elements>acg</elements>", wrap("<v rid='4' lang='5'/><v about='6' langs='7'/>"),
+             "<elements k='9'>acg</elements>", "<elements>12</elements>", wrap("<s:elements>a</s:elements><q><s:elements>c<d/></s:elements></q>", "m='8'"),
+             wrap("<s:elements> </s:elements><v> </v><v>1e3</v>"), "<r/>", "", None]
+    df = spark.createDataFrame([(f"{i}.xml", t) for i, t in enumerate(texts)], "name string, value string")
+    no_value = " or ".join(f"local-name()='{n}'" for n in ("about", "ID", "nodeID", "resource", "datatype", "lang", "parseType"))
+    literals = f"//*[not(*)]/text() | //@*[not({no_value} or starts-with(name(), 'xmlns'))]"
+    paths = df.select("name", *[F.xpath("value", F.lit(p)).alias(c) for c, p in (("e", sbol._ELEMENT), ("a", sbol._ATTRIBUTE), ("l", literals))])
+    numbers = F.filter(F.transform(F.array_distinct("l"), lambda t: sbol.to_numeric(t)), lambda v: v.isNotNull())
+    expect = paths.select(F.regexp_extract("name", "[0-9]+", 0), sbol.normalize(F.coalesce(F.get("e", 0), F.get("a", 0))), F.get(numbers, 0))
+    found = sbol.parse_sbol(df)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expect.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    always = [part for part in plan.split("Project")[1:] if "CASE WHEN" not in part]
+    assert sum(part.lower().count("xpath") for part in always) == 1 and plan.count("[not(*)]/text()") == 1, plan
+
+
 def test_digest_and_gate(spark, tmpdir_path):
     import hashlib
 
