@@ -2,8 +2,8 @@
 
 * Files below ``whole`` bytes are hashed by Spark from their content, one row per file.
 * Larger ones are read as lines in many tasks, by any file system that Spark reads, and put together again byte
-  by byte: ``file_digests`` streams a file's lines in order through one task, which holds only the state of the
-  digest (SHA-256 is one chain); ``tree_digests`` hashes blocks of fixed size in parallel and then the blocks'
+  by byte: ``file_digests`` streams a file's lines, packed in runs of ``RUN`` bytes, in order through one task, which
+  sorts little more than the file's bytes and holds only the state of the digest (SHA-256 is one chain); ``tree_digests`` hashes blocks of fixed size in parallel and then the blocks'
   digests, so no task sees more than a block.
 """
 
@@ -12,12 +12,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Files from here on are read in lines (``binaryFile`` holds a file in one array, 2 GB at most).
 WHOLE = 1 << 30
+#: Bytes of neighbouring lines that go as one row; a line by itself would take many times its own bytes in a sort.
+RUN = 4096
 BOM = bytearray(b"\xef\xbb\xbf")
 _LEAST = len(BOM) + 1  # a file of nothing but the mark has no lines
 
@@ -40,7 +44,7 @@ def tree_digests(spark: SparkSession, path: str | list[str], block: int = 4 << 2
     until one is left. The result depends on the bytes and on ``block`` (``_LEAST`` at least) alone."""
     if block < _LEAST:
         raise ValueError(f"a block has {_LEAST} bytes at least")
-    x = _byte_lines(spark, path, _LEAST)
+    x = _byte_lines(spark, path, _LEAST, min(block, RUN))
     x = x.withColumn("n", F.octet_length("bytes").cast("bigint"))
     inner = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
@@ -69,9 +73,10 @@ def tree_digests(spark: SparkSession, path: str | list[str], block: int = 4 << 2
     return lone.unionByName(tiny)
 
 
-def _byte_lines(spark: SparkSession, path: str | list[str], least: int) -> DataFrame:
+def _byte_lines(spark: SparkSession, path: str | list[str], least: int, run: int = RUN) -> DataFrame:
     """``(file, size, fits, block, at, base, bytes)``: the lines of all files of ``least`` bytes and more, line ends included.
 
+    Neighbouring lines share a row of about ``run`` bytes; ``at`` is the first one's place.
     ``base``: bytes of the file before the block's first line; ``fits`` is false if lines and file size disagree.
     """
     m = "_metadata.file_"
@@ -89,12 +94,32 @@ def _byte_lines(spark: SparkSession, path: str | list[str], least: int) -> DataF
     mark = F.col("over").isin(-3, -2)
     blocks = blocks.select("*", F.col("over").isin(0, 1, -3, -2).alias("fits"), F.min("block").over(file).alias("begin"),
                            (F.col("before") + F.when(mark & (F.col("before") > 0), 3).otherwise(0)).alias("base"))
-    x = raw.join(blocks, ["file", "block"])
+    x = raw.join(F.broadcast(blocks), ["file", "block"])  # one row per block of a file; the lines stay where they are
     none = F.lit(bytearray())
     head = F.when(mark & (F.col("block") == F.col("begin")) & (F.col("at") == F.col("first")), F.lit(BOM)).otherwise(none)
     bare = F.col("final") & (F.col("at") == F.col("last")) & F.col("over").isin(1, -2)
     tail = F.when(bare, none).otherwise(F.lit(bytearray(b"\n")))
-    return x.select("file", "size", "fits", "block", "at", "base", F.concat(head, "line", tail).alias("bytes"))
+    x = x.select("file", "size", "fits", "block", "at", "base", F.concat(head, "line", tail).alias("bytes"))
+    return x.mapInArrow(_runs(run), x.schema)
+
+
+def _runs(size: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            if not b.num_rows:
+                continue
+            file = b.column("file").dictionary_encode().indices.to_numpy()
+            block, at = b.column("block").to_numpy(), b.column("at").to_numpy()
+            part = np.cumsum(pc.binary_length(b.column("bytes")).to_numpy(), dtype=np.int64) // size
+            # only lines that follow each other in one block are put together, whatever the order of the rows
+            new = (np.diff(file) != 0) | (np.diff(block) != 0) | (np.diff(at) != 1) | (np.diff(part) != 0)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+            lines = b.column("bytes").to_pylist()
+            packed = pa.array([b"".join(lines[i:j]) for i, j in zip(edges, edges[1:])], b.column("bytes").type)
+            out = b.take(pa.array(edges[:-1]))
+            yield out.set_column(out.schema.get_field_index("bytes"), "bytes", packed)
+
+    return run
 
 
 _DIGEST = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string())])
