@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from dnaframe.functions.sequence import STRIP_CHARS, normalize
 
+#: Lines that ``read_fasta_pieces`` sums up in one window; a power of two, so that no run goes over two parts of a scan.
+RUN = 1 << 16
 _LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
 _WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in STRIP_CHARS) + "]"
 _LB = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _LINE_BREAKS) + "]"
@@ -105,28 +107,29 @@ def read_fasta_pieces(spark: SparkSession, path: str, size: int = 1 << 20, halo:
     Piece p holds the record's bases from p * ``size`` on, ``size`` at most (``length``), and then the first
     ``halo`` bases of the next piece, so that every window of ``halo`` + 1 bases lies whole in the piece it
     begins in. No row is longer than a line or a piece. A line's place in its record comes from running
-    totals: in its block of the file by a window, and over blocks by a table of one row per block.
+    totals: in its run of ``RUN`` lines by a window, and over runs by a table of one row per run; no task
+    holds a whole block of a file.
     A record without bases has one empty piece.
     """
     if not 0 <= halo <= size:
         raise ValueError("halo is 0 at least and size at most")
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                                       F.monotonically_increasing_id().alias("at"), "value")
+                                       F.monotonically_increasing_id().alias("at"), "value").withColumn("run", F.shiftright("at", RUN.bit_length() - 1))
     parts = F.when(F.col("value").rlike(_LB), F.split("value", _LB)).otherwise(F.array("value"))
     line = F.btrim("line", F.lit(STRIP_CHARS))
-    x = raw.select("file", "block", "at", F.posexplode(parts).alias("sub", "line")).withColumn("line", line)
+    x = raw.select("file", "block", "run", "at", F.posexplode(parts).alias("sub", "line")).withColumn("line", line)
     x = x.withColumn("head", F.col("line").startswith(">"))
-    x = x.select("file", "block", "at", "sub", "head", F.when(F.col("head"), F.btrim(F.substring("line", 2, 2**31 - 1), F.lit(STRIP_CHARS))).alias("id"),
+    x = x.select("file", "block", "run", "at", "sub", "head", F.when(F.col("head"), F.btrim(F.substring("line", 2, 2**31 - 1), F.lit(STRIP_CHARS))).alias("id"),
                  F.when(F.col("head"), F.lit("")).otherwise(normalize("line")).alias("bases"))
     x = x.withColumn("n", F.length("bases").cast("bigint"))
-    run = Window.partitionBy("file", "block").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("file", "block", "run").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("sum", F.sum("n").over(run)).withColumn("record", F.sum(F.col("head").cast("bigint")).over(run)).withColumn(
         "from", F.max(F.when(F.col("head"), F.col("sum"))).over(run))
-    blocks = x.groupBy("file", "block").agg(F.sum("n").alias("all"), F.sum(F.col("head").cast("bigint")).alias("heads"), F.max("from").alias("last"))
-    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("base", F.coalesce(F.sum("all").over(past), F.lit(0))).withColumn(
+    runs = x.groupBy("file", "block", "run").agg(F.sum("n").alias("all"), F.sum(F.col("head").cast("bigint")).alias("heads"), F.max("from").alias("last"))
+    past = Window.partitionBy("file").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("base", F.coalesce(F.sum("all").over(past), F.lit(0))).withColumn(
         "heads", F.coalesce(F.sum("heads").over(past), F.lit(0))).withColumn("open", F.max(F.col("base") + F.col("last")).over(past))
-    x = x.join(blocks.select("file", "block", "base", "heads", "open"), ["file", "block"])
+    x = x.join(runs.select("file", "block", "run", "base", "heads", "open"), ["file", "block", "run"])
     x = x.withColumn("record", F.col("record") + F.col("heads")).filter("record > 0")
     x = x.withColumn("start", F.col("base") + F.col("sum") - F.col("n") - F.coalesce(F.col("base") + F.col("from"), "open"))
     # a line that crosses the end of a piece is cut there

@@ -97,6 +97,18 @@ def test_digests_are_the_same_under_every_cut(spark, split):
     assert {n: x[2] for n, x in got.items()} == {n: tree(t, 100) for n, t in data.items()}
 
 
+def test_no_task_takes_the_lines_of_a_whole_block(spark, monkeypatch):
+    d = folder({"a": "".join(f"{i:07}\n" for i in range(20_000)), "b": "x\n"})
+    rows = digest._byte_lines(spark, d, 4)
+    assert rows.count() < 20_000 * 8 / digest.RUN * 2 and rows.agg(F.max(F.octet_length("bytes"))).first()[0] <= digest.RUN + 8
+    d = folder({"a.fa": "".join(f">{i}\n{'ACGT' * (i % 9)}\n" for i in range(500))})
+    whole = sorted(map(tuple, fasta.read_fasta_pieces(spark, d, 10, 3).drop("file").collect()))
+    monkeypatch.setattr(fasta, "RUN", 16)
+    assert sorted(map(tuple, fasta.read_fasta_pieces(spark, d, 10, 3).drop("file").collect())) == whole
+    plan = fasta.read_fasta_pieces(spark, d, 10, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" in plan and "windowspecdefinition(file" in plan
+
+
 def test_folder_digest_sees_names_folders_and_bytes(spark):
     d = folder({"a": "1", "b": "2"})
     first = digest.path_digest(spark, d)
