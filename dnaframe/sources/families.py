@@ -18,6 +18,8 @@ from dnaframe.functions.sequence import gc_content, kmer_denominator, kmer_slot,
 from dnaframe.operators.features import FeatureConfig
 from dnaframe.sources import store
 
+#: Rows of a bucket: a task that joins families sorts one bucket of each.
+BUCKET_ROWS = 1 << 17
 FAMILIES = ("target", "gc", "kmers", "one_hot")
 
 
@@ -44,11 +46,15 @@ def family_frames(df: DataFrame, seq_col: str, config: FeatureConfig, target_col
 
 
 def store_families(frames: dict[str, DataFrame], root: str, buckets: int = 64) -> None:
-    """Writes or replaces families. ``buckets`` is the number of a table's parallel parts: some 1 to 4 per core of the
-    cluster, and so many that a part fits a task; families that are to be joined need the same."""
-    for name, frame in frames.items():
+    """Writes or replaces families. ``buckets`` is the least number of a table's parallel parts, some 1 to 4 per core of
+    the cluster; it grows with the rows, so that a part keeps to about ``BUCKET_ROWS`` rows. Families join without an
+    exchange if they have the same number, so one that is added later takes that of the families beside it, if larger."""
+    for name in frames:
         if name not in FAMILIES:
             raise ValueError(f"unknown family {name!r}; known are {list(FAMILIES)}")
+    for frame in frames.values():
+        buckets = max([buckets, -(-frame.count() // BUCKET_ROWS), *_buckets_beside(frame.sparkSession, root, frames)])
+    for name, frame in frames.items():
         spark = frame.sparkSession
         path, table = os.path.join(root, "families", name), f"family_{uuid.uuid4().hex}"
         # one file per bucket: rows are dealt by the bucket's own rule before they are written
@@ -59,6 +65,12 @@ def store_families(frames: dict[str, DataFrame], root: str, buckets: int = 64) -
         store.write_json(spark, {"buckets": buckets, "fields": fields}, root, "families", f"{name}.description")
 
 
+def _buckets_beside(spark: SparkSession, root: str, names) -> list[int]:
+    """Bucket numbers of the stored families that are not in ``names``."""
+    beside = [n for n in FAMILIES if n not in names and store._exists(spark, os.path.join(root, "families", f"{n}.description"))]
+    return [int(store.read_json(spark, root, "families", f"{n}.description")["buckets"]) for n in beside]
+
+
 def load_family(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored family with its buckets."""
     about = store.read_json(spark, root, "families", f"{name}.description")

@@ -3,7 +3,7 @@
 import pytest
 
 from dnaframe.operators import features as feat
-from dnaframe.sources import families
+from dnaframe.sources import families, store
 from tests.test_plans import plan
 
 
@@ -34,3 +34,15 @@ def test_a_family_is_replaced_and_unknown_ones_are_refused(spark, tmpdir_path):
     assert families.load_family(spark, tmpdir_path, "gc").count() == 2
     with pytest.raises(ValueError, match="unknown family"):
         families.store_families({"shape": df}, tmpdir_path)
+
+
+def test_buckets_grow_with_the_rows(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(families, "BUCKET_ROWS", 10)
+    df = spark.createDataFrame([(i, "GCA", "1" if i % 2 else "none") for i in range(95)], "row_id long, sequence string, target string")
+    cfg = feat.FeatureConfig(use_gc=True, use_kmers=False)
+    frames = families.family_frames(df, "sequence", cfg, "target")
+    for name in ("gc", "target"):  # stored one after the other, the smaller family last
+        families.store_families({name: frames[name]}, tmpdir_path, 2)
+    x = families.join_families(spark, tmpdir_path, ["target", "gc"])
+    assert "Exchange" not in plan(x) and x.count() == 47
+    assert [store.read_json(spark, tmpdir_path, "families", f"{n}.description")["buckets"] for n in ("gc", "target")] == [10, 10]
