@@ -52,13 +52,18 @@ SEQS_DIRTY_SQL = """SELECT doc_id AS row_id, text AS sequence, CAST(n_chars AS D
 FROM documents"""
 
 
+def seq_of_order(key: Column) -> Column:
+    """The bases that ``seqs_mid`` gives an order."""
+    return _dna(key.cast("string"), (key + 1000000).cast("string"))
+
+
 def seqs_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, target, sequence) over ``orders``; target = o_totalprice."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("row_id"),
         F.col("o_totalprice").alias("target"),
-        _dna(F.col("o_orderkey").cast("string"), (F.col("o_orderkey") + 1000000).cast("string")).alias("sequence"),
+        seq_of_order(F.col("o_orderkey")).alias("sequence"),
     )
 
 

@@ -108,13 +108,16 @@ def read_fasta_pieces(spark: SparkSession, path: str, size: int = 1 << 20, halo:
     ``halo`` bases of the next piece, so that every window of ``halo`` + 1 bases lies whole in the piece it
     begins in. No row is longer than a line or a piece. A line's place in its record comes from running
     totals: in its run of ``RUN`` lines by a window, and over runs by a table of one row per run; no task
-    holds a whole block of a file.
+    holds a whole block of a file. Lines are exchanged once, by their run, which is where the pieces of the
+    records inside it are put together; only records that go over the end of a run are exchanged again, by pieces.
     A record without bases has one empty piece.
     """
     if not 0 <= halo <= size:
         raise ValueError("halo is 0 at least and size at most")
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                        F.monotonically_increasing_id().alias("at"), "value").withColumn("run", F.shiftright("at", RUN.bit_length() - 1))
+    # every step below reads the lines as this one exchange leaves them
+    raw = raw.repartition("run", "file", "block")
     parts = F.when(F.col("value").rlike(_LB), F.split("value", _LB)).otherwise(F.array("value"))
     line = F.btrim("line", F.lit(STRIP_CHARS))
     x = raw.select("file", "block", "run", "at", F.posexplode(parts).alias("sub", "line")).withColumn("line", line)
@@ -122,30 +125,34 @@ def read_fasta_pieces(spark: SparkSession, path: str, size: int = 1 << 20, halo:
     x = x.select("file", "block", "run", "at", "sub", "head", F.when(F.col("head"), F.btrim(F.substring("line", 2, 2**31 - 1), F.lit(STRIP_CHARS))).alias("id"),
                  F.when(F.col("head"), F.lit("")).otherwise(normalize("line")).alias("bases"))
     x = x.withColumn("n", F.length("bases").cast("bigint"))
-    run = Window.partitionBy("file", "block", "run").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("run", "file", "block").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("sum", F.sum("n").over(run)).withColumn("record", F.sum(F.col("head").cast("bigint")).over(run)).withColumn(
-        "from", F.max(F.when(F.col("head"), F.col("sum"))).over(run))
-    runs = x.groupBy("file", "block", "run").agg(F.sum("n").alias("all"), F.sum(F.col("head").cast("bigint")).alias("heads"), F.max("from").alias("last"))
+        "from", F.max(F.when(F.col("head"), F.col("sum"))).over(run)).withColumn("name", F.last("id", ignorenulls=True).over(run))
+    runs = x.groupBy("run", "file", "block").agg(
+        F.sum("n").alias("all"), F.sum(F.col("head").cast("bigint")).alias("own"), F.max("from").alias("last"), F.max_by("name", "record").alias("name"))
     past = Window.partitionBy("file").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("base", F.coalesce(F.sum("all").over(past), F.lit(0))).withColumn(
-        "heads", F.coalesce(F.sum("heads").over(past), F.lit(0))).withColumn("open", F.max(F.col("base") + F.col("last")).over(past))
-    x = x.join(runs.select("file", "block", "run", "base", "heads", "open"), ["file", "block", "run"])
-    x = x.withColumn("record", F.col("record") + F.col("heads")).filter("record > 0")
+        "heads", F.coalesce(F.sum("own").over(past), F.lit(0))).withColumn("open", F.max(F.col("base") + F.col("last")).over(past)).withColumn(
+        "opened", F.last("name", ignorenulls=True).over(past))
+    x = x.join(runs.select("run", "file", "block", "base", "own", "heads", "open", "opened"), ["run", "file", "block"])
+    # a record with a header before and behind it in its run lies whole in it
+    x = x.withColumn("whole", (F.col("record") > 0) & (F.col("record") < F.col("own")))
+    x = x.withColumn("record", F.col("record") + F.col("heads")).filter("record > 0 and (head or n > 0)")
     x = x.withColumn("start", F.col("base") + F.col("sum") - F.col("n") - F.coalesce(F.col("base") + F.col("from"), "open"))
-    # a line that crosses the end of a piece is cut there
-    last = F.greatest(F.col("start"), F.col("start") + F.col("n") - 1)
-    x = x.withColumn("piece", F.explode(F.sequence((F.col("start") / size).cast("bigint"), (last / size).cast("bigint"))))
+    # a line that crosses the end of a piece is cut there; what lies in the halo of the piece before goes to both
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - halo) / size)).cast("bigint")
+    final = F.floor(F.greatest(F.col("start"), F.col("start") + F.col("n") - 1) / size).cast("bigint")
+    x = x.withColumn("piece", F.explode(F.when(F.col("head"), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, final))))
     low = F.greatest(F.col("start"), F.col("piece") * size)
-    high = F.least(F.col("start") + F.col("n"), (F.col("piece") + 1) * size)
+    high = F.least(F.col("start") + F.col("n"), (F.col("piece") + 1) * size + halo)
     cut = F.substring("bases", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
-    x = x.select("file", "record", "piece", "id", low.alias("low"), cut.alias("cut"))
+    x = x.select("run", "file", "block", "record", "piece", "whole", F.coalesce("name", "opened").alias("id"), low.alias("low"), cut.alias("cut"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("cut") != "", F.struct("low", "cut")))), lambda c: c["cut"]), "")
-    pieces = x.groupBy("file", "record", "piece").agg(joined.alias("sequence"), F.max("id").alias("id"))
-    # the header stands in a record's first piece; the others get its id by a join of one row per record
-    blank = F.concat(F.lit("sequence_"), F.col("record").cast("string"))
-    names = pieces.filter("id is not null").select("file", "record", F.when(F.col("id") == "", blank).otherwise(F.col("id")).alias("id"))
-    out = pieces.drop("id").filter("piece = 0 or sequence <> ''").join(names, ["file", "record"]).withColumn("length", F.length("sequence"))
-    if halo:
-        following = out.filter("piece > 0").select("file", "record", (F.col("piece") - 1).alias("piece"), F.substring("sequence", 1, halo).alias("next"))
-        out = out.join(following, ["file", "record", "piece"], "left").withColumn("sequence", F.concat("sequence", F.coalesce("next", F.lit(""))))
-    return out.select("file", "record", "id", "piece", (F.col("piece") * size).alias("start"), "length", "sequence")
+    found = [joined.alias("sequence"), F.max("id").alias("id")]
+    # pieces of whole records are put together where their run is; only the others' lines are dealt again
+    near = x.filter("whole").groupBy("run", "file", "block", "record", "piece").agg(*found)
+    far = x.filter("not whole").groupBy("file", "record", "piece").agg(*found)
+    out = near.drop("run", "block").unionByName(far)
+    name = F.when(F.col("id") == "", F.concat(F.lit("sequence_"), F.col("record").cast("string"))).otherwise(F.col("id"))
+    return out.select("file", "record", name.alias("id"), "piece", (F.col("piece") * size).alias("start"),
+                      F.least(F.length("sequence"), F.lit(size)).alias("length"), "sequence")
