@@ -125,7 +125,7 @@ def get_run(spark: SparkSession, root: str, run_id: str, preview_rows: int | Non
 
 
 def save_model(model, root: str, run_id: str, name: str) -> str:
-    """K6: persist a fitted Spark ML model."""
+    """K6: persist a fitted Spark ML model; a ``StoredForest`` becomes one model per group of trees."""
     path = _p(root, "runs", "models", run_id, name)
     model.write().overwrite().save(path)
     return path
